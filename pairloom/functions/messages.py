@@ -43,6 +43,7 @@ def render_messages(
         ),
     )
     # array_join skips nulls, which would lose a turn in silence.
-    body = F.when(~F.exists(written, lambda t: t.isNull()), F.array_join(written, ""))
+    broken = F.exists(turns, lambda m: m["role"].isNull() | m["content"].isNull())
+    body = F.when(~broken, F.array_join(written, ""))
     tail = template.generation_prompt if add_generation_prompt else ""
     return F.concat(F.lit(template.bos), body, F.lit(tail))

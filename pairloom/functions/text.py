@@ -32,7 +32,10 @@ def extract_key(
     key = F.nullif(F.regexp_extract(text, "(?U)" + pattern, group), F.lit(""))
     if on_missing != "error":
         return key
-    return F.coalesce(key, F.raise_error(F.lit(f"no key found by {pattern}")).cast("string"))
+    refuse = F.raise_error(F.lit(f"no key found by {pattern}")).cast("string")
+    # The last branch is never reached. It marks the key as never null, so that a join on it does
+    # not run the pattern a second time in a null filter.
+    return F.coalesce(key, refuse, F.lit(""))
 
 
 def path_label(column: Column | str) -> Column:

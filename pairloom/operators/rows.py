@@ -15,7 +15,9 @@ from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
 from math import ceil
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from pairloom.checks import need_columns
 from pairloom.functions.hashing import below_fraction, key_hash
 from pairloom.storage import broadcast_if_small, materialize
 
-#: Up to this many rows, "the first n" is a plain top-n.
+#: Up to this many rows, the n-th key is found by a plain top-n of the keys.
 TOP_N_ROWS = 1_000
 
 _SLOT = "_slot"  # partition number << 33 | place in the partition
@@ -71,18 +73,19 @@ class RowOrder:
         )
 
 
+def _without_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    need_columns(df, *keys)
+    refused = {
+        key: F.raise_error(F.lit(f"null order key {key}")).cast(df.schema[key].dataType)
+        for key in keys
+    }
+    return df.withColumns({key: F.coalesce(F.col(key), refused[key]) for key in keys})
+
+
 def row_order(df: DataFrame, order_by: Sequence[str], partitions: int | None = None) -> RowOrder:
     """Range-partition and sort ``df`` by its keys and write it out once."""
     keys = list(order_by)
-    need_columns(df, *keys)
-    spread = df.withColumns({
-        key: F.coalesce(
-            F.col(key),
-            F.raise_error(F.lit(f"null order key {key}")).cast(df.schema[key].dataType),
-        )
-        for key in keys
-        if df.schema[key].nullable
-    })
+    spread = _without_null_keys(df, keys)
     if partitions is None:
         spread = spread.repartitionByRange(*keys)
     else:
@@ -116,23 +119,40 @@ def _literal(value, dtype: T.DataType) -> Column:
     return F.lit(value).cast(dtype)
 
 
-def at_or_after(df: DataFrame, keys: Sequence[str], values: tuple) -> Column:
-    """Rows whose key is not before the given one, in key order."""
-    bounds = [_literal(value, df.schema[key].dataType) for key, value in zip(keys, values)]
-    condition = F.col(keys[-1]) >= bounds[-1]
-    for key, bound in list(zip(keys, bounds))[-2::-1]:
-        condition = (F.col(key) > bound) | ((F.col(key) == bound) & condition)
-    # Implied by the condition, in the form a Parquet scan can use.
-    return (F.col(keys[0]) >= bounds[0]) & condition if len(keys) > 1 else condition
+def _earlier(keys: Sequence[str], bounds: Sequence[Column]) -> Column:
+    """Rows whose key comes before the bounds, compared column by column."""
+    *front, (last, bound) = zip(keys, bounds)
+    condition = F.col(last) < bound
+    for key, bound in reversed(front):
+        condition = (F.col(key) < bound) | ((F.col(key) == bound) & condition)
+    return condition
+
+
+def _bounds(df: DataFrame, keys: Sequence[str], values: tuple) -> list[Column]:
+    return [_literal(value, df.schema[key].dataType) for key, value in zip(keys, values)]
+
+
+# The first comparison in each of these follows from the second. It is there for the Parquet scan,
+# which can use it to skip row groups.
 
 
 def before(df: DataFrame, keys: Sequence[str], values: tuple) -> Column:
     """Rows whose key is before the given one, in key order."""
-    bounds = [_literal(value, df.schema[key].dataType) for key, value in zip(keys, values)]
-    condition = F.col(keys[-1]) < bounds[-1]
-    for key, bound in list(zip(keys, bounds))[-2::-1]:
-        condition = (F.col(key) < bound) | ((F.col(key) == bound) & condition)
-    return (F.col(keys[0]) <= bounds[0]) & condition if len(keys) > 1 else condition
+    bounds = _bounds(df, keys, values)
+    return (F.col(keys[0]) <= bounds[0]) & _earlier(keys, bounds)
+
+
+def up_to(df: DataFrame, keys: Sequence[str], values: tuple) -> Column:
+    """Rows whose key is the given one or before it, in key order."""
+    bounds = _bounds(df, keys, values)
+    same = reduce(and_, (F.col(key) == bound for key, bound in zip(keys, bounds)))
+    return (F.col(keys[0]) <= bounds[0]) & (_earlier(keys, bounds) | same)
+
+
+def at_or_after(df: DataFrame, keys: Sequence[str], values: tuple) -> Column:
+    """Rows whose key is the given one or after it, in key order."""
+    bounds = _bounds(df, keys, values)
+    return (F.col(keys[0]) >= bounds[0]) & ~_earlier(keys, bounds)
 
 
 def _too_short(total: int, wanted: int) -> ValueError:
@@ -143,14 +163,16 @@ def head_rows(
     df: DataFrame, n: int, order_by: Sequence[str], strict: bool = True, top_n: int = TOP_N_ROWS
 ) -> DataFrame:
     """The first ``n`` rows. A shorter table is an error, or with ``strict=False`` kept whole."""
-    if n > top_n:
+    if n > top_n or n == 0:
         return slice_rows(df, 0, n, order_by, strict)
-    need_columns(df, *order_by)
-    if strict:
-        found = df.select(*order_by).limit(n).count()
-        if found < n:
+    keys = list(order_by)
+    first = _without_null_keys(df.select(*keys), keys).orderBy(*keys).limit(n)
+    found, last = first.agg(F.count("*"), F.max(F.struct(*keys))).first()
+    if found < n:
+        if strict:
             raise _too_short(found, n)
-    return df.orderBy(*order_by).limit(n)
+        return df
+    return df.where(up_to(df, keys, tuple(last)))
 
 
 def slice_rows(
@@ -199,9 +221,7 @@ def head_per_group(
         .select(*groups, *(F.col(key).alias(f"_cut_{key}") for key in keys))
     )
     joined = df.join(broadcast_if_small(cut), groups, "left")
-    inside = F.struct(*(F.col(key) for key in keys)) < F.struct(
-        *(F.col(f"_cut_{key}").alias(key) for key in keys)
-    )
+    inside = _earlier(keys, [F.col(f"_cut_{key}") for key in keys])
     short = F.col(f"_cut_{keys[0]}").isNull()
     return joined.where(short | inside).select(*df.columns)
 

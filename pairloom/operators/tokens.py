@@ -67,7 +67,8 @@ def _vocab_lookup(vocab: DataFrame) -> Callable[[Column], Column]:
             ])
             yield pa.ListArray.from_arrays(offsets, found)
 
-    return F.arrow_udf(lookup, "array<int>")
+    # Non-deterministic in name only: a filter on the ids must not look every word up twice.
+    return F.arrow_udf(lookup, "array<int>").asNondeterministic()
 
 
 def ones_like(ids: Column | str) -> Column:
@@ -115,7 +116,7 @@ def tokenize_with(
         for batch in batches:
             yield pd.Series(tokenizer(batch.tolist()), dtype="object")
 
-    encoder = F.pandas_udf(encode, "array<int>")
+    encoder = F.pandas_udf(encode, "array<int>").asNondeterministic()
     for column, ids, mask in zip(columns, id_columns, mask_columns):
         need_columns(df, column)
         text = reject_nulls(F.col(column), [F.col(column)], on_null, column)

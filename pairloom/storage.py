@@ -26,8 +26,21 @@ def work_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_written: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/pairloom/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/pairloom/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this program. Results that read them are lost."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    while _written:
+        path = hadoop.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:

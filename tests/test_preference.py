@@ -1,0 +1,129 @@
+import pytest
+from pyspark.sql import functions as F
+
+from pairloom import operators as op
+from pairloom.plans import recipes, stand_ins
+
+
+@pytest.mark.parametrize("preference, best", [(-2, "x"), (0, "x"), (1, "y")])
+def test_ties_go_to_the_first_response(spark, preference, best):
+    row = spark.createDataFrame(
+        [(preference, "x", "y")], "overall_preference int, response1 string, response2 string"
+    )
+    assert op.choose_best(row).first().best_response == best
+
+
+def test_a_missing_preference_fails_unless_told_otherwise(spark):
+    row = spark.createDataFrame(
+        [(None, "x", "y")], "overall_preference int, response1 string, response2 string"
+    )
+    with pytest.raises(Exception, match="null input"):
+        op.choose_best(row).collect()
+    assert op.choose_best(row, on_null="propagate").first().best_response is None
+
+
+@pytest.mark.parametrize("rank, flip, wanted", [
+    (0, False, 0), (1, False, 1), (-1, False, -1), (0, True, 1), (1, True, 0), (-1, True, -1),
+])
+def test_unflip(spark, rank, flip, wanted):
+    row = spark.createDataFrame([(rank, flip)], "rank int, flip boolean")
+    assert row.select(op.unflip_rank("rank", "flip")).first()[0] == wanted
+    twice = op.unflip_rank(op.unflip_rank("rank", "flip"), "flip")
+    assert row.select(twice).first()[0] == rank
+
+
+@pytest.fixture
+def pairs(spark):
+    return spark.range(400).select(
+        F.col("id").alias("key"), F.lit("en").alias("config"),
+        F.when(F.col("id") < 300, "train").otherwise("validation").alias("split"),
+        F.concat(F.lit("text "), "id").alias("text"),
+        F.md5(F.concat(F.lit("a"), "id")).alias("summary_a"),
+        F.md5(F.concat(F.lit("b"), "id")).alias("summary_b"),
+    )
+
+
+def test_about_half_are_flipped_and_shown_swapped(pairs):
+    rows = op.flip_pairs(pairs, "key", "summary_a", "summary_b").collect()
+    assert 150 < sum(r.flip for r in rows) < 250
+    for r in rows:
+        shown = (r.summary_b, r.summary_a) if r.flip else (r.summary_a, r.summary_b)
+        assert (r.response0, r.response1) == shown
+    straight = op.flip_pairs(pairs, "key", "summary_a", "summary_b", shuffle_order=False)
+    assert not straight.where("flip").count()
+
+
+def test_a_judge_without_position_bias_gives_the_same_verdict_either_way(pairs):
+    judge = op.rule_judge(F.when(F.col("response0") < F.col("response1"), 1).otherwise(0))
+    ranks = lambda shuffle: [
+        r.rank for r in op.judge_pairs(
+            pairs, judge, "key", "summary_a", "summary_b", shuffle_order=shuffle
+        ).orderBy("key").collect()
+    ]
+    assert ranks(True) == ranks(False)
+
+
+def test_position_bias_is_evened_out(pairs):
+    always_first = op.judge_pairs(pairs, op.rule_judge(F.lit(0)), "key", "summary_a", "summary_b")
+    rate = op.win_rate(always_first, by=()).first().win_rate
+    assert 0.4 < rate < 0.6
+
+
+def test_invalid_ranks(spark):
+    rows = spark.createDataFrame(
+        [(0, "a", "b"), (1, "a", "b"), (-1, "a", "b"), (2, "a", "b"), (None, "a", "b")],
+        "rank int, completion_a string, completion_b string",
+    )
+    kept, invalid = op.to_preference(rows, on_invalid="quarantine")
+    assert sorted((r.chosen, r.rejected) for r in kept.collect()) == [("a", "b"), ("b", "a")]
+    assert invalid.count() == 3
+    assert op.to_preference(rows, on_invalid="drop")[0].count() == 2
+    table, nothing = op.to_preference(rows)
+    assert nothing is None
+    with pytest.raises(Exception, match="chose neither"):
+        table.collect()
+    assert op.to_preference(rows.where("rank in (0, 1)"))[0].count() == 2
+
+
+def test_win_rate_of_nothing_is_null(spark):
+    rows = spark.createDataFrame([("x", -1), ("y", 1), ("y", 0), ("y", 1)], "config string, rank int")
+    rates = {r.config: (r.win_rate, r.n, r.n_invalid) for r in op.win_rate(rows, by=["config"]).collect()}
+    assert rates["x"] == (None, 0, 1)
+    assert rates["y"] == (pytest.approx(2 / 3), 3, 0)
+
+
+def test_the_judge_is_asked_once_per_pair(spark, pairs):
+    asked = spark.sparkContext.accumulator(0)
+
+    def make():
+        def answer(questions):
+            asked.add(len(questions))
+            return ["1" for _ in questions]
+
+        return answer
+
+    built = recipes.judged_summaries(pairs, "key", make)
+    assert built.table.count() == 400 and built.win_rates.count() == 2
+    built.table.where("chosen = completion_a").count()
+    assert asked.value == 400
+    assert built.table.columns == [
+        "config", "split", "key", "text", "completion_a", "completion_b", "chosen", "rejected", "rank",
+    ]
+
+
+def test_quarantine_keeps_every_pair(pairs):
+    built = op.build_preference(
+        pairs, lambda df: op.map_judge(df, recipes.JUDGE_TEMPLATE, stand_ins.digest_judge()),
+        "key", on_invalid="quarantine",
+    )
+    assert built.table.count() + built.invalid.count() == 400 and built.invalid.count() > 0
+
+
+def test_reward_texts(spark):
+    rows = spark.createDataFrame(
+        [("de", "train", "T", "yes", "no")],
+        "config string, split string, text string, chosen string, rejected string",
+    )
+    row = op.build_reward_pairs(rows).first()
+    assert (row.language, row.text) == ("de", "T\n\nTL;DR: ")
+    assert (row.chosen, row.rejected) == ("T\n\nTL;DR: yes", "T\n\nTL;DR: no")
