@@ -42,7 +42,7 @@ def training_view(
             if cap == 0:
                 continue
             if cap < order.total:
-                mine = mine & before(df, order.keys, order.keys_at([cap])[cap])
+                mine = mine & before(df, order.keys, order.cut_at(cap))
         kept.append(mine)
     return df.where(reduce(or_, kept)) if kept else df.limit(0)
 

@@ -15,9 +15,7 @@ from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
 from math import ceil
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +42,13 @@ class RowOrder:
     starts: list[int]
     total: int
 
+    def cut_at(self, position: int) -> tuple:
+        """The key of the row at a position, where a range may end: its predecessor must differ."""
+        found = self.keys_at([position] if position == 0 else [position - 1, position])
+        if found.get(position - 1) == found[position]:
+            raise ValueError(f"{self.keys} do not identify a row: {found[position]} occurs twice")
+        return found[position]
+
     def keys_at(self, positions: Sequence[int]) -> dict[int, tuple]:
         """The keys of the rows at the given positions."""
         slots = {}
@@ -142,13 +147,6 @@ def before(df: DataFrame, keys: Sequence[str], values: tuple) -> Column:
     return (F.col(keys[0]) <= bounds[0]) & _earlier(keys, bounds)
 
 
-def up_to(df: DataFrame, keys: Sequence[str], values: tuple) -> Column:
-    """Rows whose key is the given one or before it, in key order."""
-    bounds = _bounds(df, keys, values)
-    same = reduce(and_, (F.col(key) == bound for key, bound in zip(keys, bounds)))
-    return (F.col(keys[0]) <= bounds[0]) & (_earlier(keys, bounds) | same)
-
-
 def at_or_after(df: DataFrame, keys: Sequence[str], values: tuple) -> Column:
     """Rows whose key is the given one or after it, in key order."""
     bounds = _bounds(df, keys, values)
@@ -166,13 +164,14 @@ def head_rows(
     if n > top_n or n == 0:
         return slice_rows(df, 0, n, order_by, strict)
     keys = list(order_by)
-    first = _without_null_keys(df.select(*keys), keys).orderBy(*keys).limit(n)
-    found, last = first.agg(F.count("*"), F.max(F.struct(*keys))).first()
-    if found < n:
-        if strict:
-            raise _too_short(found, n)
+    first = _without_null_keys(df.select(*keys), keys).orderBy(*keys).limit(n + 1).collect()
+    if len(first) < n and strict:
+        raise _too_short(len(first), n)
+    if len(first) <= n:
         return df
-    return df.where(up_to(df, keys, tuple(last)))
+    if first[-1] == first[-2]:
+        raise ValueError(f"{keys} do not identify a row: {tuple(first[-1])} occurs twice")
+    return df.where(before(df, keys, tuple(first[-1])))
 
 
 def slice_rows(
@@ -189,12 +188,10 @@ def slice_rows(
         raise _too_short(order.total, stop)
     if start >= order.total:
         return df.limit(0)
-    edges = [p for p in (start, stop) if 0 < p < order.total]
-    found = order.keys_at(edges)
-    if start in found:
-        df = df.where(at_or_after(df, order.keys, found[start]))
-    if stop in found:
-        df = df.where(before(df, order.keys, found[stop]))
+    if start > 0:
+        df = df.where(at_or_after(df, order.keys, order.cut_at(start)))
+    if stop < order.total:
+        df = df.where(before(df, order.keys, order.cut_at(stop)))
     return df
 
 
@@ -210,15 +207,24 @@ def head_per_group(
     need_columns(df, *groups, *keys)
     limit = n if isinstance(n, Column) else F.lit(n)
     rows = row_order(df.select(*groups, *keys), [*groups, *keys]).numbered("_at")
-    first_out = (
+    # Of each group that must be cut: the first row left out, and the last one kept.
+    out = F.col("_first") + limit
+    edges = (
         rows.groupBy(*groups)
         .agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
         .where(F.col("_size") > limit)
-        .select((F.col("_first") + limit).alias("_at"))
+        .select(F.explode(F.when(limit > 0, F.array(out - 1, out)).otherwise(F.array(out))).alias("_at"))
     )
+    key = F.struct(*keys)
     cut = (
-        rows.join(broadcast_if_small(first_out), "_at")
-        .select(*groups, *(F.col(key).alias(f"_cut_{key}") for key in keys))
+        rows.join(broadcast_if_small(edges), "_at")
+        .groupBy(*groups)
+        .agg(F.min(key).alias("_last"), F.max(key).alias("_cut"), F.count("*").alias("_edges"))
+        .withColumn("_cut", F.when(
+            (F.col("_edges") > 1) & (F.col("_last") == F.col("_cut")),
+            F.raise_error(F.lit(f"{keys} do not identify a row in its group")),
+        ).otherwise(F.col("_cut")))
+        .select(*groups, *(F.col("_cut")[name].alias(f"_cut_{name}") for name in keys))
     )
     joined = df.join(broadcast_if_small(cut), groups, "left")
     inside = _earlier(keys, [F.col(f"_cut_{key}") for key in keys])
@@ -261,7 +267,7 @@ def hash_split(
     if wanted >= order.total:
         chosen = F.lit(True)
     else:
-        chosen = before(hashed, order.keys, order.keys_at([wanted])[wanted])
+        chosen = before(hashed, order.keys, order.cut_at(wanted))
     return hashed.withColumn(column, F.when(chosen, names[1]).otherwise(names[0])).drop("_hash")
 
 

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from pairloom import functions as fn
 from pairloom import operators as op
+from pairloom import sources
 from pairloom.functions.messages import message
 from pairloom.plans import inputs, recipes, stand_ins
-from pairloom.sources import list_configs, list_splits, publish, read_dataset, read_sweep
 from pairloom.storage import new_path
 
 
@@ -96,13 +96,13 @@ def distinct_keys(spark, folder):
 
 
 @query("SELECT DISTINCT lang AS config FROM documents")
-def configs(spark, folder):
-    return list_configs(inputs.articles(spark, folder))
+def list_configs(spark, folder):
+    return sources.list_configs(inputs.articles(spark, folder))
 
 
 @query(f"SELECT DISTINCT split FROM ({inputs.ARTICLES_SQL}) WHERE config = 'en'")
-def splits(spark, folder):
-    return list_splits(inputs.articles(spark, folder), "en")
+def list_splits(spark, folder):
+    return sources.list_splits(inputs.articles(spark, folder), "en")
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -113,25 +113,25 @@ def splits(spark, folder):
 def publish_roundtrip(spark, folder):
     rows = inputs.articles(spark, folder).select("doc_id", "text", "config", "split")
     root = new_path(spark, "published")
-    publish(rows, root)
+    sources.publish(rows, root)
     again = rows.where(F.col("config") == "en").withColumn(
         "text", F.concat(F.lit("rewritten: "), "text")
     )
-    publish(again, root, scope="parts")
-    return read_dataset(spark, root, schema=rows.schema)
+    sources.publish(again, root, scope="parts")
+    return sources.read_dataset(spark, root, schema=rows.schema)
 
 
 @query(f"SELECT doc_id, text FROM ({inputs.ARTICLES_SQL}) WHERE config = 'fr' AND split = 'train'")
 def read_part(spark, folder):
     rows = inputs.articles(spark, folder).select("doc_id", "text", "config", "split")
     root = new_path(spark, "published")
-    publish(rows, root)
-    return read_dataset(spark, root, "fr", "train").select("doc_id", "text")
+    sources.publish(rows, root)
+    return sources.read_dataset(spark, root, "fr", "train").select("doc_id", "text")
 
 
 @query(f"""SELECT CAST(event_id AS BIGINT) AS run_id, method AS self_preference,
                   round(winrate, 6) AS global_winrate FROM ({inputs.SWEEP_RUNS_SQL})""")
-def sweep_file(spark, folder):
+def read_sweep(spark, folder):
     path = new_path(spark, "sweep-csv")
     runs = inputs.sweep_runs(spark, folder).select(
         F.col("event_id").alias("run.id"), F.col("method").alias("self-preference"),
@@ -139,7 +139,7 @@ def sweep_file(spark, folder):
     )
     runs.write.option("header", True).option("quoteAll", True).csv(path)
     schema = "`run.id` bigint, `self-preference` string, `global-winrate` double"
-    return read_sweep(spark, path, schema).select("run_id", "self_preference", _six("global_winrate"))
+    return sources.read_sweep(spark, path, schema).select("run_id", "self_preference", _six("global_winrate"))
 
 
 # ---------------------------------------------------------------- projections
@@ -326,7 +326,7 @@ SELECT doc_id, text,
             THEN 'validation' ELSE 'train' END AS split
 FROM documents
 """)
-def instruction_splits(spark, folder):
+def hash_split_exact(spark, folder):
     docs = inputs.table(spark, folder, "documents").select("doc_id", "text")
     return recipes.instruction_splits(docs, "doc_id")
 
@@ -372,7 +372,7 @@ def mean_by(spark, folder):
 
 
 @query("SELECT event_type AS method, min(value) AS min, max(value) AS max FROM events GROUP BY 1")
-def value_range(spark, folder):
+def min_max(spark, folder):
     return op.value_range(inputs.sweep_runs(spark, folder), "method", "winrate")
 
 
@@ -700,7 +700,7 @@ def build_preference(spark, folder):
                   text || chr(10) || chr(10) || 'TL;DR: ' || chosen AS chosen,
                   text || chr(10) || chr(10) || 'TL;DR: ' || rejected AS rejected
            FROM ({JUDGED_TABLE_SQL})""")
-def summary_rewards(spark, folder):
+def build_reward_pairs(spark, folder):
     judge = op.rule_judge(inputs.prefers())
     built = op.build_preference(_pairs(spark, folder), judge, "doc_id", on_invalid="drop")
     return recipes.summary_rewards(built.table).drop("completion_a", "completion_b", "rank")
@@ -718,6 +718,16 @@ def prompted_pairs(spark, folder):
 # ---------------------------------------------------------------- models
 
 
+@query("""SELECT doc_id, md5('a:' || text) AS summary_a, md5('b:' || text) AS summary_b
+          FROM documents""")
+def candidate_pairs(spark, folder):
+    docs = inputs.table(spark, folder, "documents").select("doc_id", "text")
+    pairs = op.candidate_pairs(
+        docs, "text", stand_ins.digest_model("a:"), stand_ins.digest_model("b:")
+    )
+    return pairs.drop("text")
+
+
 @query("SELECT conv_id, turn, text || md5('m:' || text) AS answer FROM conversations")
 def map_generate(spark, folder):
     turns = inputs.table(spark, folder, "conversations").drop("role")

@@ -30,7 +30,7 @@ def rows_of_spark(df) -> tuple[list[str], list[str], list[tuple]]:
 
 
 def rows_of_duckdb(con, sql) -> tuple[list[str], list[str], list[tuple]]:
-    table = con.execute(sql).to_arrow_table()
+    table = con.sql(sql).to_arrow_table()
     table = table.select(sorted(table.column_names))
     return table.column_names, [str(t) for t in table.schema.types], _rows(table)
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom import operators as op
-from pairloom.operators.rows import at_or_after, before, row_order, up_to
+from pairloom.operators.rows import at_or_after, before, row_order
 
 
 def numbers(spark, n, parts=5):
@@ -109,10 +109,13 @@ VALUES = [
 def test_key_bounds_of_every_type(spark, schema, values):
     table = spark.createDataFrame([(v,) for v in reversed(values)], schema)
     order = row_order(table, ["d"])
-    for position, key in order.keys_at(range(order.total)).items():
-        assert table.where(before(table, ["d"], key)).count() == position
-        assert table.where(up_to(table, ["d"], key)).count() == position + 1
-        assert table.where(at_or_after(table, ["d"], key)).count() == order.total - position
+    keys = order.keys_at(range(order.total))
+    counts = table.agg(*(
+        F.count(F.when(condition(table, ["d"], keys[at]), 1)).alias(f"{name}{at}")
+        for name, condition in (("before", before), ("after", at_or_after)) for at in keys
+    )).first()
+    for at in keys:
+        assert (counts[f"before{at}"], counts[f"after{at}"]) == (at, order.total - at)
 
 
 def test_positions_outside_are_refused(spark):
@@ -133,6 +136,19 @@ def test_head_per_group_with_one_heavy_group(spark):
     assert sorted((r.g, r.k) for r in got) == sorted(wanted)
 
 
+def test_keys_that_do_not_identify_a_row_are_refused(spark):
+    table = spark.range(100).select((F.col("id") / 2).cast("int").alias("k"), F.lit("g").alias("g"))
+    for cut in (
+        lambda: op.head_rows(table, 5, ["k"]), lambda: op.head_rows(table, 5, ["k"], top_n=1),
+        lambda: op.slice_rows(table, 3, 8, ["k"]), lambda: op.slice_rows(table, 2, 9, ["k"]),
+        lambda: op.head_per_group(table, ["g"], 5, ["k"]).collect(),
+    ):
+        with pytest.raises(Exception, match="do not identify a row"):
+            cut()
+    assert op.head_rows(table, 6, ["k"]).count() == 6
+    assert op.head_per_group(table, ["g"], 6, ["k"]).count() == 6
+
+
 def test_head_per_group_keeps_short_groups(spark):
     table = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "g string, k int")
     assert op.head_per_group(table, ["g"], 2, ["k"]).count() == 3

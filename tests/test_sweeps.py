@@ -79,12 +79,16 @@ def test_a_full_curve_of_very_many_values_must_be_asked_for(spark, monkeypatch):
     assert op.expected_max(table(spark, CASES), "method", "v", n_max=3).count() == 13
 
 
-def test_many_curves_are_joined_without_a_broadcast(spark, monkeypatch):
-    import pairloom.operators.sweeps as sweeps
-
-    monkeypatch.setattr(sweeps, "BROADCAST_ROWS", 0)
-    got = op.expected_max(table(spark, CASES), "method", "v", n_max=3)
-    assert got.count() == 13
+@pytest.mark.parametrize("values", [
+    [0.71 + i * 1e-9 for i in range(50)], [1.0] * 400 + [1e6], [-1e6] + [1.0] * 400,
+    [1e12 + i for i in range(30)],
+])
+def test_the_spread_survives_cancellation(spark, values):
+    for row in op.expected_max(table(spark, {"m": values}), "method", "v", n_max=30).collect():
+        mean, std = plain_curve(values, 30)[row.n]
+        assert row.mean == pytest.approx(mean, rel=1e-12)
+        # The plain formula itself has an error of some units in the last place of the values.
+        assert row["std"] == pytest.approx(std, rel=1e-7, abs=max(map(abs, values)) * 1e-14)
 
 
 def test_means_leave_out_missing_keys_and_values(spark):
