@@ -104,5 +104,5 @@ def fit_pairwise_reward(
         HashingTF(inputCol="_second", outputCol="_tf_second", numFeatures=features),
         VectorAssembler(inputCols=["_tf_first", "_tf_second"], outputCol="features"),
     ])
-    fit = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=max_iter, tol=1e-8)
+    fit = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=max_iter)
     return PairwiseReward(stages, fit.fit(stages.transform(pairs).select("features", "label")))

@@ -28,6 +28,9 @@ from pairloom.storage import broadcast_if_small, materialize
 #: Up to this many rows, the n-th key is found by a plain top-n of the keys.
 TOP_N_ROWS = 1_000
 
+#: How far from its fraction an exact split looks for the cut.
+HASH_BAND = 0.01
+
 _SLOT = "_slot"  # partition number << 33 | place in the partition
 _PLACE_BITS = 33
 
@@ -262,15 +265,31 @@ def hash_split(
     if not 0 < fraction < 1:
         raise ValueError(f"fraction must lie between 0 and 1, not {fraction}")
     hashed = df.withColumn("_hash", key_hash(key, seed))
-    order = row_order(hashed.select("_hash", key), ["_hash", key])
-    wanted = ceil(fraction * order.total)
-    if wanted >= order.total:
+    keys = ["_hash", key]
+    # Hashes are spread evenly, so the cut lies close to the fraction: only the keys near it need
+    # an order. A table too small for that rule is put in order whole.
+    near = (F.col("_hash") >= _hex(fraction - HASH_BAND)) & (F.col("_hash") < _hex(fraction + HASH_BAND))
+    total, lower, inside = hashed.agg(
+        F.count("*"), F.count(F.when(F.col("_hash") < _hex(fraction - HASH_BAND), 1)),
+        F.count(F.when(near, 1)),
+    ).first()
+    wanted = ceil(fraction * total)
+    if wanted >= total:
         chosen = F.lit(True)
+    elif lower < wanted < lower + inside:
+        chosen = before(
+            hashed, keys, row_order(hashed.where(near).select(*keys), keys).cut_at(wanted - lower)
+        )
     else:
-        chosen = before(hashed, order.keys, order.cut_at(wanted))
+        chosen = before(hashed, keys, row_order(hashed.select(*keys), keys).cut_at(wanted))
     return hashed.withColumn(column, F.when(chosen, names[1]).otherwise(names[0])).drop("_hash")
 
 
+def _hex(share: float) -> str:
+    """The hash prefix with this share of all hashes below it."""
+    return f"{round(min(max(share, 0.0), 1.0) * 0xFFFFFFFF):08x}"
+
+
 def assign_batches(
     df: DataFrame, order_by: Sequence[str], batch_size: int = 100, name: str = "batch_id"
 ) -> DataFrame:

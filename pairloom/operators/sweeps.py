@@ -11,11 +11,14 @@ from pyspark.sql import types as T
 from pairloom.checks import need_columns
 from pairloom.operators.filters import keep_values
 from pairloom.operators.rows import trim_curve
-from pairloom.storage import materialize
+from pairloom.storage import broadcast_if_small, materialize
 
 #: Without ``n_max`` a curve has as many points as values; beyond this many it must be given.
 FULL_CURVE_VALUES = 10_000
 
+#: Most rows (of six numbers) that say where a method's share of a partition starts, to be shipped.
+MOST_STARTS = 100_000
+
 
 def _present(df: DataFrame, name: str) -> Column:
     there = F.col(name).isNotNull()
@@ -65,9 +68,12 @@ def _empirical_cdf(df: DataFrame, method: str, value: str) -> DataFrame:
         .groupBy(F.col(method), F.col(value).cast("double").alias("v"))
         .agg(F.count("*").alias("c"))
     )
-    # Written out: a partition's number must be the same wherever it is used.
+    # Few bytes may mean much work here (every value meets every n), so the number of partitions
+    # is set, not left to their size. They are written out: a partition's number must be the same
+    # wherever it is used.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(
-        merged.repartitionByRange(method, "v").withColumn("part", F.spark_partition_id()),
+        merged.repartitionByRange(2 * tasks, method, "v").withColumn("part", F.spark_partition_id()),
         "sweep",
     )
     # One row per method and range partition that holds it.
@@ -87,8 +93,9 @@ def _empirical_cdf(df: DataFrame, method: str, value: str) -> DataFrame:
     )
     upto = F.col("start") + F.col("running")
     return (
-        ranged.withColumn("running", running)
-        .join(starts, [method, "part"])
+        ranged.repartitionByRange(tasks, method, "part")
+        .withColumn("running", running)
+        .join(broadcast_if_small(starts, MOST_STARTS), [method, "part"])
         .select(
             method, "v", "total", "min", "max",
             ((upto - F.col("c")) / F.col("total")).alias("below"),

@@ -1,4 +1,5 @@
 import datetime as dt
+from hashlib import md5
 from math import ceil
 
 import pytest
@@ -180,11 +181,15 @@ def test_a_row_keeps_its_split_when_the_table_grows(spark):
     assert small.exceptAll(large).count() == 0
 
 
-@pytest.mark.parametrize("n, fraction", [(1, 0.1), (10, 0.1), (11, 0.1), (1003, 0.25)])
-def test_exact_split(spark, n, fraction):
-    split = op.hash_split(numbers(spark, n), "k", fraction, exact=True)
-    assert split.where("split = 'validation'").count() == ceil(fraction * n)
-    assert split.count() == n
+SIZES = [(1, 0.1), (10, 0.1), (11, 0.1), (1003, 0.25), (30000, 0.1), (30000, 0.995), (30000, 0.003)]
+
+
+@pytest.mark.parametrize("n, fraction", SIZES)
+def test_exact_split_takes_the_smallest_hashes(spark, n, fraction):
+    split = op.hash_split(numbers(spark, n), "k", fraction, seed=5, exact=True).collect()
+    by_hash = sorted(range(n), key=lambda k: (md5(f"5:{k}".encode()).hexdigest(), k))
+    chosen = sorted(r.k for r in split if r.split == "validation")
+    assert len(split) == n and chosen == sorted(by_hash[: ceil(fraction * n)])
 
 
 def test_batches(spark):
