@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 NULL_POLICIES = ("error", "propagate")
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def need_columns(df: DataFrame, *names: str) -> None:
     missing = [name for name in names if name not in df.columns]
     if missing:

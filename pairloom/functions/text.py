@@ -14,6 +14,11 @@ TLDR_SUFFIX = "\n\nTL;DR: "
 TOPIC_PATTERN = r"^SUBREDDIT:\s*r/(\w+)"
 VALID_VERDICTS = ("0", "1")
 INVALID_RANK = -1
+# The blanks at the end of an answer that do not count: those of Python's str.strip.
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 MISSING_POLICIES = ("error", "drop", "null")
 
@@ -75,5 +80,6 @@ def render_template(template: str, on_null: str = "error", **slots: Column | str
 def parse_verdict(column: Column | str) -> Column:
     """The rank a judge's answer ends with: 0, 1, or -1 when it ends with anything else."""
     answer = F.col(column) if isinstance(column, str) else column
-    last = F.regexp_extract(answer, r"(?U)(\S)\s*\z", 1)
+    # Both look at the end of the text only; a pattern would walk through all of it.
+    last = F.right(F.rtrim(answer, F.lit(BLANKS)), F.lit(1))
     return F.when(last.isin(*VALID_VERDICTS), last.try_cast("int")).otherwise(F.lit(INVALID_RANK))

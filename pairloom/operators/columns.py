@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.checks import need_choice, need_columns, reject_nulls
+from pairloom.checks import named, need_choice, need_columns, reject_nulls
 from pairloom.functions.messages import ChatTemplate, render_messages, to_messages
 from pairloom.functions.text import TLDR_SUFFIX
 
@@ -26,7 +26,7 @@ def constant_column(df: DataFrame, name: str, value: Column | str | int | float)
 def select_as(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Keep the named columns only, under new names: ``{old: new}``."""
     need_columns(df, *mapping)
-    return df.select(*(df[old].alias(new) for old, new in mapping.items()))
+    return df.select(*(named(old).alias(new) for old, new in mapping.items()))
 
 
 def rename_columns(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

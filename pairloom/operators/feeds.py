@@ -14,7 +14,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.checks import need_columns
+from pairloom.checks import named, need_columns
 from pairloom.operators.rows import before, row_order
 from pairloom.operators.tokens import words
 
@@ -63,7 +63,7 @@ class PairwiseReward:
         )
         scored = self.model.transform(seen)
         return scored.select(
-            *df.columns, vector_to_array(self.model.getRawPredictionCol())[1].alias(out)
+            *map(named, df.columns), vector_to_array(self.model.getRawPredictionCol())[1].alias(out)
         )
 
     def pair_accuracy(

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.checks import need_columns, reject_nulls
+from pairloom.checks import named, need_columns, reject_nulls
 from pairloom.functions.text import parse_verdict, render_template
 
 TextFn = Callable[[list], list]
@@ -71,8 +71,8 @@ def map_generate_many(
     generate = _generator(make_fns, batch_size, chat, system)
     answered = df.withColumn("_answers", generate(reject_nulls(text, [text], on_null, "prompt")))
     return answered.select(
-        *(F.col(f"`{name}`") for name in df.columns if name not in make_fns),
-        *(F.col(f"_answers.`{name}`").alias(name) for name in make_fns),
+        *(named(name) for name in df.columns if name not in make_fns),
+        *(F.col("_answers").getField(name).alias(name) for name in make_fns),
     )
 
 
@@ -142,4 +142,4 @@ def comparison_table(
     table = df.select(F.col(prompt), *(answer.alias(name) for name, answer in ready.items()))
     if models:
         table = map_generate_many(table, prompt, models, batch_size)
-    return table.select(F.col(prompt), *(F.col(f"`{name}`") for name in answers))
+    return table.select(F.col(prompt), *map(named, answers))

@@ -21,12 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.checks import need_columns
+from pairloom.checks import named, need_columns
 from pairloom.functions.hashing import below_fraction, key_hash
 from pairloom.storage import broadcast_if_small, materialize
 
-#: Up to this many rows, the n-th key is found by a plain top-n of the keys.
-TOP_N_ROWS = 1_000
+#: Up to this many rows, the n-th key is found by a plain top-n of the keys. Every partition sends
+#: that many keys to one task, so the number must stay small.
+TOP_N_ROWS = 100
 
 #: How far from its fraction an exact split looks for the cut.
 HASH_BAND = 0.01
@@ -232,7 +233,7 @@ def head_per_group(
     joined = df.join(broadcast_if_small(cut), groups, "left")
     inside = _earlier(keys, [F.col(f"_cut_{key}") for key in keys])
     short = F.col(f"_cut_{keys[0]}").isNull()
-    return joined.where(short | inside).select(*df.columns)
+    return joined.where(short | inside).select(*map(named, df.columns))
 
 
 def trim_curve(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from pairloom.storage import broadcast_if_small, materialize
 #: Without ``n_max`` a curve has as many points as values; beyond this many it must be given.
 FULL_CURVE_VALUES = 10_000
 
+#: Values times points of a curve that one task is given.
+TASK_WORK = 500_000
+
 #: Most rows (of six numbers) that say where a method's share of a partition starts, to be shipped.
 MOST_STARTS = 100_000
 
@@ -57,27 +61,44 @@ def value_range(df: DataFrame, method: str, value: str) -> DataFrame:
     return there.groupBy(method).agg(F.min(value).alias("min"), F.max(value).alias("max"))
 
 
-def _empirical_cdf(df: DataFrame, method: str, value: str) -> DataFrame:
-    """Per method and distinct value: the share of values below it, and up to it.
+def _partitioned_counts(
+    df: DataFrame, method: str, value: str, n_max: int | None
+) -> tuple[DataFrame, int]:
+    """Per method and distinct value how often it occurs, in range partitions ``part``, and the
+    number of tasks the curves deserve.
 
-    Equal values are merged first. The running count is then taken within range partitions and
-    shifted by the count of the partitions before, so no method's values meet in one task.
+    Few bytes may mean much work here, as every value meets every n; so the number goes by the
+    work and is not left to the size. Partitions are written out: a row must have the same one
+    wherever it is used.
     """
-    merged = (
+    merged = materialize(
         df.where(_present(df, method) & _present(df, value))
         .groupBy(F.col(method), F.col(value).cast("double").alias("v"))
-        .agg(F.count("*").alias("c"))
-    )
-    # Few bytes may mean much work here (every value meets every n), so the number of partitions
-    # is set, not left to their size. They are written out: a partition's number must be the same
-    # wherever it is used.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(
-        merged.repartitionByRange(2 * tasks, method, "v").withColumn("part", F.spark_partition_id()),
-        "sweep",
+        .agg(F.count("*").alias("c")),
+        "sweep-counts",
     )
+    points = F.col("total") if n_max is None else F.least(F.col("total"), F.lit(n_max))
+    sizes = merged.groupBy(method).agg(F.count("*").alias("values"), F.sum("c").alias("total"))
+    longest, work = sizes.agg(F.max(points), F.sum(F.col("values") * points.cast("double"))).first()
+    if n_max is None and (longest or 0) > FULL_CURVE_VALUES:
+        raise ValueError(f"a method has {longest} values: give n_max")
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = min(most, ceil((work or 0) / TASK_WORK))
+    if tasks <= 1:
+        return merged.withColumn("part", F.lit(0)), 1
+    ranged = merged.repartitionByRange(2 * tasks, method, "v")
+    return materialize(ranged.withColumn("part", F.spark_partition_id()), "sweep-parts"), tasks
+
+
+def _empirical_cdf(df: DataFrame, method: str, value: str, n_max: int | None) -> DataFrame:
+    """Per method and distinct value: the share of values below it, and up to it.
+
+    Equal values are merged first. The running count is then taken within range partitions and
+    shifted by the count of the partitions before, so no method's values meet in one task.
+    """
+    counts, tasks = _partitioned_counts(df, method, value, n_max)
     # One row per method and range partition that holds it.
-    shares = ranged.groupBy(method, "part").agg(
+    shares = counts.groupBy(method, "part").agg(
         F.sum("c").alias("in_part"), F.min("v").alias("low"), F.max("v").alias("high")
     )
     whole = Window.partitionBy(method)
@@ -92,9 +113,10 @@ def _empirical_cdf(df: DataFrame, method: str, value: str) -> DataFrame:
         Window.partitionBy(method, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     )
     upto = F.col("start") + F.col("running")
+    if tasks > 1:
+        counts = counts.repartitionByRange(tasks, method, "part")
     return (
-        ranged.repartitionByRange(tasks, method, "part")
-        .withColumn("running", running)
+        counts.withColumn("running", running)
         .join(broadcast_if_small(starts, MOST_STARTS), [method, "part"])
         .select(
             method, "v", "total", "min", "max",
@@ -118,14 +140,8 @@ def expected_max(
     the variance, and the variance keeps all but log10(N) of its sixteen digits.
     """
     need_columns(df, method, value)
-    cdf = _empirical_cdf(df, method, value)
-    if n_max is None:
-        longest = F.when(
-            F.col("total") > FULL_CURVE_VALUES,
-            F.raise_error(F.lit(f"over {FULL_CURVE_VALUES} values: give n_max")),
-        ).otherwise(F.col("total"))
-    else:
-        longest = F.least(F.col("total"), F.lit(n_max))
+    cdf = _empirical_cdf(df, method, value, n_max)
+    longest = F.col("total") if n_max is None else F.least(F.col("total"), F.lit(n_max))
     # The probability that the largest of n draws is this value.
     chance = F.pow("upto", F.col("n")) - F.pow("below", F.col("n"))
     shift = F.col("v") - F.col("max")

@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.checks import need_choice, need_columns, reject_nulls
+from pairloom.operators.rows import with_row_index
 
 # Fixed ids, ahead of the vocabulary.
 UNKNOWN_ID, BOS_ID, EOS_ID = 0, 1, 2
@@ -31,7 +32,8 @@ def words(column: Column | str) -> Column:
 def build_vocab(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     """The ``size`` most frequent words of the columns with their ids: ``token, n, id``.
 
-    Frequent words are counted before the shuffle; ties are broken by the word.
+    Frequent words are counted before the shuffle; ties are broken by the word. The ranking is
+    spread over range partitions: there may be far more words than one task can sort.
     """
     if not 0 < size <= MAX_VOCAB:
         raise ValueError(f"size must lie between 1 and {MAX_VOCAB}")
@@ -40,10 +42,10 @@ def build_vocab(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     every = F.concat(*(F.coalesce(words(column), none) for column in columns))
     found = df.select(F.explode(every).alias("token"))
     counts = found.groupBy("token").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(size)
-    # At most `size` rows are left to number.
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
-    return top.withColumn("id", (rank + F.lit(FIRST_ID - 1)).cast("int"))
+    ranked = with_row_index(counts.withColumn("_rarity", -F.col("n")), ["_rarity", "token"], "_rank")
+    return ranked.where(F.col("_rank") < size).select(
+        "token", "n", (F.col("_rank") + FIRST_ID).cast("int").alias("id")
+    )
 
 
 def _vocab_lookup(vocab: DataFrame) -> Callable[[Column], Column]:
@@ -74,7 +76,7 @@ def _vocab_lookup(vocab: DataFrame) -> Callable[[Column], Column]:
 def ones_like(ids: Column | str) -> Column:
     """The attention mask of an id list: a 1 for every id."""
     column = F.col(ids) if isinstance(ids, str) else ids
-    return F.transform(column, lambda _: F.lit(1))
+    return F.array_repeat(F.lit(1), F.size(column))
 
 
 def encode_tokens(

@@ -460,7 +460,7 @@ def render_template(spark, folder):
     return inputs.rated(spark, folder).select("doc_id", question.alias("question"))
 
 
-@query("""SELECT doc_id, CASE regexp_extract(text || md5(text), '([^\\s])\\s*$', 1)
+@query("""SELECT doc_id, CASE right(rtrim(text || md5(text) || ' ' || chr(10), ' ' || chr(10)), 1)
                          WHEN '0' THEN 0 WHEN '1' THEN 1 ELSE -1 END AS rank FROM documents""")
 def parse_verdict(spark, folder):
     docs = inputs.table(spark, folder, "documents")
@@ -570,8 +570,7 @@ def build_vocab(spark, folder):
            WHERE NOT regexp_matches(text, '[^ \\t\\r\\n]')""")
 def encode_tokens(spark, folder):
     rows = _encoded(spark, folder, special=False)
-    total = F.aggregate("mask", F.lit(0).cast("bigint"), lambda total, one: total + one)
-    return rows.select("doc_id", _id_text("ids"), total.alias("n"))
+    return rows.select("doc_id", _id_text("ids"), F.size("mask").cast("bigint").alias("n"))
 
 
 @query(f"""SELECT doc_id, '1 ' || coalesce(ids || ' ', '') || '2' AS ids, CAST(coalesce(n, 0) + 2 AS BIGINT) AS n

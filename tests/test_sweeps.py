@@ -55,15 +55,18 @@ def test_missing_values_and_n_max(spark):
     assert op.expected_max(df.where("false"), "method", "v").count() == 0
 
 
-def test_one_heavy_method_is_spread_over_range_partitions(spark):
+def test_one_heavy_method_is_spread_over_range_partitions(spark, monkeypatch, plan_of):
     """Values of one method in many partitions give the curve of the whole method."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        values = [((i * 7919) % 10007) / 10007 for i in range(3000)]
-        df = table(spark, {"hot": values, "small": [0.1, 0.9]}).repartition(7)
-        got = {(r.method, r.n): r for r in op.expected_max(df, "method", "v", n_max=4).collect()}
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    import pairloom.operators.sweeps as sweeps
+
+    monkeypatch.setattr(sweeps, "TASK_WORK", 1000)
+    values = [((i * 7919) % 10007) / 10007 for i in range(3000)]
+    df = table(spark, {"hot": values, "small": [0.1, 0.9]}).repartition(7)
+    counts, tasks = sweeps._partitioned_counts(df, "method", "v", 4)
+    sizes = [r["count"] for r in counts.groupBy("part").count().collect()]
+    assert tasks == 8 and len(sizes) > 8 and max(sizes) < 3000 / 5
+    curves = op.expected_max(df, "method", "v", n_max=4)
+    got = {(r.method, r.n): r for r in curves.collect()}
     for n, (mean, std) in plain_curve(values, 4).items():
         assert got["hot", n].mean == pytest.approx(mean, rel=1e-10)
         assert got["hot", n]["std"] == pytest.approx(std, rel=1e-9)

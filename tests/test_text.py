@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom import functions as fn
+from pairloom.functions.text import BLANKS
 from pairloom.operators import apply_chat_template, with_key
 
 TEMPLATE = fn.ChatTemplate("<s>", "[", "] ", "\n", "[assistant] ")
@@ -14,9 +15,16 @@ def one(spark, text, column):
 @pytest.mark.parametrize("answer, rank", [
     ("0", 0), ("ok 1\n", 1), (" 0 ", 0), ("", -1), ("abc", -1), ("1.", -1), (None, -1),
     ("first line 0\nthen 1\t\n", 1), ("1 ", 1), ("0\n\nno", -1), ("10", 0), ("١", -1),
+    ("1\x1f\u3000\xa0", 1), ("0\u200b", -1), ("\U0001f600", -1), (" \n", -1),
 ])
 def test_verdict_is_the_last_visible_character(spark, answer, rank):
     assert one(spark, answer, fn.parse_verdict("text")) == rank
+    if answer and answer.strip():
+        assert rank == (int(answer.strip()[-1]) if answer.strip()[-1] in ("0", "1") else -1)
+
+
+def test_blanks_are_those_that_strip_removes():
+    assert sorted(BLANKS) == [chr(c) for c in range(0x110000) if not chr(c).strip()]
 
 
 @pytest.mark.parametrize("text, key", [

@@ -29,6 +29,7 @@ def test_ids_and_masks(texts):
     wanted = {1: [b, a, a], 2: [], 3: [UNKNOWN_ID, b]}
     for row in rows:
         assert row.xi == [BOS_ID, *wanted[row.id], EOS_ID] and row.xm == [1] * len(row.xi)
+        assert row.ym == [1] * len(row.yi)
         assert len(row.yi) == len(row.ym)
     plain = op.encode_tokens(texts, ["x"], vocab, ["i"], ["m"], add_special_tokens=False)
     assert {r.id: r.i for r in plain.collect()} == wanted
