@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairloom.checks import need_columns
 from pairloom.functions.text import TOPIC_PATTERN, extract_key
-from pairloom.storage import broadcast_if_small
+from pairloom.storage import materialize
 
 
 def with_key(
@@ -43,6 +43,6 @@ def fan_out(
     However many keys there are, the table is read twice: for the keys, and for the rows.
     """
     need_columns(df, key, split)
-    keys = distinct_keys(df.where(F.col(split) == key_from), key)
-    kept = df.join(broadcast_if_small(keys), key, "left_semi")
+    keys = materialize(distinct_keys(df.where(F.col(split) == key_from), key), "keys")
+    kept = df.join(keys, key, "left_semi")
     return kept.withColumn(config, F.col(key))

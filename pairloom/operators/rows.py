@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from pairloom.checks import named, need_columns
 from pairloom.functions.hashing import below_fraction, key_hash
-from pairloom.storage import broadcast_if_small, materialize
+from pairloom.storage import materialize
 
 #: Up to this many rows, the n-th key is found by a plain top-n of the keys. Every partition sends
 #: that many keys to one task, so the number must stay small.
@@ -46,6 +46,12 @@ class RowOrder:
     starts: list[int]
     total: int
 
+    def _slot_at(self, position: int) -> int:
+        if not 0 <= position < self.total:
+            raise ValueError(f"no row at {position}; the table has {self.total}")
+        at = bisect_right(self.starts, position) - 1
+        return (self.parts[at] << _PLACE_BITS) + position - self.starts[at]
+
     def cut_at(self, position: int) -> tuple:
         """The key of the row at a position, where a range may end: its predecessor must differ."""
         found = self.keys_at([position] if position == 0 else [position - 1, position])
@@ -55,27 +61,24 @@ class RowOrder:
 
     def keys_at(self, positions: Sequence[int]) -> dict[int, tuple]:
         """The keys of the rows at the given positions."""
-        slots = {}
-        for position in positions:
-            if not 0 <= position < self.total:
-                raise ValueError(f"no row at {position}; the table has {self.total}")
-            at = bisect_right(self.starts, position) - 1
-            slots[(self.parts[at] << _PLACE_BITS) + position - self.starts[at]] = position
+        slots = {self._slot_at(position): position for position in positions}
         found = (
             self.table.where(F.col(_SLOT).isin(list(slots))).select(_SLOT, *self.keys).collect()
         )
         return {slots[row[_SLOT]]: tuple(row)[1:] for row in found}
 
-    def numbered(self, name: str) -> DataFrame:
-        """The table with the position of each row."""
-        spark = self.table.sparkSession
+    def numbered(self, name: str, stop: int | None = None) -> DataFrame:
+        """The rows, or those before position ``stop``, with the position of each."""
+        spark, table = self.table.sparkSession, self.table
+        if stop is not None and stop < self.total:
+            table = table.where(F.col(_SLOT) < self._slot_at(stop))
         # One row per range partition: bounded by the number of shuffle partitions.
         starts = spark.createDataFrame(
             list(zip(self.parts, self.starts)), "_part bigint, _start bigint"
         )
         place = F.col(_SLOT).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
         return (
-            self.table.withColumn("_part", F.shiftright(_SLOT, _PLACE_BITS))
+            table.withColumn("_part", F.shiftright(_SLOT, _PLACE_BITS))
             .join(F.broadcast(starts), "_part")
             .withColumn(name, F.col("_start") + place)
             .drop("_part", "_start", _SLOT)
@@ -221,7 +224,7 @@ def head_per_group(
     )
     key = F.struct(*keys)
     cut = (
-        rows.join(broadcast_if_small(edges), "_at")
+        rows.join(materialize(edges, "edges"), "_at")
         .groupBy(*groups)
         .agg(F.min(key).alias("_last"), F.max(key).alias("_cut"), F.count("*").alias("_edges"))
         .withColumn("_cut", F.when(
@@ -230,7 +233,7 @@ def head_per_group(
         ).otherwise(F.col("_cut")))
         .select(*groups, *(F.col("_cut")[name].alias(f"_cut_{name}") for name in keys))
     )
-    joined = df.join(broadcast_if_small(cut), groups, "left")
+    joined = df.join(materialize(cut, "cuts"), groups, "left")
     inside = _earlier(keys, [F.col(f"_cut_{key}") for key in keys])
     short = F.col(f"_cut_{keys[0]}").isNull()
     return joined.where(short | inside).select(*map(named, df.columns))

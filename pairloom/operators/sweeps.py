@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pairloom.checks import need_columns
 from pairloom.operators.filters import keep_values
 from pairloom.operators.rows import trim_curve
-from pairloom.storage import broadcast_if_small, materialize
+from pairloom.storage import materialize
 
 #: Without ``n_max`` a curve has as many points as values; beyond this many it must be given.
 FULL_CURVE_VALUES = 10_000
@@ -20,9 +20,6 @@ FULL_CURVE_VALUES = 10_000
 #: Values times points of a curve that one task is given.
 TASK_WORK = 500_000
 
-#: Most rows (of six numbers) that say where a method's share of a partition starts, to be shipped.
-MOST_STARTS = 100_000
-
 
 def _present(df: DataFrame, name: str) -> Column:
     there = F.col(name).isNotNull()
@@ -117,7 +114,7 @@ def _empirical_cdf(df: DataFrame, method: str, value: str, n_max: int | None) ->
         counts = counts.repartitionByRange(tasks, method, "part")
     return (
         counts.withColumn("running", running)
-        .join(broadcast_if_small(starts, MOST_STARTS), [method, "part"])
+        .join(materialize(starts, "sweep-starts"), [method, "part"])
         .select(
             method, "v", "total", "min", "max",
             ((upto - F.col("c")) / F.col("total")).alias("below"),

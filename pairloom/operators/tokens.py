@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.checks import need_choice, need_columns, reject_nulls
-from pairloom.operators.rows import with_row_index
+from pairloom.operators.rows import row_order
 
 # Fixed ids, ahead of the vocabulary.
 UNKNOWN_ID, BOS_ID, EOS_ID = 0, 1, 2
@@ -42,14 +42,14 @@ def build_vocab(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     every = F.concat(*(F.coalesce(words(column), none) for column in columns))
     found = df.select(F.explode(every).alias("token"))
     counts = found.groupBy("token").agg(F.count("*").alias("n"))
-    ranked = with_row_index(counts.withColumn("_rarity", -F.col("n")), ["_rarity", "token"], "_rank")
-    return ranked.where(F.col("_rank") < size).select(
+    order = row_order(counts.withColumn("_rarity", -F.col("n")), ["_rarity", "token"])
+    return order.numbered("_rank", size).select(
         "token", "n", (F.col("_rank") + FIRST_ID).cast("int").alias("id")
     )
 
 
 def _vocab_lookup(vocab: DataFrame) -> Callable[[Column], Column]:
-    rows = vocab.select("token", "id").orderBy("id").limit(MAX_VOCAB + 1).collect()
+    rows = vocab.select("token", "id").limit(MAX_VOCAB + 1).collect()
     if len(rows) > MAX_VOCAB:
         raise ValueError(f"a vocabulary may have {MAX_VOCAB} tokens at most")
     known = vocab.sparkSession.sparkContext.broadcast(

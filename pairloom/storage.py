@@ -1,4 +1,4 @@
-"""Intermediate tables, and the size check that precedes every broadcast."""
+"""Intermediate tables."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Most rows a table may have to be shipped whole to every executor.
-BROADCAST_ROWS = 10_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -46,20 +42,10 @@ def release(spark: SparkSession) -> None:
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once and read it back: lineage is cut, columns stay prunable.
 
-    Use it before a result that must not be computed twice (a model's answers) feeds two plans.
+    Use it before a result that must not be computed twice (a model's answers) feeds two plans,
+    and for a join side that may be small: Spark knows the size of what was written and broadcasts
+    it below ``spark.sql.autoBroadcastJoinThreshold`` only.
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` as a broadcast side if it is shown to have at most ``max_rows`` rows, else as it is.
-
-    At most ``max_rows + 1`` rows reach the driver. A larger table is left to an ordinary shuffled
-    join, whose hot keys adaptive execution splits.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

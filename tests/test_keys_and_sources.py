@@ -28,15 +28,29 @@ def test_fan_out_reads_rows_once_and_ships_a_checked_side(table, plan_of):
     assert plan.count("LeftSemi") == 1 and "BroadcastHashJoin" in plan
 
 
-def test_many_keys_are_not_broadcast(spark, monkeypatch):
-    table = spark.range(200).select(
-        F.col("id").cast("string").alias("topic"), F.lit("train").alias("split")
+def test_many_keys_are_not_broadcast(spark, plan_of):
+    table = spark.range(5000).select(
+        F.md5(F.col("id").cast("string")).alias("topic"), F.lit("train").alias("split")
     )
-    small = storage.broadcast_if_small(table, 100)
-    assert small is table
-    assert storage.broadcast_if_small(table, 200) is not table
-    monkeypatch.setattr(op.keys, "broadcast_if_small", lambda df: storage.broadcast_if_small(df, 50))
-    assert op.fan_out(table, "topic").count() == 200
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10KB")
+    try:
+        subsets = op.fan_out(table, "topic")
+        assert "BroadcastHashJoin" not in plan_of(subsets) and subsets.count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_an_intermediate_table_is_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    side = storage.materialize(spark.range(30).mapInPandas(count, "id bigint"))
+    assert spark.range(50).join(side, "id").count() == side.count() == 30 and seen.value == 30
+    assert storage.materialize(spark.range(0)).count() == 0
 
 
 def test_publish_replaces_one_part_only(spark, table, tmp_path):

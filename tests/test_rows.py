@@ -157,12 +157,13 @@ def test_head_per_group_keeps_short_groups(spark):
     assert op.head_per_group(table, ["g"], 0, ["k"]).count() == 0
 
 
-def test_head_per_group_without_broadcast(spark, monkeypatch):
-    import pairloom.operators.rows as rows
-
-    monkeypatch.setattr(rows, "broadcast_if_small", lambda df: df)
+def test_head_per_group_without_broadcast(spark):
     table = numbers(spark, 500).withColumn("g", F.col("k") % 60)
-    assert op.head_per_group(table, ["g"], 3, ["k"]).count() == 180
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert op.head_per_group(table, ["g"], 3, ["k"]).count() == 180
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_hash_split_covers_and_repeats(spark):
