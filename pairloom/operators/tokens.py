@@ -91,7 +91,7 @@ def encode_tokens(
     """Add ids and attention mask for each text column; unknown words get the unknown id.
 
     Words are looked up where the row is: whole Arrow batches against the vocabulary, no shuffle
-    of words and none of rows.
+    of words and none of rows. Filter the rows first: Spark moves no filter below the lookup.
     """
     lookup = _vocab_lookup(vocab)
     for column, ids, mask in zip(columns, id_columns, mask_columns):

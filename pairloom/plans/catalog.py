@@ -605,6 +605,25 @@ def limit_length_drop(spark, folder):
     return short.select("pair_id", F.size("a").alias("up"), F.size("b").alias("down"))
 
 
+@query(f"""SELECT doc_id, split, CAST(len(words) AS INTEGER) AS up, CAST(len(words) + 1 AS INTEGER) AS down
+           FROM (SELECT *, regexp_extract_all(prompt, '[^ \\t\\r\\n]+') AS words FROM ({FEED_SQL}
+                 WHERE (split = 'train' AND pos <= 100) OR (split = 'validation' AND pos <= 10)))
+           WHERE len(words) + 1 <= 200""")
+def reward_feed(spark, folder):
+    pairs = inputs.posts(spark, folder).select(
+        "doc_id", "split", F.col("prompt").alias("chosen"),
+        F.concat("prompt", F.lit("\n"), "split").alias("rejected"),
+    )
+    vocab = _vocab(spark, folder)
+    encode = lambda rows: op.encode_tokens(
+        rows, ["chosen", "rejected"], vocab, ["a", "b"], ["a_mask", "b_mask"],
+        add_special_tokens=False,
+    )
+    caps = {"train": 100, "validation": 10}
+    fed = recipes.reward_feed(pairs, ["doc_id"], ["a", "b"], caps, 200, encode)
+    return fed.select("doc_id", "split", F.size("a").alias("up"), F.size("b").alias("down"))
+
+
 # ---------------------------------------------------------------- preferences
 
 

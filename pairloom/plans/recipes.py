@@ -7,7 +7,7 @@ columns, covers all subsets in one job, and leaves writing to
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +41,7 @@ from pairloom.operators.preference import (
 from pairloom.operators.rows import hash_split, head_per_group, head_rows, slice_rows
 from pairloom.operators.sweeps import sweep_curves
 from pairloom.operators.tables import concat_tables, fold_splits
+from pairloom.operators.tokens import limit_length
 
 # Sizes, ranges and names of the published data sets.
 SFT_TRAIN_ROWS = 16722
@@ -100,6 +101,47 @@ def ppo_rows(
     return concat_tables(part, keep_values(df, "split", ["validation", "test"]))
 
 
+def sft_feed(
+    df: DataFrame,
+    order_by: Sequence[str],
+    id_columns: Sequence[str] = (),
+    caps: dict[str, int | None] = SFT_FEED,
+    tokens: int = SFT_TOKENS,
+    encode: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """The rows a fine-tuning trainer is given; longer id lists are cut.
+
+    ``encode`` adds the id columns, to the chosen rows only.
+    """
+    rows = encode(training_view(df, caps, order_by))
+    return limit_length(rows, list(id_columns), tokens, "truncate")
+
+
+def reward_feed(
+    df: DataFrame,
+    order_by: Sequence[str],
+    id_columns: Sequence[str] = (),
+    caps: dict[str, int | None] = REWARD_FEED,
+    tokens: int = REWARD_TOKENS,
+    encode: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """The pairs a reward trainer is given; a pair with a longer id list is dropped."""
+    rows = encode(training_view(df, caps, order_by))
+    return limit_length(rows, list(id_columns), tokens, "drop")
+
+
+def multilingual_reward_feed(
+    df: DataFrame,
+    order_by: Sequence[str],
+    id_columns: Sequence[str] = (),
+    encode: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
+    """:func:`reward_feed` with the row caps and the length of the multilingual set."""
+    return reward_feed(
+        df, order_by, id_columns, MULTILINGUAL_REWARD_FEED, MULTILINGUAL_REWARD_TOKENS, encode
+    )
+
+
 def prompted_pairs(df: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Prompt in front of both the chosen and the rejected answer."""
     return cat_columns(df, [prompt, prompt], ["chosen", "rejected"], ["chosen", "rejected"])

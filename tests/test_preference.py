@@ -86,9 +86,9 @@ def test_invalid_ranks(spark):
 
 
 def test_win_rate_of_nothing_is_null(spark):
-    rows = spark.createDataFrame([("x", -1), ("y", 1), ("y", 0), ("y", 1)], "config string, rank int")
+    rows = spark.createDataFrame([("x", -1), ("x", None), ("y", 1), ("y", 0), ("y", 1)], "config string, rank int")
     rates = {r.config: (r.win_rate, r.n, r.n_invalid) for r in op.win_rate(rows, by=["config"]).collect()}
-    assert rates["x"] == (None, 0, 1)
+    assert rates["x"] == (None, 0, 2)
     assert rates["y"] == (pytest.approx(2 / 3), 3, 0)
 
 

@@ -131,6 +131,22 @@ def test_sft_and_ppo_rows_do_not_overlap(spark):
     assert recipes.SFT_TRAIN_ROWS == recipes.PPO_TRAIN_RANGE[0]
 
 
+def test_feeds_cap_rows_and_lengths(spark):
+    rows = spark.range(30).select(
+        "id", F.when(F.col("id") < 20, "train").otherwise("validation").alias("split"),
+        F.sequence(F.lit(0), F.col("id")).alias("a"), F.array(F.lit(1)).alias("b"),
+    )
+    caps = {"train": 10, "validation": 5}
+    cut = recipes.sft_feed(rows, ["id"], ["a"], caps, tokens=4).collect()
+    assert sorted(r.id for r in cut) == [*range(10), *range(20, 25)]
+    assert max(len(r.a) for r in cut) == 4
+    kept = recipes.reward_feed(rows, ["id"], ["a", "b"], caps, tokens=4).collect()
+    assert sorted(r.id for r in kept) == [0, 1, 2, 3]
+    assert recipes.sft_feed(rows, ["id"], caps=caps).count() == 15
+    with pytest.raises(ValueError, match="70000 train rows"):
+        recipes.multilingual_reward_feed(rows, ["id"])
+
+
 def planted(spark, n):
     """Chosen texts hold more good words than bad ones, amid noise."""
     noise = F.concat_ws(" ", *(
