@@ -30,7 +30,7 @@ def need_choice(value: str, allowed: tuple[str, ...], what: str) -> None:
 def reject_nulls(result: Column, inputs: list[Column], on_null: str, what: str) -> Column:
     """``result``, or a failed job where an input is null (``on_null="error"``).
 
-    Spark would let the null through in silence; the reference semantics fail.
+    Spark would let the null through in silence, where a row-by-row program would have failed.
     """
     need_choice(on_null, NULL_POLICIES, "on_null")
     if on_null == "propagate":

@@ -36,6 +36,7 @@ def _generator(
     head = [] if system is None else [{"role": "system", "content": system}]
 
     def answers(fn, prompts):
+        """Answers to prompts, none of them null, in batches."""
         for at in range(0, len(prompts), batch_size):
             batch = prompts[at : at + batch_size]
             if chat:
@@ -48,11 +49,12 @@ def _generator(
     def generate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         fns = {name: make_fn() for name, make_fn in make_fns.items()}
         for batch in batches:
-            prompts = batch.tolist()
-            yield pd.DataFrame({
-                name: pd.Series(list(answers(fn, prompts)), dtype="object")
-                for name, fn in fns.items()
-            })
+            there = batch.notna()
+            prompts = batch[there].tolist()
+            frame = pd.DataFrame(index=batch.index, columns=list(fns), dtype="object")
+            for name, fn in fns.items():
+                frame.loc[there, name] = list(answers(fn, prompts))
+            yield frame.where(frame.notna(), None)
 
     return F.pandas_udf(generate, schema).asNondeterministic()
 

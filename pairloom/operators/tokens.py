@@ -67,7 +67,7 @@ def _vocab_lookup(vocab: DataFrame) -> Callable[[Column], Column]:
             offsets = pa.concat_arrays([
                 pa.array([0], pa.int32()), pa.array(lengths, pa.int32())
             ])
-            yield pa.ListArray.from_arrays(offsets, found)
+            yield pa.ListArray.from_arrays(offsets, found, mask=batch.is_null())
 
     # Non-deterministic in name only: a filter on the ids must not look every word up twice.
     return F.arrow_udf(lookup, "array<int>").asNondeterministic()
@@ -116,7 +116,9 @@ def tokenize_with(
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tokenizer = make_tokenizer()
         for batch in batches:
-            yield pd.Series(tokenizer(batch.tolist()), dtype="object")
+            texts = batch.tolist()
+            ids = iter(tokenizer([text for text in texts if text is not None]))
+            yield pd.Series([None if text is None else next(ids) for text in texts], dtype="object")
 
     encoder = F.pandas_udf(encode, "array<int>").asNondeterministic()
     for column, ids, mask in zip(columns, id_columns, mask_columns):

@@ -90,6 +90,9 @@ def main(folder: str, wanted: list[str]) -> int:
             found = f"{type(error).__name__}: {str(error)[:600]}"
         bad += found is not None
         print(f"{'FAIL' if found else 'ok  '} {name} {time.time() - start:.2f}s {found or ''}", flush=True)
+    from pairloom.storage import release
+
+    release(spark)
     return bad
 
 

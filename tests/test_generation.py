@@ -64,6 +64,11 @@ def test_null_prompts(spark):
     rows = spark.createDataFrame([("a",), (None,)], "prompt string")
     with pytest.raises(Exception, match="null input"):
         op.map_generate(rows, "prompt", "a", lambda: list).collect()
+    kept = op.map_generate(
+        rows, "prompt", "a", lambda: lambda batch: [text + "!" for text in batch],
+        on_null="propagate",
+    )
+    assert {r.prompt: r.a for r in kept.collect()} == {"a": "a!", None: None}
 
 
 def test_two_settings_in_one_pass(spark, prompts, plan_of):

@@ -47,6 +47,12 @@ def test_null_text(spark, texts):
     rows = spark.createDataFrame([(None,), ("a",)], "x string")
     with pytest.raises(Exception, match="null input"):
         op.encode_tokens(rows, ["x"], vocab, ["i"], ["m"]).collect()
+    kept = op.encode_tokens(rows, ["x"], vocab, ["i"], ["m"], on_null="propagate")
+    assert {r.x: (r.i, r.m) for r in kept.collect()}[None] == (None, None)
+    own = op.tokenize_with(
+        rows, ["x"], lambda: lambda texts: [[7] for _ in texts], ["i"], ["m"], on_null="propagate"
+    )
+    assert {r.x: (r.i, r.m) for r in own.collect()} == {None: (None, None), "a": ([7], [1])}
 
 
 def test_encoding_equals_a_plain_lookup_on_whole_texts(spark):
