@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import packing
+from pairloom.llm import outliers, packing
 from pairloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -23,3 +23,8 @@ def query(run):
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.quality_rules(read_table(spark, folder, "documents"))
