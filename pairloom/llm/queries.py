@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import outliers, packing
+from pairloom.llm import compression, outliers, packing
 from pairloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -28,3 +28,23 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.quality_rules(read_table(spark, folder, "documents"))
+
+
+def _remainder(key: str, divisor: int) -> Column:
+    """CRC-32 of the id as text, modulo ``divisor``."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % divisor
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, folder: str) -> compression.CompressionModel:
+    labels = read_table(spark, folder, "labels").where(_remainder("doc_id", 5) != 0)
+    return compression.fit_compression(docs, labels)
+
+
+@query
+def op4_compression_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    scored = compression.score_quality(docs, quality_model(spark, docs, folder))
+    return scored.select(
+        "doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
