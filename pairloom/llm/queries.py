@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import compression, outliers, packing
+from pairloom.llm import compression, near_dups, outliers, packing
 from pairloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -48,3 +48,29 @@ def op4_compression_classifier(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
+
+
+_WORDS = r"regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x20\x09-\x0D]+')"
+
+SQL["op1_minhash_dedup"] = f"""
+WITH RECURSIVE worded AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([array_to_string(w[i:i+3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s
+  FROM worded),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sets
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least AS (SELECT a, min(b) AS c FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, c AS component_id, doc_id = c AS kept
+FROM sets JOIN least ON least.a = doc_id
+"""
+
+
+@query
+def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicates(read_table(spark, folder, "documents"), shingle_words=4)
