@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import compression, near_dups, outliers, packing
+from pairloom.llm import compression, near_dups, outliers, packing, word_table
 from pairloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -74,3 +74,9 @@ FROM sets JOIN least ON least.a = doc_id
 @query
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_dups.near_duplicates(read_table(spark, folder, "documents"), shingle_words=4)
+
+
+@query
+def op8_distinct_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return word_table.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
