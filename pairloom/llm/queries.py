@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import compression, near_dups, outliers, packing, word_table
+from pairloom.llm import compression, languages, near_dups, outliers, packing, word_table
 from pairloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -45,7 +45,7 @@ def op4_compression_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     scored = compression.score_quality(docs, quality_model(spark, docs, folder))
     return scored.select(
-        "doc_id", (_remainder("doc_id", 5) == 0).alias("held_out"), "score",
+        "doc_id", F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
         F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
     )
 
@@ -80,3 +80,12 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_distinct_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return word_table.encode_digests(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    model = languages.fit_languages(docs.where(_remainder("doc_id", 3) != 1))
+    found = languages.identify_languages(docs, model)
+    held_out = F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
