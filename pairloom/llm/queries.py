@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.llm import compression, languages, near_dups, outliers, packing, word_table
+from pairloom.llm import (
+    compression, languages, metric_tree, near_dups, outliers, packing, word_table,
+)
 from pairloom.llm.common import read_table
 
 QUERIES: dict = {}
@@ -89,3 +91,25 @@ def op9_language_mixture(spark: SparkSession, folder: str) -> DataFrame:
     found = languages.identify_languages(docs, model)
     held_out = F.coalesce(_remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+SQL["op7_mtree_topk"] = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query
+def op7_mtree_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    return metric_tree.top_k(vectors, F.col("vec_id") % 100 == 0)
