@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import (
-    compression, languages, metric_tree, near_dups, outliers, packing, word_table,
+    compression, languages, metric_tree, near_dups, outliers, packing, warc, word_table,
 )
 from pairloom.llm.common import read_table
 
@@ -113,3 +113,20 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 def op7_mtree_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = read_table(spark, folder, "embeddings")
     return metric_tree.top_k(vectors, F.col("vec_id") % 100 == 0)
+
+
+SQL["op2_warc_roundtrip"] = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n,
+         sha256(coalesce(html, '')) AS digest FROM pages),
+least AS (SELECT digest, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, p.digest AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN least ON p.digest = least.digest
+"""
+
+
+@query
+def op2_warc_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_digests(read_table(spark, folder, "pages"))
