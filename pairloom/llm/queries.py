@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import (
-    compression, languages, metric_tree, near_dups, outliers, packing, warc, word_table,
+    attribution, compression, languages, metric_tree, near_dups, outliers, packing, passages, warc,
+    word_table,
 )
 from pairloom.llm.common import read_table
 
@@ -130,3 +131,14 @@ FROM p LEFT JOIN least ON p.digest = least.digest
 @query
 def op2_warc_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archive_digests(read_table(spark, folder, "pages"))
+
+
+@query
+def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(read_table(spark, folder, "documents"))
+
+
+@query
+def op6_token_attribution(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read_table(spark, folder, "documents")
+    return attribution.attribute_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
