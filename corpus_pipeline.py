@@ -4,17 +4,62 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairloom.llm import packing
+from pairloom.llm import compression, near_dups, outliers, packing, passages
 from pairloom.llm.common import read_table
+from pairloom.llm.queries import quality_model
 from pairloom.storage import materialize
 
 
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` but for the ids in ``rejected (doc_id)``; rows with a null id stay."""
+    return docs.join(materialize(rejected.select("doc_id"), "rejected"), "doc_id", "left_anti").select(
+        docs.columns
+    )
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what the compression classifier scores 0.3 or more."""
+    scored = compression.score_quality(docs, quality_model(spark, docs, sf_dir))
+    return _without(docs, scored.where("score < 0.3"))
+
+
+def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep what passes the base rules and is no outlier of its language and source."""
+    return _without(docs, outliers.quality_rules(docs).where("NOT kept"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the least id of each group."""
+    found = near_dups.near_duplicates(docs)
+    once = _without(docs, found.where("NOT kept AND doc_id IS NOT NULL"))
+    # rows that repeat an id are copies as well
+    return once.where("doc_id IS NULL").unionByName(
+        once.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    )
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages that an earlier document has; ``n_chars`` follows the text."""
+    found = passages.repeated_passages(docs)
+    return passages.remove_passages(docs, found).withColumn(
+        "n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)
+    )
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack token ids into sequences of 1024."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("quality classifier", classify),
+    ("quality rules", apply_rules),
+    ("near duplicates", drop_near_duplicates),
+    ("repeated passages", cut_passages),
+    ("packing", pack),
+]
 
 #: SQL can express neither the compression model nor the tokenizer.
 ORACLE_SQL = None
