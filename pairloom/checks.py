@@ -16,6 +16,14 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores put before it until the table has no such column."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def need_columns(df: DataFrame, *names: str) -> None:
     missing = [name for name in names if name not in df.columns]
     if missing:

@@ -7,7 +7,7 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairloom.checks import need_choice, reject_nulls
+from pairloom.checks import named, need_choice, reject_nulls
 
 # They must equal the published data sets' formats.
 TLDR_SUFFIX = "\n\nTL;DR: "
@@ -60,7 +60,7 @@ def render_template(template: str, on_null: str = "error", **slots: Column | str
     The template is cut up once, on the driver, so braces inside a slot's text stay as they are.
     """
     columns = {
-        name: F.col(slot) if isinstance(slot, str) else slot for name, slot in slots.items()
+        name: named(slot) if isinstance(slot, str) else slot for name, slot in slots.items()
     }
     parts: list[Column] = []
     for literal, name, spec, conversion in Formatter().parse(template):

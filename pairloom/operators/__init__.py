@@ -18,7 +18,7 @@ from pairloom.operators.generation import (
     map_generate_many,
     map_judge,
 )
-from pairloom.operators.keys import distinct_keys, fan_out, with_key
+from pairloom.operators.keys import distinct_keys, fan_out, keep_key, with_key
 from pairloom.operators.preference import (
     PreferenceBuild,
     build_preference,
@@ -70,5 +70,5 @@ __all__ = [
     "map_judge", "mean_by", "order_methods", "rename_columns", "rule_judge", "select_as",
     "single_vs_rest", "slice_rows", "sweep_curves", "to_preference", "tokenize_with",
     "training_view", "trim_curve", "unflip_rank", "value_range", "win_rate", "with_band",
-    "with_key", "with_row_index", "with_special_ids",
+    "keep_key", "with_key", "with_row_index", "with_special_ids",
 ]

@@ -45,10 +45,10 @@ def cat_columns(
     """
     for left, right, target in zip(lhs, rhs, out):
         need_columns(df, left, right)
-        joined = F.concat(F.col(left), F.col(right))
+        joined = F.concat(named(left), named(right))
         df = df.withColumn(
             target,
-            reject_nulls(joined, [F.col(left), F.col(right)], on_null, f"{left} + {right}"),
+            reject_nulls(joined, [named(left), named(right)], on_null, f"{left} + {right}"),
         )
     return df
 
@@ -58,8 +58,8 @@ def append_suffix(
 ) -> DataFrame:
     """Append a literal to a text column, in place."""
     need_columns(df, column)
-    longer = F.concat(F.col(column), F.lit(suffix))
-    return df.withColumn(column, reject_nulls(longer, [F.col(column)], on_null, column))
+    longer = F.concat(named(column), F.lit(suffix))
+    return df.withColumn(column, reject_nulls(longer, [named(column)], on_null, column))
 
 
 def apply_chat_template(
@@ -81,7 +81,7 @@ def apply_chat_template(
     need_choice(fmt, MESSAGE_FORMATS, "fmt")
     for name, target in zip(columns, new_columns or columns):
         need_columns(df, name)
-        messages = to_messages(name, system_prompt) if fmt == "plain" else F.col(name)
+        messages = to_messages(name, system_prompt) if fmt == "plain" else named(name)
         written = render_messages(messages, template, add_generation_prompt)
         if on_null == "error":
             written = F.coalesce(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.checks import named, need_columns
-from pairloom.operators.rows import before, row_order
+from pairloom.operators.rows import before, count_rows, find_cuts
 from pairloom.operators.tokens import words
 
 
@@ -34,15 +34,16 @@ def training_view(
     need_columns(df, split, *order_by)
     kept = []
     for name, cap in caps.items():
-        mine = F.col(split) == name
+        mine = named(split) == name
         if cap is not None:
-            order = row_order(df.where(mine).select(*order_by), order_by)
-            if strict and order.total < cap:
-                raise ValueError(f"{cap} {name} rows wanted, there are {order.total}")
+            rows = df.where(mine)
+            total = count_rows(rows, order_by)
+            if strict and total < cap:
+                raise ValueError(f"{cap} {name} rows wanted, there are {total}")
             if cap == 0:
                 continue
-            if cap < order.total:
-                mine = mine & before(df, order.keys, order.cut_at(cap))
+            if cap < total:
+                mine = mine & before(df, list(order_by), find_cuts(rows, order_by, [cap], total)[cap])
         kept.append(mine)
     return df.where(reduce(or_, kept)) if kept else df.limit(0)
 

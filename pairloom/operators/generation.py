@@ -10,13 +10,13 @@ plan. Two plans still mean two calls; :func:`pairloom.storage.materialize` the r
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairloom.checks import named, need_columns, reject_nulls
+from pairloom.checks import fresh, named, need_columns, reject_nulls
 from pairloom.functions.text import parse_verdict, render_template
 
 TextFn = Callable[[list], list]
@@ -24,15 +24,18 @@ MakeFn = Callable[[], TextFn]
 
 
 def _generator(
-    make_fns: dict[str, MakeFn], batch_size: int, chat: bool, system: str | None
+    spark: SparkSession, names: list[str], load: Callable[[], dict[str, TextFn]], batch_size: int,
+    chat: bool, system: str | None,
 ) -> Callable[[Column], Column]:
     """One call over the prompt column that fills a struct with a field per model.
 
-    What runs in a task is nested here, so that it travels with the job.
+    What runs in a task is nested here, so that it travels with the job. A worker keeps a broadcast value
+    from task to task, and with it the models that were loaded into it.
     """
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
-    schema = ", ".join(f"`{name}` string" for name in make_fns)
+    schema = ", ".join(f"`{name}` string" for name in names)
+    held = spark.sparkContext.broadcast({})
     head = [] if system is None else [{"role": "system", "content": system}]
 
     def answers(fn, prompts):
@@ -47,13 +50,14 @@ def _generator(
             yield from (reply[-1]["content"] if chat else reply for reply in replies)
 
     def generate(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        fns = {name: make_fn() for name, make_fn in make_fns.items()}
+        if not held.value:
+            held.value.update(load())
         for batch in batches:
             there = batch.notna()
             prompts = batch[there].tolist()
-            frame = pd.DataFrame(index=batch.index, columns=list(fns), dtype="object")
-            for name, fn in fns.items():
-                frame.loc[there, name] = list(answers(fn, prompts))
+            frame = pd.DataFrame(index=batch.index, columns=names, dtype="object")
+            for name in names:
+                frame.loc[there, name] = list(answers(held.value[name], prompts))
             yield frame.where(frame.notna(), None)
 
     return F.pandas_udf(generate, schema).asNondeterministic()
@@ -62,19 +66,34 @@ def _generator(
 def map_generate_many(
     df: DataFrame,
     prompt: Column | str,
-    make_fns: dict[str, MakeFn],
+    make_fns: dict[str, MakeFn] | tuple[Sequence[str], Callable[[], Sequence[TextFn]]],
     batch_size: int = 8,
     chat: bool = False,
     system: str | None = None,
     on_null: str = "error",
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Add one column of answers per model, in a single pass over the prompts."""
-    text = F.col(prompt) if isinstance(prompt, str) else prompt
-    generate = _generator(make_fns, batch_size, chat, system)
-    answered = df.withColumn("_answers", generate(reject_nulls(text, [text], on_null, "prompt")))
+    """Add one column of answers per model, in a single pass over the prompts.
+
+    ``make_fns`` has a loader per column, or is the columns' names and one loader that returns a function
+    for each: several settings of a model that is loaded once. A Python worker loads once, however
+    many tasks it runs. ``partitions`` spreads the prompts over so many tasks by their hash.
+    """
+    text = named(prompt) if isinstance(prompt, str) else prompt
+    if isinstance(make_fns, dict):
+        names, loaders = list(make_fns), dict(make_fns)
+        load = lambda: {name: make() for name, make in loaders.items()}
+    else:
+        names, make_all = list(make_fns[0]), make_fns[1]
+        load = lambda: dict(zip(names, make_all(), strict=True))
+    generate = _generator(df.sparkSession, names, load, batch_size, chat, system)
+    if partitions is not None:
+        df = df.repartition(partitions, F.xxhash64(text))
+    held = fresh(df, "_answers")
+    answered = df.withColumn(held, generate(reject_nulls(text, [text], on_null, "prompt")))
     return answered.select(
-        *(named(name) for name in df.columns if name not in make_fns),
-        *(F.col("_answers").getField(name).alias(name) for name in make_fns),
+        *(named(name) for name in df.columns if name not in names),
+        *(F.col(held).getField(name).alias(name) for name in names),
     )
 
 
@@ -87,6 +106,7 @@ def map_generate(
     chat: bool = False,
     system: str | None = None,
     on_null: str = "error",
+    partitions: int | None = None,
 ) -> DataFrame:
     """Add a column of answers to the prompts.
 
@@ -94,24 +114,33 @@ def map_generate(
     given) and returns message lists; the last message's content is kept. Without it the function
     goes from text to text, and by convention its answer starts with the prompt.
     """
-    return map_generate_many(df, prompt, {out: make_fn}, batch_size, chat, system, on_null)
+    return map_generate_many(
+        df, prompt, {out: make_fn}, batch_size, chat, system, on_null, partitions
+    )
 
 
 def candidate_pairs(
     df: DataFrame,
     text: str,
-    make_a: MakeFn,
-    make_b: MakeFn,
+    make_a: MakeFn | None = None,
+    make_b: MakeFn | None = None,
     out: tuple[str, str] = ("summary_a", "summary_b"),
     batch_size: int = 8,
     chat: bool = False,
     system: str | None = None,
+    make_both: Callable[[], Sequence[TextFn]] | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Two answers to every text, under two settings of a model, in one pass."""
+    """Two answers to every text, under two settings of a model, in one pass.
+
+    ``make_both`` loads one model and returns the functions of both settings; ``make_a`` and ``make_b``
+    load one each.
+    """
     need_columns(df, text)
-    return map_generate_many(
-        df, text, {out[0]: make_a, out[1]: make_b}, batch_size, chat, system
-    )
+    if (make_both is None) == (make_a is None or make_b is None):
+        raise ValueError("give make_both, or make_a and make_b")
+    loaders = (out, make_both) if make_both is not None else {out[0]: make_a, out[1]: make_b}
+    return map_generate_many(df, text, loaders, batch_size, chat, system, partitions=partitions)
 
 
 def map_judge(
@@ -123,12 +152,25 @@ def map_judge(
     response1: str = "response1",
     out: str = "rank",
     batch_size: int = 8,
+    chat: bool = False,
+    system: str | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Ask a model which response is better: 0, 1, or -1 if its answer names neither."""
+    """Ask a model which response is better: 0, 1, or -1 if its answer names neither.
+
+    With ``chat`` the question is a user message. Without it the answer may start with the question,
+    which is cut off first: its own last character is no verdict.
+    """
     need_columns(df, text, response0, response1)
     question = render_template(template, text=text, response0=response0, response1=response1)
-    answered = map_generate(df, question, "_verdict", make_fn, batch_size)
-    return answered.withColumn(out, parse_verdict("_verdict")).drop("_verdict")
+    asked, verdict = fresh(df, "_question"), fresh(df, "_verdict")
+    answered = map_generate(
+        df.withColumn(asked, question), asked, verdict, make_fn, batch_size, chat, system,
+        partitions=partitions,
+    )
+    echoed = ~F.lit(chat) & F.startswith(verdict, asked)
+    answer = F.when(echoed, F.substr(verdict, F.length(asked) + 1)).otherwise(F.col(verdict))
+    return answered.withColumn(out, parse_verdict(answer)).drop(asked, verdict)
 
 
 def comparison_table(

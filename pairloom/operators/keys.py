@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.checks import need_columns
+from pairloom.checks import named, need_columns
 from pairloom.functions.text import TOPIC_PATTERN, extract_key
 from pairloom.storage import materialize
 
@@ -24,6 +24,12 @@ def with_key(
     return keyed.where(F.col(name).isNotNull()) if on_missing == "drop" else keyed
 
 
+def keep_key(df: DataFrame, column: str, value: str, **options) -> DataFrame:
+    """Rows whose key, extracted from a text column, is ``value``; no column is added."""
+    need_columns(df, column)
+    return df.where(extract_key(named(column), **options) == F.lit(value))
+
+
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
     """The set of keys in a table."""
     need_columns(df, key)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.checks import need_choice, need_columns, reject_nulls
+from pairloom.checks import named, need_choice, need_columns, reject_nulls
 from pairloom.functions.hashing import key_hash
 from pairloom.functions.text import INVALID_RANK, TLDR_SUFFIX
 from pairloom.operators.columns import append_suffix, cat_columns
@@ -47,11 +47,16 @@ def flip_pairs(
     b: str = "completion_b",
     seed: int | str = 0,
     shuffle_order: bool = True,
+    on_null: str = "error",
 ) -> DataFrame:
-    """Add ``flip`` and the two completions in the order the judge gets to see."""
+    """Add ``flip`` and the two completions in the order the judge gets to see.
+
+    A row without a key fails the job: left in place it would be judged with the position's bias.
+    """
     need_columns(df, key, a, b)
     flip = F.col("flip")
-    return df.withColumn("flip", flip_mask(key, seed) if shuffle_order else F.lit(False)).withColumns({
+    chance = reject_nulls(flip_mask(named(key), seed), [named(key)], on_null, key)
+    return df.withColumn("flip", chance if shuffle_order else F.lit(False)).withColumns({
         "response0": F.when(flip, F.col(b)).otherwise(F.col(a)),
         "response1": F.when(flip, F.col(a)).otherwise(F.col(b)),
     })
@@ -163,5 +168,5 @@ def build_reward_pairs(
     All configs stay in one table; ``language`` names the config a row came from.
     """
     need_columns(df, text, config, "chosen", "rejected")
-    named = append_suffix(df.withColumn(language, F.col(config)), text, suffix)
-    return cat_columns(named, [text, text], ["chosen", "rejected"], ["chosen", "rejected"])
+    labelled = append_suffix(df.withColumn(language, F.col(config)), text, suffix)
+    return cat_columns(labelled, [text, text], ["chosen", "rejected"], ["chosen", "rejected"])

@@ -3,10 +3,10 @@
 A Spark table has no row order, so each takes ``order_by``: columns that together identify a row
 and are never null. Positions are counted from 0 along them.
 
-Ranges are not cut out by numbering the table. The key columns alone are range-partitioned (no
-task gets more than its share, whatever the key), the keys at the wanted positions are looked up,
-and the table is then filtered by key: its other columns are never shuffled, and the Parquet scan
-gets the filter.
+Ranges are not cut out by numbering the table. The keys are counted in ranges taken from a sample, then
+the one range that holds the wanted position is counted in narrower ones, until few enough rows are
+left to be put in order. The table is then filtered by the key found there: nothing else is sorted or
+shuffled, and the Parquet scan gets the filters.
 """
 
 from __future__ import annotations
@@ -21,16 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.checks import named, need_columns
+from pairloom.checks import fresh, named, need_columns
 from pairloom.functions.hashing import below_fraction, key_hash
 from pairloom.storage import materialize
 
-#: Up to this many rows, the n-th key is found by a plain top-n of the keys. Every partition sends
-#: that many keys to one task, so the number must stay small.
-TOP_N_ROWS = 100
+#: Ranges that the keys are counted in when a position is looked for, and keys sampled per range.
+RANGES, SAMPLED = 64, 32
 
-#: How far from its fraction an exact split looks for the cut.
-HASH_BAND = 0.01
+#: A range of at most so many rows is put in order on its own.
+FEW_ROWS = 5000
 
 _SLOT = "_slot"  # partition number << 33 | place in the partition
 _PLACE_BITS = 33
@@ -52,20 +51,12 @@ class RowOrder:
         at = bisect_right(self.starts, position) - 1
         return (self.parts[at] << _PLACE_BITS) + position - self.starts[at]
 
-    def cut_at(self, position: int) -> tuple:
-        """The key of the row at a position, where a range may end: its predecessor must differ."""
-        found = self.keys_at([position] if position == 0 else [position - 1, position])
-        if found.get(position - 1) == found[position]:
-            raise ValueError(f"{self.keys} do not identify a row: {found[position]} occurs twice")
-        return found[position]
-
-    def keys_at(self, positions: Sequence[int]) -> dict[int, tuple]:
-        """The keys of the rows at the given positions."""
-        slots = {self._slot_at(position): position for position in positions}
-        found = (
-            self.table.where(F.col(_SLOT).isin(list(slots))).select(_SLOT, *self.keys).collect()
-        )
-        return {slots[row[_SLOT]]: tuple(row)[1:] for row in found}
+    def check_unique(self) -> None:
+        """Fail if two rows have equal keys: their places would be arbitrary."""
+        keys = list(map(named, self.keys))
+        twice = self.table.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"{self.keys} do not identify a row: {tuple(twice[0])[:-1]} occurs twice")
 
     def numbered(self, name: str, stop: int | None = None) -> DataFrame:
         """The rows, or those before position ``stop``, with the position of each."""
@@ -91,7 +82,7 @@ def _without_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         key: F.raise_error(F.lit(f"null order key {key}")).cast(df.schema[key].dataType)
         for key in keys
     }
-    return df.withColumns({key: F.coalesce(F.col(key), refused[key]) for key in keys})
+    return df.withColumns({key: F.coalesce(named(key), refused[key]) for key in keys})
 
 
 def row_order(df: DataFrame, order_by: Sequence[str], partitions: int | None = None) -> RowOrder:
@@ -121,22 +112,104 @@ def row_order(df: DataFrame, order_by: Sequence[str], partitions: int | None = N
 def with_row_index(
     df: DataFrame, order_by: Sequence[str], name: str = "row_index", partitions: int | None = None
 ) -> DataFrame:
-    """Number the rows 0, 1, 2, … along ``order_by``. Shuffles the table once."""
-    return row_order(df, order_by, partitions).numbered(name)
+    """Number the rows 0, 1, 2, … along ``order_by``, which must identify a row.
+
+    The key columns alone are put in order; the table is joined with their places once.
+    """
+    need_columns(df, *order_by)
+    keys = list(order_by)
+    order = row_order(df.select(*map(named, keys)), keys, partitions)
+    order.check_unique()
+    kept = [named(column) for column in df.columns if column != name]
+    return df.join(order.numbered(fresh(df, "_at")), keys).select(
+        *kept, named(fresh(df, "_at")).alias(name)
+    )
 
 
 def _literal(value, dtype: T.DataType) -> Column:
+    if isinstance(dtype, T.TimestampType):
+        return F.timestamp_micros(F.lit(value))
     if isinstance(value, datetime) and isinstance(dtype, T.TimestampNTZType):
         return F.lit(value.isoformat(sep=" ")).cast(dtype)
     return F.lit(value).cast(dtype)
 
 
+def _collected(df: DataFrame, keys: Sequence[str]) -> list[tuple]:
+    """Keys on the driver. A moment travels as microseconds: Python's local times are not unique."""
+    columns = [
+        F.unix_micros(named(key)) if isinstance(df.schema[key].dataType, T.TimestampType) else named(key)
+        for key in keys
+    ]
+    return [tuple(row) for row in df.select(*columns).collect()]
+
+
+def _in_order(df: DataFrame, keys: Sequence[str], limit: int) -> list[tuple]:
+    return _collected(df.orderBy(*map(named, keys)).limit(limit), keys)
+
+
+def count_rows(df: DataFrame, keys: Sequence[str]) -> int:
+    """The number of rows; a null key is an error."""
+    nulls = [F.count(F.when(named(key).isNull(), 1)) for key in keys]
+    total, *missing = df.agg(F.count("*"), *nulls).first()
+    for key, count in zip(keys, missing):
+        if count:
+            raise ValueError(f"null order key {key}")
+    return total
+
+
+def _keys_at(df: DataFrame, keys: Sequence[str], positions: Sequence[int], total: int) -> dict[int, tuple]:
+    """The keys at the given positions of a table of ``total`` rows."""
+    if total <= FEW_ROWS:
+        ordered = _in_order(df, keys, max(positions) + 1)
+        return {position: ordered[position] for position in positions}
+    every = -(-total // (RANGES * SAMPLED))
+    chosen = F.pmod(F.xxhash64(*map(named, keys)), F.lit(every)) == 0
+    sample = _in_order(df.where(chosen), keys, 4 * RANGES * SAMPLED)
+    step = max(1, len(sample) // RANGES)
+    bounds = list(dict.fromkeys(sample[step::step]))
+    reached = sum((at_or_after(df, keys, bound).cast("int") for bound in bounds), F.lit(0))
+    sizes = dict(df.groupBy(reached.alias("range")).count().collect())
+    found, start = {}, 0
+    for at in range(len(bounds) + 1):
+        size = sizes.get(at, 0)
+        inside = [position - start for position in positions if start <= position < start + size]
+        if inside:
+            part = df
+            if at > 0:
+                part = part.where(at_or_after(df, keys, bounds[at - 1]))
+            if at < len(bounds):
+                part = part.where(before(df, keys, bounds[at]))
+            if size == total:
+                raise ValueError(f"{list(keys)} do not identify a row: {size} rows cannot be told apart")
+            found |= {start + k: key for k, key in _keys_at(part, keys, inside, size).items()}
+        start += size
+    return found
+
+
+def find_cuts(
+    df: DataFrame, order_by: Sequence[str], positions: Sequence[int], total: int | None = None
+) -> dict[int, tuple]:
+    """The keys at which ranges may be cut: each one's predecessor must differ.
+
+    ``total`` is the number of rows, if the caller has counted them (`count_rows`).
+    """
+    keys = list(order_by)
+    rows = df.select(*map(named, keys))
+    total = count_rows(rows, keys) if total is None else total
+    asked = sorted({p for at in positions for p in (at - 1, at) if p >= 0})
+    found = _keys_at(rows, keys, asked, total) if asked else {}
+    for position in positions:
+        if position and found[position - 1] == found[position]:
+            raise ValueError(f"{keys} do not identify a row: {found[position]} occurs twice")
+    return {position: found[position] for position in positions}
+
+
 def _earlier(keys: Sequence[str], bounds: Sequence[Column]) -> Column:
     """Rows whose key comes before the bounds, compared column by column."""
-    *front, (last, bound) = zip(keys, bounds)
-    condition = F.col(last) < bound
+    *front, (last, bound) = zip(map(named, keys), bounds)
+    condition = last < bound
     for key, bound in reversed(front):
-        condition = (F.col(key) < bound) | ((F.col(key) == bound) & condition)
+        condition = (key < bound) | ((key == bound) & condition)
     return condition
 
 
@@ -151,34 +224,22 @@ def _bounds(df: DataFrame, keys: Sequence[str], values: tuple) -> list[Column]:
 def before(df: DataFrame, keys: Sequence[str], values: tuple) -> Column:
     """Rows whose key is before the given one, in key order."""
     bounds = _bounds(df, keys, values)
-    return (F.col(keys[0]) <= bounds[0]) & _earlier(keys, bounds)
+    return (named(keys[0]) <= bounds[0]) & _earlier(keys, bounds)
 
 
 def at_or_after(df: DataFrame, keys: Sequence[str], values: tuple) -> Column:
     """Rows whose key is the given one or after it, in key order."""
     bounds = _bounds(df, keys, values)
-    return (F.col(keys[0]) >= bounds[0]) & ~_earlier(keys, bounds)
+    return (named(keys[0]) >= bounds[0]) & ~_earlier(keys, bounds)
 
 
 def _too_short(total: int, wanted: int) -> ValueError:
     return ValueError(f"{wanted} rows wanted, the table has {total}")
 
 
-def head_rows(
-    df: DataFrame, n: int, order_by: Sequence[str], strict: bool = True, top_n: int = TOP_N_ROWS
-) -> DataFrame:
+def head_rows(df: DataFrame, n: int, order_by: Sequence[str], strict: bool = True) -> DataFrame:
     """The first ``n`` rows. A shorter table is an error, or with ``strict=False`` kept whole."""
-    if n > top_n or n == 0:
-        return slice_rows(df, 0, n, order_by, strict)
-    keys = list(order_by)
-    first = _without_null_keys(df.select(*keys), keys).orderBy(*keys).limit(n + 1).collect()
-    if len(first) < n and strict:
-        raise _too_short(len(first), n)
-    if len(first) <= n:
-        return df
-    if first[-1] == first[-2]:
-        raise ValueError(f"{keys} do not identify a row: {tuple(first[-1])} occurs twice")
-    return df.where(before(df, keys, tuple(first[-1])))
+    return slice_rows(df, 0, n, order_by, strict)
 
 
 def slice_rows(
@@ -190,15 +251,17 @@ def slice_rows(
     need_columns(df, *order_by)
     if start == stop:
         return df.limit(0)
-    order = row_order(df.select(*order_by), order_by)
-    if strict and order.total < stop:
-        raise _too_short(order.total, stop)
-    if start >= order.total:
+    keys = list(order_by)
+    total = count_rows(df, keys)
+    if strict and total < stop:
+        raise _too_short(total, stop)
+    if start >= total:
         return df.limit(0)
-    if start > 0:
-        df = df.where(at_or_after(df, order.keys, order.cut_at(start)))
-    if stop < order.total:
-        df = df.where(before(df, order.keys, order.cut_at(stop)))
+    cuts = find_cuts(df, keys, [at for at in (start, stop) if 0 < at < total], total)
+    if start in cuts:
+        df = df.where(at_or_after(df, keys, cuts[start]))
+    if stop in cuts:
+        df = df.where(before(df, keys, cuts[stop]))
     return df
 
 
@@ -263,35 +326,20 @@ def hash_split(
     ``ceil(fraction * rows)`` rows: those with the smallest hashes.
     """
     need_columns(df, key)
+    there = F.coalesce(named(key).cast("string"), F.raise_error(F.lit(f"null order key {key}")))
     if not exact:
-        chosen = below_fraction(key, fraction, seed)
+        chosen = below_fraction(there, fraction, seed)
         return df.withColumn(column, F.when(chosen, names[1]).otherwise(names[0]))
     if not 0 < fraction < 1:
         raise ValueError(f"fraction must lie between 0 and 1, not {fraction}")
-    hashed = df.withColumn("_hash", key_hash(key, seed))
-    keys = ["_hash", key]
-    # Hashes are spread evenly, so the cut lies close to the fraction: only the keys near it need
-    # an order. A table too small for that rule is put in order whole.
-    near = (F.col("_hash") >= _hex(fraction - HASH_BAND)) & (F.col("_hash") < _hex(fraction + HASH_BAND))
-    total, lower, inside = hashed.agg(
-        F.count("*"), F.count(F.when(F.col("_hash") < _hex(fraction - HASH_BAND), 1)),
-        F.count(F.when(near, 1)),
-    ).first()
+    total = count_rows(df, [key])
     wanted = ceil(fraction * total)
-    if wanted >= total:
-        chosen = F.lit(True)
-    elif lower < wanted < lower + inside:
-        chosen = before(
-            hashed, keys, row_order(hashed.where(near).select(*keys), keys).cut_at(wanted - lower)
-        )
-    else:
-        chosen = before(hashed, keys, row_order(hashed.select(*keys), keys).cut_at(wanted))
-    return hashed.withColumn(column, F.when(chosen, names[1]).otherwise(names[0])).drop("_hash")
-
-
-def _hex(share: float) -> str:
-    """The hash prefix with this share of all hashes below it."""
-    return f"{round(min(max(share, 0.0), 1.0) * 0xFFFFFFFF):08x}"
+    extra = fresh(df, "_hash")
+    hashed, keys = df.withColumn(extra, key_hash(there, seed)), [extra, key]
+    chosen = F.lit(True)
+    if wanted < total:
+        chosen = before(hashed, keys, find_cuts(hashed, keys, [wanted], total)[wanted])
+    return hashed.withColumn(column, F.when(chosen, names[1]).otherwise(names[0])).drop(extra)
 
 
 def assign_batches(
@@ -300,18 +348,29 @@ def assign_batches(
     """Number consecutive batches of ``batch_size`` rows; the last may be short."""
     if batch_size < 1:
         raise ValueError("batch_size must be positive")
-    numbered = with_row_index(df, order_by, "_at")
-    return numbered.withColumn(name, F.floor(F.col("_at") / batch_size)).drop("_at")
+    at = fresh(df, "_at")
+    numbered = with_row_index(df, order_by, at)
+    return numbered.withColumn(name, F.floor(F.col(at) / batch_size)).drop(at)
 
 
 def attach_by_position(
     df: DataFrame, order_by: Sequence[str], other: DataFrame, other_order_by: Sequence[str]
 ) -> DataFrame:
-    """Put two tables of equal length side by side, row by row."""
+    """Put two tables of equal length side by side, row by row. Their keys must identify a row."""
     shared = set(df.columns) & set(other.columns)
     if shared:
         raise ValueError(f"both tables have {sorted(shared)}")
-    left, right = row_order(df, order_by), row_order(other, other_order_by)
+    need_columns(df, *order_by)
+    need_columns(other, *other_order_by)
+    left = row_order(df.select(*map(named, order_by)), order_by)
+    right = row_order(other.select(*map(named, other_order_by)), other_order_by)
     if left.total != right.total:
         raise ValueError(f"the tables have {left.total} and {right.total} rows")
-    return left.numbered("_at").join(right.numbered("_at"), "_at").drop("_at")
+    left.check_unique()
+    right.check_unique()
+    at = fresh(other, fresh(df, "_at"))
+    # Narrow tables of keys meet by position; each wide table is then joined once, by its own key.
+    paired = materialize(left.numbered(at).join(right.numbered(at), at).drop(at), "pairs")
+    return df.join(paired, list(order_by)).join(other, list(other_order_by)).select(
+        *map(named, df.columns), *map(named, other.columns)
+    )

@@ -9,13 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.checks import need_columns
+from pairloom.checks import named, need_columns
 from pairloom.operators.filters import keep_values
 from pairloom.operators.rows import trim_curve
 from pairloom.storage import materialize
 
-#: Without ``n_max`` a curve has as many points as values; beyond this many it must be given.
-FULL_CURVE_VALUES = 10_000
+#: ``u ** n`` is 0.0 in a double once n is over this number divided by -log(u).
+UNDERFLOW = 746.0
 
 #: Values times points of a curve that one task is given.
 TASK_WORK = 500_000
@@ -76,9 +76,12 @@ def _partitioned_counts(
     )
     points = F.col("total") if n_max is None else F.least(F.col("total"), F.lit(n_max))
     sizes = merged.groupBy(method).agg(F.count("*").alias("values"), F.sum("c").alias("total"))
-    longest, work = sizes.agg(F.max(points), F.sum(F.col("values") * points.cast("double"))).first()
-    if n_max is None and (longest or 0) > FULL_CURVE_VALUES:
-        raise ValueError(f"a method has {longest} values: give n_max")
+    # The k-th largest of N values has about UNDERFLOW * N / k terms that are not 0.
+    terms = F.least(
+        F.col("values") * points.cast("double"),
+        UNDERFLOW * F.col("total") * (1 + F.log(F.col("values").cast("double"))) + points,
+    )
+    work = sizes.agg(F.sum(terms)).first()[0]
     most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = min(most, ceil((work or 0) / TASK_WORK))
     if tasks <= 1:
@@ -130,7 +133,8 @@ def expected_max(
     replacement, beside the method's smallest and largest value.
 
     n runs to the number of values, or to ``n_max`` if that is smaller. Missing values are left
-    out. The work grows with distinct values times n, so large tables need ``n_max``.
+    out. A value far below the largest has no chance to be the largest of many: its terms are only made
+    up to the n where they are 0.0 as doubles, so a whole curve takes about N log N of them.
 
     Both moments are taken in one pass, about the largest value M. That loses no accuracy to
     speak of: M itself is drawn with a chance of at least 1/N, so (M - mean)^2 is at most N times
@@ -144,7 +148,10 @@ def expected_max(
     shift = F.col("v") - F.col("max")
     moments = (
         cdf.withColumn("n_max", longest.cast("int"))
-        .select("*", F.explode(F.sequence(F.lit(1), F.col("n_max"))).alias("n"))
+        .withColumn("last", F.when(
+            F.col("upto") >= 1, F.col("n_max")
+        ).otherwise(F.least(F.col("n_max"), F.ceil(-UNDERFLOW / F.log("upto")).cast("int"))))
+        .select("*", F.explode(F.sequence(F.lit(1), F.col("last"))).alias("n"))
         .groupBy(method, "n")
         .agg(
             F.sum(shift * chance).alias("_first"), F.sum(shift * shift * chance).alias("_second"),
@@ -168,6 +175,15 @@ def with_band(df: DataFrame, mean: str = "mean", std: str = "std") -> DataFrame:
     })
 
 
+def method_names(df: DataFrame, method: str) -> DataFrame:
+    """The method column as text: numbers as doubles, so that 1 and 1.0 are one method."""
+    need_columns(df, method)
+    column = named(method)
+    if isinstance(df.schema[method].dataType, T.NumericType):
+        column = column.cast("double")
+    return df.withColumn(method, column.cast("string"))
+
+
 def order_methods(df: DataFrame, method: str = "method", n: str = "n") -> DataFrame:
     """Methods in falling order of their number, methods with a name before all of them."""
     need_columns(df, method, n)
@@ -200,11 +216,11 @@ def sweep_curves(
     by nature. ``keep`` limits the methods, ``full`` names the one method whose curve keeps its
     last point (none is trimmed without it).
     """
-    named = df.withColumn(method, F.col(method).cast("string"))
+    rows = method_names(df, method)
     if keep is not None:
-        named = keep_values(named, method, list(keep))
+        rows = keep_values(rows, method, list(keep))
     keys = [method, *(key for key in settings if key != method)]
-    curves = with_band(expected_max(mean_by(named, keys, value), method, value, n_max))
+    curves = with_band(expected_max(mean_by(rows, keys, value), method, value, n_max))
     if full is not None:
         curves = trim_curve(curves, full, method)
     return legend_names(curves, legend or {}, method)

@@ -10,16 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.checks import need_choice, need_columns, reject_nulls
+from pairloom.checks import fresh, named, need_choice, need_columns, reject_nulls
 from pairloom.operators.rows import row_order
+from pairloom.storage import fits_broadcast, materialize
 
 # Fixed ids, ahead of the vocabulary.
 UNKNOWN_ID, BOS_ID, EOS_ID = 0, 1, 2
 FIRST_ID = 3
 
-#: The largest vocabulary shipped to every task.
-MAX_VOCAB = 1_000_000
-
 LENGTH_MODES = ("truncate", "drop")
 
 
@@ -35,8 +33,8 @@ def build_vocab(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     Frequent words are counted before the shuffle; ties are broken by the word. The ranking is
     spread over range partitions: there may be far more words than one task can sort.
     """
-    if not 0 < size <= MAX_VOCAB:
-        raise ValueError(f"size must lie between 1 and {MAX_VOCAB}")
+    if size < 1:
+        raise ValueError("size must be positive")
     need_columns(df, *columns)
     none = F.array().cast("array<string>")
     every = F.concat(*(F.coalesce(words(column), none) for column in columns))
@@ -49,30 +47,80 @@ def build_vocab(df: DataFrame, columns: list[str], size: int) -> DataFrame:
 
 
 def _vocab_lookup(vocab: DataFrame) -> Callable[[Column], Column]:
-    rows = vocab.select("token", "id").limit(MAX_VOCAB + 1).collect()
-    if len(rows) > MAX_VOCAB:
-        raise ValueError(f"a vocabulary may have {MAX_VOCAB} tokens at most")
-    known = vocab.sparkSession.sparkContext.broadcast(
-        ([row["token"] for row in rows], [row["id"] for row in rows])
+    """Ids of word lists by a vocabulary small enough to be broadcast."""
+    rows = vocab.select("token", "id").collect()
+    # A worker keeps the broadcast value from task to task, and with it the index built here.
+    held = vocab.sparkSession.sparkContext.broadcast(
+        {"rows": [(row["token"], row["id"]) for row in rows], "index": None}
     )
 
     def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokens = pa.array(known.value[0], pa.string())
-        ids = pa.array(known.value[1], pa.int32())
+        if held.value["index"] is None:
+            held.value["index"] = dict(held.value["rows"])
+        index = held.value["index"]
         for batch in batches:
-            flat = batch.flatten().cast(pa.string())
-            place = pc.index_in(flat, value_set=tokens)
-            found = pc.fill_null(ids.take(place), UNKNOWN_ID)
+            flat = batch.flatten().cast(pa.string()).dictionary_encode()
+            ids = pa.array([index.get(word, UNKNOWN_ID) for word in flat.dictionary.to_pylist()], pa.int32())
             lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy().cumsum()
             offsets = pa.concat_arrays([
                 pa.array([0], pa.int32()), pa.array(lengths, pa.int32())
             ])
-            yield pa.ListArray.from_arrays(offsets, found, mask=batch.is_null())
+            yield pa.ListArray.from_arrays(offsets, ids.take(flat.indices), mask=batch.is_null())
 
     # Non-deterministic in name only: a filter on the ids must not look every word up twice.
     return F.arrow_udf(lookup, "array<int>").asNondeterministic()
 
 
+def _join_ids(df: DataFrame, lists: dict[str, Column], vocab: DataFrame) -> DataFrame:
+    """Add the id list of each word list by a join on the word, for a vocabulary of any size.
+
+    A word is looked up once per row and list; its places come back with its id.
+    """
+
+    def word_of(number: int):
+        return lambda word, at: F.struct(
+            F.lit(number).alias("_list"), at.alias("_at"), word.alias("_token")
+        )
+
+    def belongs_to(number: int):
+        return lambda place: place["_list"] == number
+
+    row = fresh(df, "_row")
+    numbered = df.withColumns(lists).withColumn(row, F.monotonically_increasing_id())
+    numbered = materialize(numbered, "rows")
+    known = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
+    placed = numbered.select(
+        row,
+        F.explode(F.concat(*(
+            F.transform(
+                F.coalesce(named(name), F.array().cast("array<string>")),
+                word_of(number),
+            )
+            for number, name in enumerate(lists)
+        ))).alias("_word"),
+    ).select(row, "_word.*").groupBy(row, "_token").agg(
+        F.collect_list(F.struct("_list", "_at")).alias("_places")
+    )
+    found = placed.join(known, "_token", "left").select(
+        row, F.coalesce("_id", F.lit(UNKNOWN_ID)).alias("_id"), F.explode("_places").alias("_place")
+    )
+    gathered = found.groupBy(row).agg(
+        F.array_sort(F.collect_list(F.struct("_place._list", "_place._at", "_id"))).alias("_ids")
+    )
+    joined = numbered.join(gathered, row, "left")
+    ids = {
+        name: F.when(named(name).isNotNull(), F.transform(
+            F.filter(
+                F.coalesce("_ids", F.array().cast("array<struct<_list:int,_at:int,_id:int>>")),
+                belongs_to(number),
+            ),
+            lambda x: x["_id"],
+        ))
+        for number, name in enumerate(lists)
+    }
+    return joined.withColumns(ids).drop(row, "_ids")
+
+
 def ones_like(ids: Column | str) -> Column:
     """The attention mask of an id list: a 1 for every id."""
     column = F.col(ids) if isinstance(ids, str) else ids
@@ -87,17 +135,37 @@ def encode_tokens(
     mask_columns: list[str],
     add_special_tokens: bool = True,
     on_null: str = "error",
+    max_words: int | None = None,
+    on_long: str = "truncate",
 ) -> DataFrame:
     """Add ids and attention mask for each text column; unknown words get the unknown id.
 
-    Words are looked up where the row is: whole Arrow batches against the vocabulary, no shuffle
-    of words and none of rows. Filter the rows first: Spark moves no filter below the lookup.
+    A vocabulary below Spark's broadcast threshold is looked up where the row is: whole Arrow batches, no
+    shuffle of words and none of rows. A larger one is joined on the word, with the same result. Filter
+    the rows first: Spark moves no filter below the lookup.
+
+    ``max_words`` is for feeds that limit the length anyway: with ``on_long="truncate"`` a text's words
+    beyond that many are not looked up, with ``"drop"`` neither is any word of a row that has more.
     """
-    lookup = _vocab_lookup(vocab)
-    for column, ids, mask in zip(columns, id_columns, mask_columns):
-        need_columns(df, column)
-        text = reject_nulls(words(column), [F.col(column)], on_null, column)
-        df = df.withColumn(ids, lookup(text)).withColumn(mask, ones_like(ids))
+    need_choice(on_long, LENGTH_MODES, "on_long")
+    need_columns(df, *columns)
+    lists = {
+        ids: reject_nulls(words(named(column)), [named(column)], on_null, column)
+        for column, ids in zip(columns, id_columns)
+    }
+    if max_words is not None and on_long == "drop":
+        for column in columns:
+            df = df.where(F.coalesce(F.size(words(named(column))) <= max_words, F.lit(True)))
+    elif max_words is not None:
+        lists = {ids: F.slice(found, 1, max_words) for ids, found in lists.items()}
+    vocab = materialize(vocab.select("token", "id"), "vocabulary")
+    if fits_broadcast(vocab):
+        lookup = _vocab_lookup(vocab)
+        df = df.withColumns({ids: lookup(found) for ids, found in lists.items()})
+    else:
+        df = _join_ids(df, lists, vocab)
+    for ids, mask in zip(id_columns, mask_columns):
+        df = df.withColumn(mask, ones_like(ids))
         if add_special_tokens:
             df = with_special_ids(df, ids, mask, BOS_ID, EOS_ID)
     return df

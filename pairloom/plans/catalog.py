@@ -312,7 +312,7 @@ def head_rows_per_split(spark, folder):
     return op.head_per_group(inputs.articles(spark, folder), ["config", "split"], cap, ["doc_id"])
 
 
-@query("""SELECT doc_id, text, CASE WHEN substr(md5('7:' || doc_id), 1, 4) < '199a'
+@query("""SELECT doc_id, text, CASE WHEN substr(md5('7:' || doc_id), 1, 13) < '199999999999a'
                                     THEN 'validation' ELSE 'train' END AS split FROM documents""")
 def hash_split(spark, folder):
     docs = inputs.table(spark, folder, "documents").select("doc_id", "text")
@@ -551,6 +551,17 @@ def _vocab(spark: SparkSession, folder: str) -> DataFrame:
     return op.build_vocab(inputs.table(spark, folder, "documents"), ["text"], VOCAB)
 
 
+def _ids_sql(table: str, key: str, column: str) -> str:
+    """Ids of one text column as text, per key."""
+    return f"""
+SELECT {key}, coalesce(string_agg(CAST(coalesce(id, 0) AS VARCHAR), ' ' ORDER BY pos)
+                       FILTER (WHERE pos IS NOT NULL), '') AS ids
+FROM (SELECT {key} FROM ({table})) LEFT JOIN
+  (SELECT {key}, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM
+     (SELECT {key}, regexp_extract_all({column}, '[^ \\t\\r\\n]+') AS words FROM ({table})))
+  USING ({key}) LEFT JOIN ({VOCAB_SQL}) USING (token) GROUP BY {key}"""
+
+
 def _id_text(column: str) -> Column:
     return F.array_join(F.col(column).cast("array<string>"), " ").alias(column)
 
@@ -587,28 +598,41 @@ def with_special_ids(spark, folder):
              USING (doc_id) LEFT JOIN ({VOCAB_SQL}) v USING (token)
            WHERE pos IS NULL OR pos <= 64 GROUP BY doc_id""")
 def limit_length_cut(spark, folder):
-    rows = op.limit_length(_encoded(spark, folder, special=False), ["ids"], 64)
-    return rows.select("doc_id", _id_text("ids"))
+    docs = inputs.table(spark, folder, "documents").select("doc_id", "text")
+    rows = op.encode_tokens(
+        docs, ["text"], _vocab(spark, folder), ["ids"], ["mask"], add_special_tokens=False, max_words=64
+    )
+    return op.limit_length(rows, ["ids"], 64).select("doc_id", _id_text("ids"))
+
 
+SHORT_SQL = f"""
+SELECT * FROM ({inputs.EXCHANGES_SQL})
+WHERE len(regexp_extract_all(prompt, '[^ \\t\\r\\n]+')) <= 30
+  AND len(regexp_extract_all(completion, '[^ \\t\\r\\n]+')) <= 30
+"""
 
-@query(f"""SELECT pair_id, CAST(len(regexp_extract_all(prompt, '[^ \\t\\r\\n]+')) AS INTEGER) AS up,
-                  CAST(len(regexp_extract_all(completion, '[^ \\t\\r\\n]+')) AS INTEGER) AS down
-           FROM ({inputs.EXCHANGES_SQL})
-           WHERE len(regexp_extract_all(prompt, '[^ \\t\\r\\n]+')) <= 30
-             AND len(regexp_extract_all(completion, '[^ \\t\\r\\n]+')) <= 30""")
+
+@query(f"""SELECT pair_id, a.ids AS up, b.ids AS down FROM ({_ids_sql(SHORT_SQL, "pair_id", "prompt")}) a
+           JOIN ({_ids_sql(SHORT_SQL, "pair_id", "completion")}) b USING (pair_id)""")
 def limit_length_drop(spark, folder):
     rows = op.encode_tokens(
         inputs.exchanges(spark, folder), ["prompt", "completion"], _vocab(spark, folder),
-        ["a", "b"], ["a_mask", "b_mask"], add_special_tokens=False,
+        ["up", "down"], ["a_mask", "b_mask"], add_special_tokens=False, max_words=30, on_long="drop",
     )
-    short = op.limit_length(rows, ["a", "b"], 30, "drop")
-    return short.select("pair_id", F.size("a").alias("up"), F.size("b").alias("down"))
+    short = op.limit_length(rows, ["up", "down"], 30, "drop")
+    return short.select("pair_id", _id_text("up"), _id_text("down"))
 
 
-@query(f"""SELECT doc_id, split, CAST(len(words) AS INTEGER) AS up, CAST(len(words) + 1 AS INTEGER) AS down
-           FROM (SELECT *, regexp_extract_all(prompt, '[^ \\t\\r\\n]+') AS words FROM ({FEED_SQL}
-                 WHERE (split = 'train' AND pos <= 100) OR (split = 'validation' AND pos <= 10)))
-           WHERE len(words) + 1 <= 200""")
+SHORT_FEED_SQL = f"""
+SELECT *, prompt || chr(10) || split AS longer FROM
+  (SELECT * FROM ({FEED_SQL} WHERE (split = 'train' AND pos <= 100) OR (split = 'validation' AND pos <= 10)))
+WHERE len(regexp_extract_all(prompt, '[^ \\t\\r\\n]+')) + 1 <= 200
+"""
+
+
+@query(f"""SELECT doc_id, split, a.ids AS up, b.ids AS down FROM ({SHORT_FEED_SQL})
+           JOIN ({_ids_sql(SHORT_FEED_SQL, "doc_id", "prompt")}) a USING (doc_id)
+           JOIN ({_ids_sql(SHORT_FEED_SQL, "doc_id", "longer")}) b USING (doc_id)""")
 def reward_feed(spark, folder):
     pairs = inputs.posts(spark, folder).select(
         "doc_id", "split", F.col("prompt").alias("chosen"),
@@ -616,12 +640,12 @@ def reward_feed(spark, folder):
     )
     vocab = _vocab(spark, folder)
     encode = lambda rows: op.encode_tokens(
-        rows, ["chosen", "rejected"], vocab, ["a", "b"], ["a_mask", "b_mask"],
-        add_special_tokens=False,
+        rows, ["chosen", "rejected"], vocab, ["up", "down"], ["a_mask", "b_mask"],
+        add_special_tokens=False, max_words=200, on_long="drop",
     )
     caps = {"train": 100, "validation": 10}
-    fed = recipes.reward_feed(pairs, ["doc_id"], ["a", "b"], caps, 200, encode)
-    return fed.select("doc_id", "split", F.size("a").alias("up"), F.size("b").alias("down"))
+    fed = recipes.reward_feed(pairs, ["doc_id"], ["up", "down"], caps, 200, encode)
+    return fed.select("doc_id", "split", _id_text("up"), _id_text("down"))
 
 
 # ---------------------------------------------------------------- preferences
@@ -831,11 +855,69 @@ def human_comparison(spark, folder):
     )
 
 
-@query(None)
+@query(f"""SELECT count(*) AS pairs, CAST(1 AS DOUBLE) AS accuracy FROM ({inputs.EXCHANGES_SQL})
+           WHERE substr(md5('0:' || pair_id), 1, 13) < '3333333333334'""")
 def fit_pairwise_reward(spark, folder):
+    """Chosen texts are marked by a word: every held-out pair must come out right."""
     rows = inputs.exchanges(spark, folder).select(
-        "pair_id", F.col("completion").alias("chosen"), F.col("prompt").alias("rejected")
+        "pair_id", F.concat("completion", F.lit(" better")).alias("chosen"),
+        F.concat("completion", F.lit(" worse")).alias("rejected"),
     )
     split = op.hash_split(rows, "pair_id", 0.2)
     fitted = op.fit_pairwise_reward(op.keep_equal(split, "split", "train"), features=1 << 12)
     return fitted.pair_accuracy(op.keep_equal(split, "split", "validation"))
+
+
+# ---------------------------------------------------------------- derived keys, moments, listings
+
+
+@query(f"""SELECT doc_id, split FROM ({inputs.POSTS_SQL})
+           WHERE regexp_extract(prompt, '^SUBREDDIT:\\s*r/(\\w+)', 1) = 'src3'""")
+def filter_by_topic(spark, folder):
+    return op.keep_key(inputs.posts(spark, folder), "prompt", "src3").select("doc_id", "split")
+
+
+@query("""SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM events)
+          WHERE place > 777 AND place <= 4321""")
+def slice_rows_by_time(spark, folder):
+    events = inputs.table(spark, folder, "events")
+    return op.slice_rows(events, 777, 4321, ["ts", "event_id"], strict=False).select("event_id")
+
+
+def _published(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    rows = inputs.articles(spark, folder).select("doc_id", "config", "split")
+    root = new_path(spark, "published")
+    sources.publish(rows, root)
+    return rows, root
+
+
+@query(f"SELECT DISTINCT config FROM ({inputs.ARTICLES_SQL})")
+def published_configs(spark, folder):
+    return sources.published_configs(spark, _published(spark, folder)[1])
+
+
+@query(f"""SELECT DISTINCT split FROM ({inputs.ARTICLES_SQL}) WHERE config = 'de'
+           UNION ALL SELECT 'held'""")
+def published_splits(spark, folder):
+    rows, root = _published(spark, folder)
+    sources.publish(rows.where("config = 'de'"), root, scope="configs", parts=[("de", "held")])
+    return sources.published_splits(spark, root, "de")
+
+
+@query(f"""SELECT doc_id, config, split FROM ({inputs.ARTICLES_SQL}) WHERE config <> 'en' OR split = 'train'""")
+def publish_config(spark, folder):
+    rows, root = _published(spark, folder)
+    sources.publish(rows.where("config = 'en' AND split = 'train'"), root, scope="configs")
+    return sources.read_dataset(spark, root, schema=rows.schema)
+
+
+@query(f"""SELECT doc_id, CAST(CASE WHEN last < '8' THEN 0 WHEN last < 'f' THEN 1 ELSE -1 END
+                               AS INTEGER) AS rank
+           FROM (SELECT *, right(md5('Text <' || text || '> with {{braces}}: ' || response0 || ' or '
+                         || response1 || '?'), 1) AS last FROM ({FLIPPED_SQL}))""")
+def map_judge_chat(spark, folder):
+    flipped = op.flip_pairs(_pairs(spark, folder), "doc_id", "summary_a", "summary_b")
+    judged = op.map_judge(
+        flipped, ASKED, stand_ins.digest_chat_judge(), chat=True, system="Be brief.", partitions=4
+    )
+    return judged.select("doc_id", "rank")

@@ -39,7 +39,7 @@ from pairloom.operators.preference import (
     choose_best,
 )
 from pairloom.operators.rows import hash_split, head_per_group, head_rows, slice_rows
-from pairloom.operators.sweeps import sweep_curves
+from pairloom.operators.sweeps import method_names, sweep_curves
 from pairloom.operators.tables import concat_tables, fold_splits
 from pairloom.operators.tokens import limit_length
 
@@ -233,11 +233,13 @@ def judged_summaries(
     seed: int | str = 0,
     on_invalid: str = "error",
     languages: Sequence[str] = SUMMARY_LANGUAGES,
+    chat: bool = False,
+    system: str | None = None,
 ) -> PreferenceBuild:
     """Paired summaries judged by a model: preference table and win rate per config and split."""
     wanted = keep_values(df, "config", list(languages))
     return build_preference(
-        wanted, lambda pairs: map_judge(pairs, template, make_judge), key,
+        wanted, lambda pairs: map_judge(pairs, template, make_judge, chat=chat, system=system), key,
         seed=seed, on_invalid=on_invalid,
     )
 
@@ -279,7 +281,7 @@ def sweep_with_federated(
     keep: Sequence[str] | None = (*SHOWN_METHODS, FEDERATED),
 ) -> DataFrame:
     """A sweep beside a second one, all runs of which count as one federated method."""
-    own = rename_columns(df.withColumn(method, F.col(method).cast("string")), {method: "method"})
+    own = rename_columns(method_names(df, method), {method: "method"})
     other = rename_columns(federated, {"global_winrate": value, "self_preference": "method"})
     both = concat_tables(own, other.withColumn("method", F.lit(FEDERATED)), allow_missing=True)
     return sweep_curves(

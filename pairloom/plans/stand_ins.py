@@ -58,3 +58,17 @@ def digest_judge() -> MakeFn:
         return answer
 
     return make
+
+
+def digest_chat_judge() -> MakeFn:
+    """The same judge for message lists."""
+    make_plain = digest_judge()
+
+    def make():
+        answer = make_plain()
+        return lambda chats: [
+            [*chat, {"role": "assistant", "content": reply}]
+            for chat, reply in zip(chats, answer([chat[-1]["content"] for chat in chats]))
+        ]
+
+    return make

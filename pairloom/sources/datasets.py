@@ -3,14 +3,52 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.checks import need_choice, need_columns
+from pairloom.checks import named, need_choice, need_columns
 
-SCOPES = ("dataset", "parts")
+#: Characters that Spark leaves as they are in a folder's name.
+_PLAIN = " !$&(),-.;<>@_`|~+"
+
+SCOPES = ("dataset", "configs", "parts")
+
+
+def _folders(spark: SparkSession, root: str, keys: Sequence[str]) -> list[tuple[str, ...]]:
+    """The key values of the folders below ``root``, from the file system alone."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(root)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [((), top)]
+    for key in keys:
+        found = [
+            ((*values, unquote(status.getPath().getName()[len(key) + 1 :])), status.getPath())
+            for values, path in found if files.exists(path)
+            for status in files.listStatus(path)
+            if status.isDirectory() and status.getPath().getName().startswith(f"{key}=")
+        ]
+    return sorted(values for values, _ in found)
+
+
+def published_configs(spark: SparkSession, root: str) -> DataFrame:
+    """The configs of a published dataset, listed without opening a file."""
+    names = sorted({values[:1] for values in _folders(spark, root, ["config"])})
+    return spark.createDataFrame(names, "config string")
+
+
+def published_splits(spark: SparkSession, root: str, config: str) -> DataFrame:
+    """The splits of one config of a published dataset, empty ones included."""
+    found = _folders(spark, root, ["config", "split"])
+    _known(config, {values[0] for values in found}, "config", root)
+    return spark.createDataFrame([values[1:] for values in found if values[0] == config], "split string")
+
+
+def _known(value: str, names: set[str], what: str, root: str) -> None:
+    if value not in names:
+        raise ValueError(f"no {what} {value!r} in {root}; there are {sorted(names)}")
 
 
 def read_dataset(
@@ -23,9 +61,14 @@ def read_dataset(
 ) -> DataFrame:
     """A published dataset, or one config or split of it.
 
-    ``config`` and ``split`` only choose directories: nothing else is read. The key columns are
-    text always, also where every value looks like a number.
+    ``config`` and ``split`` only choose directories: nothing else is read. One that is not there is an
+    error. The key columns are text always, also where every value looks like a number.
     """
+    folders = _folders(spark, root, keys)
+    for at, value in enumerate((config, split)):
+        if value is not None and at < len(keys):
+            _known(value, {values[at] for values in folders}, keys[at], root)
+            folders = [values for values in folders if values[at] == value]
     if schema is None:
         found = spark.read.parquet(root).schema
         schema = T.StructType([
@@ -61,17 +104,21 @@ def publish(
     root: str,
     keys: Sequence[str] = ("config", "split"),
     scope: str = "dataset",
+    parts: Sequence[tuple[str, ...]] = (),
 ) -> None:
     """Write a table as a dataset, one directory per value of the key columns.
 
-    ``scope="dataset"`` replaces whatever lies under ``root``. ``scope="parts"`` replaces only the
-    configs and splits that ``df`` has rows for; one that lost all its rows stays as it was.
-    ``df`` must not read from ``root``.
+    ``scope="dataset"`` replaces whatever lies under ``root``. ``scope="configs"`` replaces each config
+    (first key) of ``df`` as a whole, splits that it no longer has included, and keeps the other
+    configs. ``scope="parts"`` replaces only the configs and splits that ``df`` has rows for; one
+    that lost all its rows stays as it was. ``parts`` names configs and splits that are to be there even
+    without rows. ``df`` must not read from ``root``.
 
     Rows are rebalanced by key first: small parts get one file, a huge one is cut into many.
     """
     need_choice(scope, SCOPES, "scope")
     need_columns(df, *keys)
+    spark = df.sparkSession
     if keys:
         # Spark would file a null and an empty key together under a made-up name.
         df = df.withColumns({
@@ -80,7 +127,34 @@ def publish(
                 F.raise_error(F.lit(f"rows without a {key} cannot be published")).cast("string"),
             )
             for key in keys
-        }).hint("rebalance", *keys)
+        })
+        if scope == "configs":
+            # what is there now of the configs that are written; one name per config and split
+            wanted = {tuple(row) for row in df.select(*map(named, keys)).distinct().collect()}
+            wanted |= {tuple(part) for part in parts}
+            replaced = {values[0] for values in wanted}
+            stale = [
+                values for values in _folders(spark, root, keys)
+                if values[0] in replaced and values not in wanted
+            ]
+        df = df.hint("rebalance", *keys)
     mode = "static" if scope == "dataset" else "dynamic"
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", mode)
     (writer.partitionBy(*keys) if keys else writer).parquet(root)
+    rows = df.drop(*keys).schema
+    for part in parts:
+        folder = _folder(root, keys, part)
+        if tuple(part) not in _folders(spark, root, keys):
+            spark.createDataFrame([], rows).coalesce(1).write.parquet(folder)
+    if scope == "configs" and keys:
+        for values in stale:
+            _delete(spark, _folder(root, keys, values))
+
+
+def _folder(root: str, keys: Sequence[str], values: Sequence[str]) -> str:
+    return "/".join([root.rstrip("/"), *(f"{k}={quote(v, safe=_PLAIN)}" for k, v in zip(keys, values))])
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,14 +12,20 @@ def clean_name(name: str) -> str:
 
 
 def read_sweep(
-    spark: SparkSession, path: str, schema: T.StructType | None = None
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False
 ) -> DataFrame:
     """A CSV export with a header, quoted values, dots and dashes in its column names.
 
     Without a ``schema`` (for the file's own names) numbers are inferred, which reads the file
-    twice.
+    twice. With ``multi_line`` a quoted value may hold line breaks; a file is then read by one task. A row
+    that does not fit the header or the schema is an error, and so are names that become the same.
     """
-    reader = spark.read.option("header", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("escape", '"').option("mode", "FAILFAST")
+    reader = reader.option("multiLine", multi_line)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     df = reader.csv(path)
-    return df.toDF(*(clean_name(name) for name in df.columns))
+    names = [clean_name(name) for name in df.columns]
+    twice = sorted({name for name in names if names.count(name) > 1})
+    if twice:
+        raise ValueError(f"several columns would be called {twice}")
+    return df.toDF(*names)

@@ -108,3 +108,36 @@ def test_comparison_recipes(prompts):
     assert row.human == "p7x" and row["model.v1"].startswith("p7")
     with pytest.raises(ValueError):
         recipes.model_comparison(prompts, ["id"], {"x/left": stand_ins.digest_model("l")})
+
+
+def test_one_model_for_both_settings_kept_by_the_worker(spark, tmp_path):
+    import os
+
+    folder = str(tmp_path)
+
+    def make_both():
+        import tempfile
+
+        tempfile.mkstemp(prefix=f"{os.getpid()}-", dir=folder)
+        return [lambda texts: [t + "0" for t in texts], lambda texts: [t + "1" for t in texts]]
+
+    rows = spark.range(40, numPartitions=20).selectExpr("cast(id as string) AS text")
+    got = op.candidate_pairs(rows, "text", make_both=make_both, partitions=16).collect()
+    assert sorted((r.summary_a, r.summary_b) for r in got) == sorted((f"{i}0", f"{i}1") for i in range(40))
+    loads = [name.split("-")[0] for name in os.listdir(folder)]
+    assert len(loads) == len(set(loads))
+
+
+def test_an_empty_answer_is_no_verdict(spark):
+    rows = spark.createDataFrame([("t", "a", "b")], "text string, response0 string, response1 string")
+    echo = lambda: (lambda prompts: list(prompts))
+    template = "{text} {response0} {response1} 0 or 1"
+    assert [r.rank for r in op.map_judge(rows, template, echo).collect()] == [-1]
+
+    def chat_judge():
+        return lambda chats: [
+            [*c, {"role": "assistant", "content": "1" if c[0]["role"] == "system" else "0"}] for c in chats
+        ]
+
+    assert [r.rank for r in op.map_judge(rows, template, chat_judge, chat=True, system="s").collect()] == [1]
+    assert [r.rank for r in op.map_judge(rows, template, chat_judge, chat=True).collect()] == [0]

@@ -3,7 +3,10 @@ from pyspark.sql import functions as F
 
 from pairloom import operators as op
 from pairloom import storage
-from pairloom.sources import clean_name, list_configs, list_splits, publish, read_dataset, read_sweep
+from pairloom.sources import (
+    clean_name, list_configs, list_splits, publish, published_configs, published_splits, read_dataset,
+    read_sweep,
+)
 
 ROWS = [
     (1, "a", "train"), (2, "a", "validation"), (3, "b", "train"), (4, "c", "validation"),
@@ -126,3 +129,51 @@ def test_work_tables_are_released(spark):
     assert table.count() == 10 and Path(path).exists()
     storage.release(spark)
     assert not Path(path).exists()
+
+
+def test_a_config_is_replaced_as_a_whole(spark, tmp_path):
+    root = str(tmp_path / "set")
+    rows = spark.createDataFrame(
+        [(1, "en", "train"), (2, "en", "validation"), (3, "d/e", "train"), (4, "d/e", "x y")],
+        "id int, config string, split string",
+    )
+    publish(rows, root)
+    publish(rows.where("id = 1"), root, scope="configs", parts=[("en", "empty")])
+    assert sorted(r.id for r in read_dataset(spark, root).collect()) == [1, 3, 4]
+    assert sorted(r.config for r in published_configs(spark, root).collect()) == ["d/e", "en"]
+    assert sorted(r.split for r in published_splits(spark, root, "en").collect()) == ["empty", "train"]
+    assert sorted(r.split for r in published_splits(spark, root, "d/e").collect()) == ["train", "x y"]
+    assert read_dataset(spark, root, "en", "empty").count() == 0
+    publish(rows.where("id = 4"), root, scope="configs")
+    assert sorted(r.id for r in read_dataset(spark, root).collect()) == [1, 4]
+
+
+def test_what_is_not_there_is_an_error(spark, tmp_path):
+    root = str(tmp_path / "set")
+    publish(spark.createDataFrame([(1, "en", "train")], "id int, config string, split string"), root)
+    for config, split in (("zz", None), ("en", "tset"), (None, "tset")):
+        with pytest.raises(ValueError, match="there are"):
+            read_dataset(spark, root, config, split)
+    with pytest.raises(ValueError, match="no config"):
+        published_splits(spark, root, "zz")
+
+
+def test_sweep_files_that_do_not_fit(spark, tmp_path):
+    path = tmp_path / "lines.csv"
+    path.write_text('"a.b","c"\n"one\ntwo","1"\n')
+    assert [tuple(r) for r in read_sweep(spark, str(path), multi_line=True).collect()] == [("one\ntwo", 1)]
+    path = tmp_path / "names.csv"
+    path.write_text('"a.b","a-b"\n"1","2"\n')
+    with pytest.raises(ValueError, match="a_b"):
+        read_sweep(spark, str(path))
+
+
+def test_rows_of_one_topic(spark):
+    rows = spark.createDataFrame([("SUBREDDIT: r/aww\nx",), ("SUBREDDIT: r/b\ny",)], "p string")
+    assert [r.p for r in op.keep_key(rows, "p", "aww").collect()] == ["SUBREDDIT: r/aww\nx"]
+
+
+def test_names_with_dots(spark):
+    rows = spark.createDataFrame([("a", "b")], ["m.1", "m.2"])
+    joined = op.cat_columns(rows, ["m.1"], ["m.2"], ["m.3"])
+    assert [tuple(r) for r in op.keep_equal(joined, "m.3", "ab").collect()] == [("a", "b", "ab")]

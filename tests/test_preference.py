@@ -127,3 +127,9 @@ def test_reward_texts(spark):
     row = op.build_reward_pairs(rows).first()
     assert (row.language, row.text) == ("de", "T\n\nTL;DR: ")
     assert (row.chosen, row.rejected) == ("T\n\nTL;DR: yes", "T\n\nTL;DR: no")
+
+
+def test_a_pair_without_a_key_is_not_left_in_place(spark):
+    rows = spark.createDataFrame([(None, "a", "b")], "k long, completion_a string, completion_b string")
+    with pytest.raises(Exception, match="null input: k"):
+        op.flip_pairs(rows, "k").collect()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom import operators as op
+from pairloom.operators import rows as rows_module
 from pairloom.operators.rows import at_or_after, before, row_order
 
 
@@ -60,10 +61,9 @@ def test_ranges(spark, start, stop):
 
 def test_strict_and_lenient(spark):
     table = numbers(spark, 50)
-    for n, top_n in ((51, 1000), (51, 10)):
-        with pytest.raises(ValueError, match="51 rows wanted"):
-            op.head_rows(table, n, ["k"], top_n=top_n)
-        assert op.head_rows(table, n, ["k"], strict=False, top_n=top_n).count() == 50
+    with pytest.raises(ValueError, match="51 rows wanted"):
+        op.head_rows(table, 51, ["k"])
+    assert op.head_rows(table, 51, ["k"], strict=False).count() == 50
     with pytest.raises(ValueError):
         op.slice_rows(table, 40, 60, ["k"])
     assert op.slice_rows(table, 40, 60, ["k"], strict=False).count() == 10
@@ -72,11 +72,13 @@ def test_strict_and_lenient(spark):
         op.slice_rows(table, 5, 4, ["k"])
 
 
-@pytest.mark.parametrize("top_n", [1000, 10])
+@pytest.mark.parametrize("few", [5000, 7])
 @pytest.mark.parametrize("n", [0, 1, 50, 200])
-def test_head(spark, n, top_n):
+def test_head(spark, n, few, monkeypatch):
+    monkeypatch.setattr(rows_module, "FEW_ROWS", few)
+    monkeypatch.setattr(rows_module, "RANGES", 4)
     table = numbers(spark, 200)
-    head = op.head_rows(table, n, ["s", "k"], top_n=top_n)
+    head = op.head_rows(table, n, ["s", "k"])
     wanted = sorted(tuple(r)[::-1] for r in table.collect())[:n]
     assert sorted(tuple(r)[::-1] for r in head.collect()) == wanted
 
@@ -109,19 +111,18 @@ VALUES = [
 @pytest.mark.parametrize("schema, values", VALUES)
 def test_key_bounds_of_every_type(spark, schema, values):
     table = spark.createDataFrame([(v,) for v in reversed(values)], schema)
-    order = row_order(table, ["d"])
-    keys = order.keys_at(range(order.total))
+    keys = dict(enumerate(rows_module._in_order(table, ["d"], 100)))
     counts = table.agg(*(
         F.count(F.when(condition(table, ["d"], keys[at]), 1)).alias(f"{name}{at}")
         for name, condition in (("before", before), ("after", at_or_after)) for at in keys
     )).first()
     for at in keys:
-        assert (counts[f"before{at}"], counts[f"after{at}"]) == (at, order.total - at)
+        assert (counts[f"before{at}"], counts[f"after{at}"]) == (at, len(keys) - at)
 
 
 def test_positions_outside_are_refused(spark):
     with pytest.raises(ValueError):
-        row_order(numbers(spark, 5), ["k"]).keys_at([5])
+        row_order(numbers(spark, 5), ["k"])._slot_at(5)
 
 
 def test_head_per_group_with_one_heavy_group(spark):
@@ -140,7 +141,7 @@ def test_head_per_group_with_one_heavy_group(spark):
 def test_keys_that_do_not_identify_a_row_are_refused(spark):
     table = spark.range(100).select((F.col("id") / 2).cast("int").alias("k"), F.lit("g").alias("g"))
     for cut in (
-        lambda: op.head_rows(table, 5, ["k"]), lambda: op.head_rows(table, 5, ["k"], top_n=1),
+        lambda: op.head_rows(table, 5, ["k"]),
         lambda: op.slice_rows(table, 3, 8, ["k"]), lambda: op.slice_rows(table, 2, 9, ["k"]),
         lambda: op.head_per_group(table, ["g"], 5, ["k"]).collect(),
     ):
@@ -217,3 +218,66 @@ def test_no_range_operator_sorts_in_one_task(spark, plan_of):
         op.slice_rows(table, 5, 50, ["o_orderkey"]),
     ):
         assert "SinglePartition" not in plan_of(df) and "Window" not in plan_of(df)
+
+
+def test_ranges_are_narrowed_until_few_rows_are_left(spark, monkeypatch):
+    monkeypatch.setattr(rows_module, "FEW_ROWS", 20)
+    monkeypatch.setattr(rows_module, "RANGES", 5)
+    monkeypatch.setattr(rows_module, "SAMPLED", 4)
+    table = numbers(spark, 3000)
+    wanted = sorted((r.s, r.k) for r in table.collect())
+    for start, stop in ((0, 1), (1, 2999), (1499, 1502), (2990, 3000)):
+        got = sorted((r.s, r.k) for r in op.slice_rows(table, start, stop, ["s", "k"]).collect())
+        assert got == wanted[start:stop]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
+def test_moments_of_a_repeated_hour(spark, kind, monkeypatch):
+    """The driver's local time repeats an hour here; no row may be lost to it."""
+    import time
+
+    monkeypatch.setenv("TZ", "America/New_York")
+    time.tzset()
+    try:
+        moment = F.timestamp_seconds(F.lit(1730609400) + F.col("id") * 60)
+        if kind == "date":
+            moment = F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int"))
+        table = spark.range(300).select(F.col("id"), moment.cast(kind).alias("t"))
+        for n in (30, 90, 120, 299):
+            assert [r.id for r in op.head_rows(table, n, ["t"]).orderBy("id").collect()] == list(range(n))
+        assert op.slice_rows(table, 60, 140, ["t"]).count() == 80
+    finally:
+        monkeypatch.undo()
+        time.tzset()
+
+
+@pytest.mark.parametrize("n", [20, 30_000])
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_null_key_is_refused_at_every_size(spark, n, exact):
+    table = numbers(spark, n).withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    with pytest.raises(Exception, match="null order key k"):
+        op.hash_split(table, "k", exact=exact).collect()
+
+
+def test_small_and_large_fractions(spark):
+    table = spark.range(400_000)
+    few = op.hash_split(table, "id", 1e-5).where("split = 'validation'").count()
+    most = op.hash_split(table, "id", 0.99999).where("split = 'train'").count()
+    assert few < 20 and most < 20
+
+
+def test_helper_columns_leave_the_users_own_alone(spark):
+    table = numbers(spark, 50).withColumns({"_hash": F.lit(1), "_at": F.lit(2)})
+    assert op.hash_split(table, "k", 0.5, exact=True).columns == ["k", "s", "_hash", "_at", "split"]
+    assert set(op.assign_batches(table, ["k"], 7).columns) == {"k", "s", "_hash", "_at", "batch_id"}
+
+
+def test_equal_keys_have_no_place(spark):
+    table = spark.range(40).select((F.col("id") / 2).cast("int").alias("k"), F.col("id").alias("v"))
+    other = spark.range(40).toDF("w")
+    for number in (
+        lambda: op.with_row_index(table, ["k"]), lambda: op.assign_batches(table, ["k"], 3),
+        lambda: op.attach_by_position(table, ["k"], other, ["w"]),
+    ):
+        with pytest.raises(ValueError, match="do not identify a row"):
+            number()

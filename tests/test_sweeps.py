@@ -73,13 +73,34 @@ def test_one_heavy_method_is_spread_over_range_partitions(spark, monkeypatch, pl
     assert ("small", 3) not in got and got["small", 1].mean == pytest.approx(0.5)
 
 
-def test_a_full_curve_of_very_many_values_must_be_asked_for(spark, monkeypatch):
-    import pairloom.operators.sweeps as sweeps
+def test_a_full_curve_has_no_limit(spark):
+    """12,000 values: every point equals the plain formula."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = np.round(rng.normal(0.5, 0.1, 12_000), 2)
+    rows = spark.createDataFrame([("m", float(v)) for v in values], "method string, v double")
+    got = op.expected_max(rows, "method", "v").orderBy("n").toPandas()
+    assert got.n.tolist() == list(range(1, 12_001))
+    distinct, counts = np.unique(values, return_counts=True)
+    upto = np.cumsum(counts) / len(values)
+    below = np.concatenate([[0.0], upto[:-1]])
+    for n in (1, 2, 17, 900, 11_999, 12_000):
+        chance = upto**n - below**n
+        mean = (distinct * chance).sum()
+        std = np.sqrt(max(0.0, ((distinct - mean) ** 2 * chance).sum()))
+        row = got.iloc[n - 1]
+        assert row["mean"] == pytest.approx(mean, rel=1e-9) and row["std"] == pytest.approx(std, abs=1e-7)
+
+
+def test_numbered_methods_are_matched_as_numbers(spark):
+    rows = spark.createDataFrame(
+        [(1, 0.1, 5, 0.5), (1, 0.1, 6, 0.7), (0, 0.1, 5, 0.4)], "p int, kl double, every int, winrate double"
+    )
+    from pairloom.plans.recipes import single_sweep
 
-    monkeypatch.setattr(sweeps, "FULL_CURVE_VALUES", 50)
-    with pytest.raises(Exception, match="give n_max"):
-        op.expected_max(table(spark, CASES), "method", "v").collect()
-    assert op.expected_max(table(spark, CASES), "method", "v", n_max=3).count() == 13
+    curves = single_sweep(rows, kl="kl", method="p", interval="every", keep=["1.0"]).collect()
+    assert {r.method for r in curves} == {"1.0"} and len(curves) >= 1
 
 
 @pytest.mark.parametrize("values", [

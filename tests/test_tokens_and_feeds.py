@@ -77,8 +77,8 @@ def test_own_tokenizer(spark):
 
 
 def test_subword_tokenizer(spark):
-    from public_tokenizers import path
-
+    pytest.importorskip("tokenizers")
+    path = pytest.importorskip("public_tokenizers").path
     file = path("byte_bpe_50k.json")
 
     def make():
@@ -178,3 +178,29 @@ def test_reward_weights_of_the_two_sides_are_mirror_images(spark):
     fitted = op.fit_pairwise_reward(planted(spark, 100), features=64)
     weights = fitted.model.coefficients.toArray()
     assert weights[:64] == pytest.approx(-weights[64:], abs=1e-6)
+
+
+@pytest.mark.parametrize("options", [
+    {}, {"max_words": 5}, {"max_words": 40, "on_long": "drop"}, {"on_null": "propagate"},
+])
+def test_a_vocabulary_too_large_to_ship_is_joined_with_the_same_result(spark, options):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(
+        "item_id", "text", F.concat("text", F.lit(" tail unknown")).alias("other")
+    )
+    if options.get("on_null"):
+        docs = docs.withColumn("text", F.when(F.col("item_id") > 3, F.col("text")))
+    docs = docs.unionByName(spark.createDataFrame([(900, "", " ")], docs.schema))
+    vocab = op.build_vocab(docs, ["text"], 50)
+
+    def encoded():
+        rows = op.encode_tokens(docs, ["text", "other"], vocab, ["a", "b"], ["am", "bm"], **options)
+        return sorted(map(tuple, rows.select("item_id", "a", "am", "b", "bm").collect()), key=repr)
+
+    shipped = encoded()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert encoded() == shipped and shipped
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
