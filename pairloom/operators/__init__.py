@@ -44,7 +44,7 @@ from pairloom.operators.sweeps import (
     expected_max,
     legend_names,
     mean_by,
-    order_methods,
+    order_methods, rank_methods,
     sweep_curves,
     value_range,
     win_rate,
@@ -70,5 +70,5 @@ __all__ = [
     "map_judge", "mean_by", "order_methods", "rename_columns", "rule_judge", "select_as",
     "single_vs_rest", "slice_rows", "sweep_curves", "to_preference", "tokenize_with",
     "training_view", "trim_curve", "unflip_rank", "value_range", "win_rate", "with_band",
-    "keep_key", "with_key", "with_row_index", "with_special_ids",
+    "keep_key", "rank_methods", "with_key", "with_row_index", "with_special_ids",
 ]

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairloom.checks import named, need_columns
+from pairloom.checks import fresh, named, need_columns
 from pairloom.operators.filters import keep_values
-from pairloom.operators.rows import trim_curve
+from pairloom.operators.rows import trim_curve, with_row_index
 from pairloom.storage import materialize
 
 #: ``u ** n`` is 0.0 in a double once n is over this number divided by -log(u).
@@ -191,6 +191,16 @@ def order_methods(df: DataFrame, method: str = "method", n: str = "n") -> DataFr
     return df.orderBy(number.desc(), F.col(method), F.col(n))
 
 
+def rank_methods(df: DataFrame, method: str = "method", name: str = "rank") -> DataFrame:
+    """Add each method's place, from 0, in the order of `order_methods`: an order that tables keep."""
+    need_columns(df, method)
+    number = F.coalesce(named(method).try_cast("double"), F.lit(1e9))
+    falling = fresh(df, "_falling")
+    methods = df.select(named(method)).distinct().withColumn(falling, -number)
+    ranked = with_row_index(methods, [falling, method], name).drop(falling)
+    return df.join(ranked, method).select(*map(named, [*df.columns, name]))
+
+
 def legend_names(df: DataFrame, names: dict[str, str], method: str = "method") -> DataFrame:
     """Add ``label``: the method's name in a legend, or the method itself."""
     need_columns(df, method)

@@ -551,14 +551,14 @@ def _vocab(spark: SparkSession, folder: str) -> DataFrame:
     return op.build_vocab(inputs.table(spark, folder, "documents"), ["text"], VOCAB)
 
 
-def _ids_sql(table: str, key: str, column: str) -> str:
-    """Ids of one text column as text, per key."""
+def _ids_sql(table: str, key: str, column: str, most: int = 1_000_000_000) -> str:
+    """Ids of one text column as text, at most so many, per key."""
     return f"""
 SELECT {key}, coalesce(string_agg(CAST(coalesce(id, 0) AS VARCHAR), ' ' ORDER BY pos)
                        FILTER (WHERE pos IS NOT NULL), '') AS ids
 FROM (SELECT {key} FROM ({table})) LEFT JOIN
   (SELECT {key}, unnest(words) AS token, generate_subscripts(words, 1) AS pos FROM
-     (SELECT {key}, regexp_extract_all({column}, '[^ \\t\\r\\n]+') AS words FROM ({table})))
+     (SELECT {key}, regexp_extract_all({column}, '[^ \\t\\r\\n]+')[1:{most}] AS words FROM ({table})))
   USING ({key}) LEFT JOIN ({VOCAB_SQL}) USING (token) GROUP BY {key}"""
 
 
@@ -921,3 +921,54 @@ def map_judge_chat(spark, folder):
         flipped, ASKED, stand_ins.digest_chat_judge(), chat=True, system="Be brief.", partitions=4
     )
     return judged.select("doc_id", "rank")
+
+
+FIRST_POSTS_SQL = f"""
+SELECT * FROM ({FEED_SQL} WHERE (split = 'train' AND pos <= 100) OR (split = 'validation' AND pos <= 10))
+"""
+
+
+@query(f"""SELECT doc_id, split, ids FROM ({FIRST_POSTS_SQL})
+           JOIN ({_ids_sql(FIRST_POSTS_SQL, "doc_id", "prompt", 64)}) USING (doc_id)""")
+def sft_feed(spark, folder):
+    vocab = _vocab(spark, folder)
+    encode = lambda rows: op.encode_tokens(
+        rows, ["prompt"], vocab, ["ids"], ["mask"], add_special_tokens=False, max_words=64
+    )
+    caps = {"train": 100, "validation": 10}
+    fed = recipes.sft_feed(inputs.posts(spark, folder), ["doc_id"], ["ids"], caps, 64, encode)
+    return fed.select("doc_id", "split", _id_text("ids"))
+
+
+@query("""SELECT conv_id, '<s>' || string_agg('<|' || role || '|>' || chr(10) || text || '</s>' || chr(10), ''
+                                               ORDER BY turn) AS chat
+          FROM conversations GROUP BY conv_id""")
+def dialogue_chats(spark, folder):
+    turns = inputs.table(spark, folder, "conversations").groupBy("conv_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("turns")
+    )
+    chats = turns.select("conv_id", F.transform(
+        "turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
+    ).alias("chat"))
+    return op.apply_chat_template(chats, ["chat"], CHAT, "conversational")
+
+
+@query(_curve_sql(f"""SELECT CAST(CAST(kl AS DOUBLE) AS VARCHAR) AS method, avg(winrate) AS v
+                      FROM ({inputs.SWEEP_RUNS_SQL}) WHERE kl IN (1, 2) GROUP BY kl, update_every""", 30) + """
+SELECT method, CAST(n AS INTEGER) AS n, round(mean, 6) AS mean, round(std, 6) AS std FROM curves
+WHERE n < n_max OR method = '2.0'""")
+def single_sweep(spark, folder):
+    runs = inputs.sweep_runs(spark, folder).drop("method").withColumn("strength", F.lit(0.1))
+    curves = recipes.single_sweep(
+        runs, "strength", "winrate", "kl", "update_every", keep=["1.0", "2.0"], full="2.0"
+    )
+    return curves.select("method", "n", _six("mean"), _six("std"))
+
+
+@query(f"""SELECT method, row_number() OVER (ORDER BY number DESC, method) - 1 AS rank FROM
+             (SELECT DISTINCT CAST(CAST(kl AS DOUBLE) AS VARCHAR) AS method, CAST(kl AS DOUBLE) AS number
+              FROM ({inputs.SWEEP_RUNS_SQL}) UNION ALL SELECT 'FedAvg', 1e9)""")
+def rank_methods(spark, folder):
+    runs = inputs.sweep_runs(spark, folder).select(F.col("kl").cast("double").cast("string").alias("method"))
+    named = runs.unionByName(spark.createDataFrame([("FedAvg",)], "method string"))
+    return op.rank_methods(named.distinct())

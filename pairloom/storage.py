@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +41,19 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def work(spark: SparkSession) -> Iterator[None]:
+    """Delete, at its end, the intermediate tables written within: publish or collect results before."""
+    kept = _written[:]
+    try:
+        yield
+    finally:
+        mine = [path for path in _written if path not in kept]
+        _written[:] = mine
+        release(spark)
+        _written[:] = kept
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """Whether Spark itself would broadcast this table: its size is known and below the threshold."""
     spark = df.sparkSession

@@ -177,3 +177,13 @@ def test_names_with_dots(spark):
     rows = spark.createDataFrame([("a", "b")], ["m.1", "m.2"])
     joined = op.cat_columns(rows, ["m.1"], ["m.2"], ["m.3"])
     assert [tuple(r) for r in op.keep_equal(joined, "m.3", "ab").collect()] == [("a", "b", "ab")]
+
+
+def test_a_scope_deletes_what_was_written_in_it(spark):
+    outside = storage.materialize(spark.range(3))
+    with storage.work(spark):
+        inside = storage.materialize(spark.range(4))
+        assert inside.count() == 4
+    assert outside.count() == 3
+    with pytest.raises(Exception):
+        inside.count()
