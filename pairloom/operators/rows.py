@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,10 @@ RANGES, SAMPLED = 64, 32
 #: A range of at most so many rows is put in order on its own.
 FEW_ROWS = 5000
 
+#: Up to so many rows per group, a task sends its first ones of a group to the task that picks them; Spark
+#: cuts groups before the shuffle for up to 1000 rows only.
+TOP_PER_GROUP = 900
+
 _SLOT = "_slot"  # partition number << 33 | place in the partition
 _PLACE_BITS = 33
 
@@ -265,6 +269,28 @@ def slice_rows(
     return df
 
 
+def _spread_edges(narrow: DataFrame, groups: list[str], keys: list[str], limit: Column) -> DataFrame:
+    """Of each group that must be cut: the first row left out, and the last one kept."""
+    rows = row_order(narrow, [*groups, *keys]).numbered("_at")
+    out = F.col("_first") + limit
+    edges = (
+        rows.groupBy(*map(named, groups))
+        .agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
+        .where(F.col("_size") > limit)
+        .select(F.explode(F.when(limit > 0, F.array(out - 1, out)).otherwise(F.array(out))).alias("_at"))
+    )
+    return rows.join(materialize(edges, "edges"), "_at")
+
+
+def _top_edges(narrow: DataFrame, groups: list[str], keys: list[str], n: int) -> DataFrame:
+    """The same for few rows per group: each task keeps its first ``n + 1`` of a group, then they meet."""
+    order = Window.partitionBy(*map(named, groups)).orderBy(*map(named, keys))
+    ranked = _without_null_keys(narrow, [*groups, *keys]).withColumn("_rank", F.row_number().over(order))
+    top = ranked.where(F.col("_rank") <= n + 1).where(F.col("_rank") >= n)
+    cut = top.groupBy(*map(named, groups)).agg(F.max("_rank").alias("_most")).where(F.col("_most") > n)
+    return top.join(cut, groups, "left_semi")
+
+
 def head_per_group(
     df: DataFrame, groups: Sequence[str], n: int | Column, order_by: Sequence[str]
 ) -> DataFrame:
@@ -276,25 +302,20 @@ def head_per_group(
     groups, keys = list(groups), [key for key in order_by if key not in groups]
     need_columns(df, *groups, *keys)
     limit = n if isinstance(n, Column) else F.lit(n)
-    rows = row_order(df.select(*groups, *keys), [*groups, *keys]).numbered("_at")
-    # Of each group that must be cut: the first row left out, and the last one kept.
-    out = F.col("_first") + limit
-    edges = (
-        rows.groupBy(*groups)
-        .agg(F.min("_at").alias("_first"), F.count("*").alias("_size"))
-        .where(F.col("_size") > limit)
-        .select(F.explode(F.when(limit > 0, F.array(out - 1, out)).otherwise(F.array(out))).alias("_at"))
-    )
-    key = F.struct(*keys)
+    narrow = df.select(*map(named, [*groups, *keys]))
+    if isinstance(n, int) and n <= TOP_PER_GROUP:
+        edges = _top_edges(narrow, groups, keys, n)
+    else:
+        edges = _spread_edges(narrow, groups, keys, limit)
+    key = F.struct(*map(named, keys))
     cut = (
-        rows.join(materialize(edges, "edges"), "_at")
-        .groupBy(*groups)
+        edges.groupBy(*map(named, groups))
         .agg(F.min(key).alias("_last"), F.max(key).alias("_cut"), F.count("*").alias("_edges"))
         .withColumn("_cut", F.when(
             (F.col("_edges") > 1) & (F.col("_last") == F.col("_cut")),
             F.raise_error(F.lit(f"{keys} do not identify a row in its group")),
         ).otherwise(F.col("_cut")))
-        .select(*groups, *(F.col("_cut")[name].alias(f"_cut_{name}") for name in keys))
+        .select(*map(named, groups), *(F.col("_cut")[name].alias(f"_cut_{name}") for name in keys))
     )
     joined = df.join(materialize(cut, "cuts"), groups, "left")
     inside = _earlier(keys, [F.col(f"_cut_{key}") for key in keys])
