@@ -113,8 +113,14 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     ).distinct()
     edges = materialize(edges, "edges")
-    before = None
-    for _ in range(rounds):
+
+    def state(table: DataFrame) -> tuple:
+        return tuple(table.agg(
+            F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        ).first())
+
+    before = state(edges)
+    for _ in range(rounds if before[0] else 0):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
         larger = both.where("b > a").join(least, "a").select(
@@ -131,14 +137,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         ).select("e.a", "e.b").where("a <> b").distinct()
         edges = materialize(smaller, "edges")
         # Stable when no edge changes: count and an order-free sum tell.
-        now = tuple(edges.agg(
-            F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first())
+        now = state(edges)
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     members = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
     roots = edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     return members.unionByName(roots)

@@ -19,8 +19,10 @@ from pairloom.storage import materialize
 
 #: Two sets of similarity 0.8 agree on all rows of some band but for 1 in 1,000,000.
 BANDS, ROWS = 60, 7
-#: Hashes of the signature that candidates are compared on, 16 bits each, and of a batch of them.
+#: Hashes of the signature that candidates are compared on, 16 bits each, and of a batch of them. The
+#: whole signature goes on with the bands' hashes.
 SIGNATURE, BATCH = 128, 32
+WHOLE = 544
 #: Chance that a pair at the threshold is pruned before its sets are compared.
 MISS = 1e-6
 #: Members of a bucket beyond which it is split on further rows; members of one verification group.
@@ -28,7 +30,7 @@ BUCKET, GROUP = 4096, 256
 #: A split has so many parts, on so many rows each; a pair at 0.8 meets in one but for 5 in 100 buckets.
 PARTS, PART_ROWS = 16, 8
 
-_ROUND = 2048  # shingles hashed at a time, a bound on memory for long texts
+_ROUND = 128  # shingles hashed at a time, so that they stay in the processor's cache
 
 
 def _draw(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,9 +43,13 @@ def min_hashes(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> n
     """The least value of each hash function over the shingles."""
     short = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(multiply), 0xFFFFFFFF, np.uint32)
+    room = np.empty((min(_ROUND, len(short)), len(multiply)), np.uint32)
     for start in range(0, len(short), _ROUND):
-        part = short[start : start + _ROUND, None] * multiply + add
-        np.minimum(least, part.min(axis=0), out=least)
+        part = short[start : start + _ROUND, None]
+        values = room[: len(part)]
+        np.multiply(part, multiply, out=values)
+        np.add(values, add, out=values)
+        np.minimum(least, values.min(axis=0), out=least)
     return least
 
 
@@ -53,11 +59,11 @@ def shingle_set(text: str, size: int) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """``key, n, digest, bands, signature`` of each document; null bands for an empty set."""
+    """``key, n, digest, bands, signature, whole`` of each document; null bands for an empty set."""
     multiply, add = _draw(BANDS * ROWS + SIGNATURE, 1)
     build = arrow_batches({
         "key": pa.int64(), "n": pa.int64(), "digest": pa.binary(),
-        "bands": pa.list_(pa.int64()), "signature": pa.binary(),
+        "bands": pa.list_(pa.int64()), "signature": pa.binary(), "whole": pa.binary(),
     })
     numbers = np.arange(BANDS, dtype=np.uint64)
 
@@ -67,22 +73,23 @@ def _signatures(docs: DataFrame, shingle_words: int) -> DataFrame:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
                 shingles = shingle_set(text, shingle_words)
                 if not len(shingles):
-                    rows.append((key, 0, b"", None, b""))
+                    rows.append((key, 0, b"", None, b"", b""))
                     continue
                 least = min_hashes(shingles, multiply, add)
                 grid = least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
                 band = mix(numbers)
                 for k in range(ROWS):
                     band = mix(band ^ grid[:, k])
-                signature = (least[BANDS * ROWS :] & np.uint32(0xFFFF)).astype("<u2")
+                signature = (least & np.uint32(0xFFFF)).astype("<u2").tobytes()
+                cut = 2 * BANDS * ROWS
                 rows.append((
                     key, len(shingles), xxhash.xxh3_128_digest(shingles.tobytes()),
-                    band.view(np.int64).tolist(), signature.tobytes(),
+                    band.view(np.int64).tolist(), signature[cut:], (signature[cut:] + signature)[: 2 * WHOLE],
                 ))
-            yield build(*(list(zip(*rows)) or [[]] * 5))
+            yield build(*(list(zip(*rows)) or [[]] * 6))
 
     return docs.mapInArrow(
-        sign, "key long, n long, digest binary, bands array<long>, signature binary"
+        sign, "key long, n long, digest binary, bands array<long>, signature binary, whole binary"
     )
 
 
@@ -98,18 +105,18 @@ def _tail(agree: int, compared: int, threshold: float) -> float:
 
 
 @lru_cache
-def least_agreements(threshold: float, miss: float) -> tuple[int, ...]:
+def least_agreements(hashes: int, threshold: float, miss: float) -> tuple[int, ...]:
     """After each batch, the fewest agreements at which a pair may still reach the threshold."""
     return tuple(
         next(m for m in range(n + 1) if _tail(m, n, threshold) >= miss)
-        for n in range(BATCH, SIGNATURE + 1, BATCH)
+        for n in range(BATCH, hashes + 1, BATCH)
     )
 
 
 def survives(left: np.ndarray, right: np.ndarray, threshold: float, miss: float) -> np.ndarray:
     """Which rows of two signature matrices are not pruned, batch after batch of hashes."""
     alive, agree = np.arange(len(left)), np.zeros(len(left), np.int64)
-    for k, least in enumerate(least_agreements(threshold, miss)):
+    for k, least in enumerate(least_agreements(left.shape[1], threshold, miss)):
         part = slice(k * BATCH, (k + 1) * BATCH)
         agree[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
         alive = alive[agree[alive] >= least]
@@ -118,8 +125,8 @@ def survives(left: np.ndarray, right: np.ndarray, threshold: float, miss: float)
     return kept
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SIGNATURE)
+def _matrix(column: pa.Array, hashes: int = SIGNATURE) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, hashes)
 
 
 def prune(pairs: DataFrame, signed: DataFrame, threshold: float, miss: float) -> DataFrame:
@@ -187,69 +194,73 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int)
 
 
 def _across(buckets: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Pairs of different components in each bucket (``band, key, component, signature``) not pruned.
+    """Pairs of different components in each bucket (``band, key, component, whole, bands``) not pruned.
 
-    A bucket is compared inside one task, block by block, only survivors leave it. Larger ones than
-    ``BUCKET`` are split beforehand on further rows.
+    A bucket is compared inside one task and only survivors leave it, each from the first of the buckets
+    that both members are in. Larger buckets than ``BUCKET`` are split beforehand on further rows.
     """
 
-    def split(table: pd.DataFrame) -> pd.DataFrame:
+    def compare(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("key").drop_duplicates("key")
         keys, components = table["key"].to_numpy(), table["component"].to_numpy()
-        rows = np.frombuffer(b"".join(table["signature"]), "<u2").reshape(-1, SIGNATURE)
+        rows = np.frombuffer(b"".join(table["whole"]), "<u2").reshape(-1, WHOLE)
+        bands = np.stack(table["bands"].to_list())
+        # a part of a split bucket has no number and may be any of those that the pair is in
+        number = table["number"].to_numpy()
         found = []
         for i in range(len(keys) - 1):
             other = np.flatnonzero(components[i + 1 :] != components[i]) + i + 1
-            if len(other):
-                mask = survives(
-                    np.broadcast_to(rows[i], (len(other), SIGNATURE)), rows[other], threshold, miss
-                )
-                found += [(keys[i], key) for key in keys[other[mask]]]
+            if not len(other):
+                continue
+            first = (bands[other] == bands[i]).argmax(axis=1)
+            other = other[(number[i] < 0) | (first == number[i])]
+            mask = survives(np.broadcast_to(rows[i], (len(other), WHOLE)), rows[other], threshold, miss)
+            found += [(keys[i], key) for key in keys[other[mask]]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return buckets.groupBy("band").applyInPandas(split, "a long, b long")
+    return buckets.groupBy("band").applyInPandas(compare, "a long, b long")
+
+
+_OPEN = ["band", "number", "key", "component", "whole", "bands"]
 
 
 def _split_large(buckets: DataFrame) -> DataFrame:
     """Buckets with their members' number ``size``: the large ones in ``PARTS`` parts, the rest as is."""
-    small = buckets.where(F.col("size") <= BUCKET).select("band", "key", "component", "signature")
+    small = buckets.where(F.col("size") <= BUCKET).select(*_OPEN)
 
     def parts(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grid = _matrix(batch.column("signature")).reshape(-1, PARTS, PART_ROWS).astype(np.uint64)
+            grid = _matrix(batch.column("whole"), WHOLE)[:, : PARTS * PART_ROWS]
+            grid = grid.reshape(-1, PARTS, PART_ROWS).astype(np.uint64)
             band = np.array(batch.column("band").to_pylist(), np.int64).view(np.uint64)
             band = mix(band[:, None] + np.arange(PARTS, dtype=np.uint64))
             for k in range(PART_ROWS):
                 band = mix(band ^ grid[:, :, k])
             repeat = pa.array(np.repeat(np.arange(batch.num_rows), PARTS))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(band.reshape(-1).view(np.int64)), batch.column("key").take(repeat),
-                    batch.column("component").take(repeat), batch.column("signature").take(repeat),
-                ],
-                names=["band", "key", "component", "signature"],
-            )
-
-    large = buckets.where(F.col("size") > BUCKET).select("band", "key", "component", "signature")
-    return small.unionByName(
-        large.mapInArrow(parts, "band long, key long, component long, signature binary")
-    )
+            columns = {name: batch.column(name).take(repeat) for name in _OPEN}
+            columns["band"] = pa.array(band.reshape(-1).view(np.int64))
+            columns["number"] = pa.array(np.full(len(repeat), -1, np.int32))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    large = buckets.where(F.col("size") > BUCKET).select(*_OPEN)
+    return small.unionByName(large.mapInArrow(parts, small.schema))
 
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5,
     percent: int = 80, miss: float = MISS,
 ) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``: which documents are linked, directly or not.
+    """``doc_id, n_shingles, component_id, kept, n_rows``: which documents are linked, directly or not.
 
     Two documents are linked when the sets of their distinct word runs overlap by ``percent`` percent of
     the union; links are confirmed on the full sets. Equal sets are one class, compared once. Candidates
-    share a band of MinHash values. First each bucket's members are compared with its least member, which
-    joins groups of copies by a number of pairs that grows with the group, not its square. Then what is
-    still in different components within a bucket is compared. A candidate's signatures are compared batch
-    after batch; it is dropped once the posterior chance of reaching the threshold is below ``miss``.
+    share a band of MinHash values. First each bucket's members are compared with its hub, the one that meets
+    most others in all its buckets; that joins groups of copies by a number of pairs that grows with the
+    group, not its square. Then what is still in different components within a bucket is compared. A
+    candidate's signatures are compared batch after batch; it is dropped once the posterior chance of
+    reaching the threshold is below ``miss``.
 
     Text without a word (null, empty) has an empty set and no links. Repeated ids are one document, linked
     by any of its texts, with the largest of their sets' sizes; documents with a null id are one row, not
@@ -270,16 +281,21 @@ def near_duplicates(
     leaders = signed.where("n > 0").join(
         classes.where("key = least").select("key").distinct(), "key", "left_semi"
     )
-    banded = leaders.select("key", F.explode("bands").alias("band"))
+    banded = leaders.select("key", F.posexplode("bands").alias("number", "band"))
     shared = materialize(
-        banded.groupBy("band").agg(F.min("key").alias("head"), F.count("*").alias("size")).where("size > 1"),
-        "buckets",
+        banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "buckets"
     )
     buckets = materialize(banded.join(shared, "band"), "banded")
+    met = buckets.groupBy("key").agg(F.sum("size").alias("met"))
+    hubs = buckets.join(met, "key").groupBy("band").agg(
+        F.max(F.struct("met", (-F.col("key")).alias("minus"))).alias("hub")
+    ).select("band", (-F.col("hub.minus")).alias("hub"))
     texts = materialize(source.join(buckets.select("key").distinct(), "key", "left_semi"), "texts")
 
     first = materialize(
-        buckets.where("head <> key").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(),
+        buckets.join(hubs, "band").where("hub <> key").select(
+            F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")
+        ).distinct(),
         "pairs",
     )
     links = materialize(
@@ -288,22 +304,28 @@ def near_duplicates(
     joined = materialize(connected_components(links), "components")
 
     named = buckets.join(joined.withColumnRenamed("node", "key"), "key", "left").select(
-        "band", "key", "size", F.coalesce("component", "key").alias("component")
+        "band", "number", "key", "size", F.coalesce("component", "key").alias("component")
     )
     mixed = named.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low <> high").select("band")
-    open_buckets = named.join(mixed, "band", "left_semi").join(leaders.select("key", "signature"), "key")
-    second = _across(_split_large(open_buckets), threshold, miss).distinct().join(
-        first, ["a", "b"], "left_anti"
+    open_buckets = named.join(mixed, "band", "left_semi").join(
+        leaders.select("key", "whole", "bands"), "key"
+    )
+    second = materialize(
+        _across(_split_large(open_buckets), threshold, miss).distinct().join(first, ["a", "b"], "left_anti"),
+        "pairs",
     )
     more = verify(second, texts, shingle_words, percent)
     links = links.unionByName(more).unionByName(
         classes.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
     )
     components = connected_components(materialize(links, "links"))
-    sizes = signed.groupBy(F.col("key").alias("doc_id")).agg(F.max("n").alias("n_shingles"))
+    sizes = signed.groupBy(F.col("key").alias("doc_id")).agg(
+        F.max("n").alias("n_shingles"), F.count("*").alias("n_rows")
+    )
     return sizes.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(False)).alias("kept"),
+        "n_rows",
     )

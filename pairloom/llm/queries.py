@@ -76,7 +76,8 @@ FROM sets JOIN least ON least.a = doc_id
 
 @query
 def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return near_dups.near_duplicates(read_table(spark, folder, "documents"), shingle_words=4)
+    found = near_dups.near_duplicates(read_table(spark, folder, "documents"), shingle_words=4)
+    return found.drop("n_rows")
 
 
 @query
