@@ -31,13 +31,15 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the least id of each group."""
-    found = near_dups.near_duplicates(docs)
-    once = _without(docs, found.where("NOT kept AND doc_id IS NOT NULL"))
-    # rows that repeat an id are copies as well
-    return once.where("doc_id IS NULL").unionByName(
-        once.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    )
+    """Keep the document with the least id of each group, and of rows with one id the least."""
+    found = materialize(near_dups.near_duplicates(docs), "groups").where("doc_id IS NOT NULL")
+    repeated = found.where("kept AND n_rows > 1").select("doc_id")
+    once = _without(docs, found.where("NOT kept").select("doc_id").unionByName(repeated))
+    rest = [name for name in docs.columns if name != "doc_id"]
+    least = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct(*rest)).alias("row")
+    ).select("doc_id", "row.*").select(docs.columns)
+    return once.unionByName(least)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
