@@ -193,8 +193,8 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int)
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def _across(buckets: DataFrame, threshold: float, miss: float) -> DataFrame:
-    """Pairs of different components in each bucket (``band, key, component, whole, bands``) not pruned.
+def _across(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs of different components in each bucket (``band, key, n, component, whole, bands``) not pruned.
 
     A bucket is compared inside one task and only survivors leave it, each from the first of the buckets
     that both members are in. Larger buckets than ``BUCKET`` are split beforehand on further rows.
@@ -203,25 +203,31 @@ def _across(buckets: DataFrame, threshold: float, miss: float) -> DataFrame:
     def compare(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("key").drop_duplicates("key")
         keys, components = table["key"].to_numpy(), table["component"].to_numpy()
+        sizes = table["n"].to_numpy()
         rows = np.frombuffer(b"".join(table["whole"]), "<u2").reshape(-1, WHOLE)
         bands = np.stack(table["bands"].to_list())
         # a part of a split bucket has no number and may be any of those that the pair is in
         number = table["number"].to_numpy()
         found = []
         for i in range(len(keys) - 1):
-            other = np.flatnonzero(components[i + 1 :] != components[i]) + i + 1
+            # sets of too different sizes cannot overlap enough
+            low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
+            other = (components[i + 1 :] != components[i]) & (100 * low >= percent * high)
+            other = np.flatnonzero(other) + i + 1
             if not len(other):
                 continue
             first = (bands[other] == bands[i]).argmax(axis=1)
             other = other[(number[i] < 0) | (first == number[i])]
-            mask = survives(np.broadcast_to(rows[i], (len(other), WHOLE)), rows[other], threshold, miss)
+            mask = survives(
+                np.broadcast_to(rows[i], (len(other), WHOLE)), rows[other], percent / 100, miss
+            )
             found += [(keys[i], key) for key in keys[other[mask]]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return buckets.groupBy("band").applyInPandas(compare, "a long, b long")
 
 
-_OPEN = ["band", "number", "key", "component", "whole", "bands"]
+_OPEN = ["band", "number", "key", "n", "component", "whole", "bands"]
 
 
 def _split_large(buckets: DataFrame) -> DataFrame:
@@ -258,7 +264,8 @@ def near_duplicates(
     the union; links are confirmed on the full sets. Equal sets are one class, compared once. Candidates
     share a band of MinHash values. First each bucket's members are compared with its hub, the one that meets
     most others in all its buckets; that joins groups of copies by a number of pairs that grows with the
-    group, not its square. Then what is still in different components within a bucket is compared. A
+    group, not its square. Then what is still in different components within a bucket is compared. Sets whose
+    sizes differ by more than the threshold allows are no candidates. A
     candidate's signatures are compared batch after batch; it is dropped once the posterior chance of
     reaching the threshold is below ``miss``.
 
@@ -281,19 +288,21 @@ def near_duplicates(
     leaders = signed.where("n > 0").join(
         classes.where("key = least").select("key").distinct(), "key", "left_semi"
     )
-    banded = leaders.select("key", F.posexplode("bands").alias("number", "band"))
+    banded = leaders.select("key", "n", F.posexplode("bands").alias("number", "band"))
     shared = materialize(
         banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1"), "buckets"
     )
     buckets = materialize(banded.join(shared, "band"), "banded")
     met = buckets.groupBy("key").agg(F.sum("size").alias("met"))
     hubs = buckets.join(met, "key").groupBy("band").agg(
-        F.max(F.struct("met", (-F.col("key")).alias("minus"))).alias("hub")
-    ).select("band", (-F.col("hub.minus")).alias("hub"))
+        F.max(F.struct("met", (-F.col("key")).alias("minus"), "n")).alias("hub")
+    ).select("band", (-F.col("hub.minus")).alias("hub"), F.col("hub.n").alias("hub_n"))
     texts = materialize(source.join(buckets.select("key").distinct(), "key", "left_semi"), "texts")
 
     first = materialize(
-        buckets.join(hubs, "band").where("hub <> key").select(
+        buckets.join(hubs, "band").where("hub <> key").where(
+            100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")
+        ).select(
             F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")
         ).distinct(),
         "pairs",
@@ -304,7 +313,7 @@ def near_duplicates(
     joined = materialize(connected_components(links), "components")
 
     named = buckets.join(joined.withColumnRenamed("node", "key"), "key", "left").select(
-        "band", "number", "key", "size", F.coalesce("component", "key").alias("component")
+        "band", "number", "key", "n", "size", F.coalesce("component", "key").alias("component")
     )
     mixed = named.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
@@ -313,7 +322,7 @@ def near_duplicates(
         leaders.select("key", "whole", "bands"), "key"
     )
     second = materialize(
-        _across(_split_large(open_buckets), threshold, miss).distinct().join(first, ["a", "b"], "left_anti"),
+        _across(_split_large(open_buckets), percent, miss).distinct().join(first, ["a", "b"], "left_anti"),
         "pairs",
     )
     more = verify(second, texts, shingle_words, percent)
