@@ -25,10 +25,9 @@ SIGNATURE, BATCH = 128, 32
 WHOLE = 544
 #: Chance that a pair at the threshold is pruned before its sets are compared.
 MISS = 1e-6
-#: Members of a bucket beyond which it is split on further rows; members of one verification group.
+#: Rows of a bucket that are compared in one task, beyond which blocks of it are compared two by two;
+#: members of one verification group.
 BUCKET, GROUP = 4096, 256
-#: A split has so many parts, on so many rows each; a pair at 0.8 meets in one but for 5 in 100 buckets.
-PARTS, PART_ROWS = 16, 8
 
 _ROUND = 128  # shingles hashed at a time, so that they stay in the processor's cache
 
@@ -193,65 +192,55 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int)
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def _across(buckets: DataFrame, percent: int, miss: float) -> DataFrame:
+def _across(blocks: DataFrame, percent: int, miss: float) -> DataFrame:
     """Pairs of different components in each bucket (``band, key, n, component, whole, bands``) not pruned.
 
-    A bucket is compared inside one task and only survivors leave it, each from the first of the buckets
-    that both members are in. Larger buckets than ``BUCKET`` are split beforehand on further rows.
+    Two blocks ``x, y`` of a bucket are compared inside one task, a block with itself where they are the
+    same. Only survivors leave it, each from the first of the buckets that both members are in.
     """
 
     def compare(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("key").drop_duplicates("key")
+        # a repeated id has a row for each of its sets
+        table = table.drop_duplicates(["key", "whole"]).sort_values("key")
         keys, components = table["key"].to_numpy(), table["component"].to_numpy()
-        sizes = table["n"].to_numpy()
+        sizes, own = table["n"].to_numpy(), table["block"].to_numpy()
         rows = np.frombuffer(b"".join(table["whole"]), "<u2").reshape(-1, WHOLE)
         bands = np.stack(table["bands"].to_list())
-        # a part of a split bucket has no number and may be any of those that the pair is in
-        number = table["number"].to_numpy()
+        number, across = table["number"].iloc[0], table["x"].iloc[0] != table["y"].iloc[0]
         found = []
         for i in range(len(keys) - 1):
             # sets of too different sizes cannot overlap enough
             low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
             other = (components[i + 1 :] != components[i]) & (100 * low >= percent * high)
+            if across:
+                other &= own[i + 1 :] != own[i]
             other = np.flatnonzero(other) + i + 1
             if not len(other):
                 continue
-            first = (bands[other] == bands[i]).argmax(axis=1)
-            other = other[(number[i] < 0) | (first == number[i])]
+            other = other[(bands[other] == bands[i]).argmax(axis=1) == number]
             mask = survives(
                 np.broadcast_to(rows[i], (len(other), WHOLE)), rows[other], percent / 100, miss
             )
             found += [(keys[i], key) for key in keys[other[mask]]]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return buckets.groupBy("band").applyInPandas(compare, "a long, b long")
+    return blocks.groupBy("band", "x", "y").applyInPandas(compare, "a long, b long")
 
 
-_OPEN = ["band", "number", "key", "n", "component", "whole", "bands"]
+def _in_blocks(buckets: DataFrame) -> DataFrame:
+    """Each row of a bucket with its ``block``, once for each pair ``x, y`` of blocks that it takes part in.
 
-
-def _split_large(buckets: DataFrame) -> DataFrame:
-    """Buckets with their members' number ``size``: the large ones in ``PARTS`` parts, the rest as is."""
-    small = buckets.where(F.col("size") <= BUCKET).select(*_OPEN)
-
-    def parts(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            grid = _matrix(batch.column("whole"), WHOLE)[:, : PARTS * PART_ROWS]
-            grid = grid.reshape(-1, PARTS, PART_ROWS).astype(np.uint64)
-            band = np.array(batch.column("band").to_pylist(), np.int64).view(np.uint64)
-            band = mix(band[:, None] + np.arange(PARTS, dtype=np.uint64))
-            for k in range(PART_ROWS):
-                band = mix(band ^ grid[:, :, k])
-            repeat = pa.array(np.repeat(np.arange(batch.num_rows), PARTS))
-            columns = {name: batch.column(name).take(repeat) for name in _OPEN}
-            columns["band"] = pa.array(band.reshape(-1).view(np.int64))
-            columns["number"] = pa.array(np.full(len(repeat), -1, np.int32))
-            yield pa.RecordBatch.from_pydict(columns)
-
-    large = buckets.where(F.col("size") > BUCKET).select(*_OPEN)
-    return small.unionByName(large.mapInArrow(parts, small.schema))
+    A bucket of up to ``BUCKET`` rows is one block. The blocks of a larger one have a third of that on
+    average, so that two of them stay below it, and every two of them meet.
+    """
+    count = F.when(F.col("size") <= BUCKET, 1).otherwise(F.ceil(3 * F.col("size") / BUCKET)).cast("int")
+    placed = buckets.withColumn("count", count).withColumn(
+        "block", F.pmod(F.xxhash64("band", "key"), "count").cast("int")
+    )
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).select(
+        "band", "number", "key", "component", "block",
+        F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+    )
 
 
 def near_duplicates(
@@ -264,8 +253,8 @@ def near_duplicates(
     the union; links are confirmed on the full sets. Equal sets are one class, compared once. Candidates
     share a band of MinHash values. First each bucket's members are compared with its hub, the one that meets
     most others in all its buckets; that joins groups of copies by a number of pairs that grows with the
-    group, not its square. Then what is still in different components within a bucket is compared. Sets whose
-    sizes differ by more than the threshold allows are no candidates. A
+    group, not its square. Then what is still in different components within a bucket is compared, all of it,
+    a large bucket in blocks. Sets whose sizes differ by more than the threshold allows are no candidates. A
     candidate's signatures are compared batch after batch; it is dropped once the posterior chance of
     reaching the threshold is below ``miss``.
 
@@ -313,16 +302,17 @@ def near_duplicates(
     joined = materialize(connected_components(links), "components")
 
     named = buckets.join(joined.withColumnRenamed("node", "key"), "key", "left").select(
-        "band", "number", "key", "n", "size", F.coalesce("component", "key").alias("component")
+        "band", "number", "key", "size", F.coalesce("component", "key").alias("component")
     )
     mixed = named.groupBy("band").agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low <> high").select("band")
-    open_buckets = named.join(mixed, "band", "left_semi").join(
-        leaders.select("key", "whole", "bands"), "key"
-    )
+    # of a repeated id's sets, those that are in the bucket
+    blocks = _in_blocks(named.join(mixed, "band", "left_semi")).join(
+        leaders.select("key", "n", "whole", "bands"), "key"
+    ).where(F.col("bands")[F.col("number")] == F.col("band"))
     second = materialize(
-        _across(_split_large(open_buckets), percent, miss).distinct().join(first, ["a", "b"], "left_anti"),
+        _across(blocks, percent, miss).distinct().join(first, ["a", "b"], "left_anti"),
         "pairs",
     )
     more = verify(second, texts, shingle_words, percent)

@@ -75,6 +75,22 @@ def test_large_buckets_are_split_and_groups_cut(documents, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == brute(rows, 5, 80)
 
 
+def test_pairs_at_the_threshold_meet_in_large_buckets(documents, monkeypatch):
+    """Twins at just over 0.8, all with one long run in common, which puts them into buckets with many others."""
+    for name, value in {"BUCKET": 32, "BANDS": 12, "ROWS": 2, "WHOLE": 152}.items():
+        monkeypatch.setattr(near_dups, name, value)
+    rng = random.Random(5)
+    shared, rows = [f"s{i}" for i in range(208)], []
+    for i in range(100):
+        text = shared + [f"p{i}x{rng.randint(0, 10**6)}" for _ in range(37)]
+        other = [*text[:-25], *(f"q{i}x{k}" for k in range(25))]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    want = brute(rows, 5, 80)
+    assert len(set(want.values())) == 100
+    found = near_dups.near_duplicates(documents(rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
 def test_bayes_bound_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(1)
     least = near_dups.least_agreements(near_dups.SIGNATURE, 0.8, 1e-6)
