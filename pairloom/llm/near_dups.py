@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import (
@@ -230,14 +230,26 @@ def _across(blocks: DataFrame, percent: int, miss: float) -> DataFrame:
 def _in_blocks(buckets: DataFrame) -> DataFrame:
     """Each row of a bucket with its ``block``, once for each pair ``x, y`` of blocks that it takes part in.
 
-    A bucket of up to ``BUCKET`` rows is one block. The blocks of a larger one have a third of that on
-    average, so that two of them stay below it, and every two of them meet.
+    ``size`` rows of a bucket, of which ``most`` are in its largest component, ``major``. A bucket of up to
+    ``BUCKET`` rows is one block. The blocks of a larger one have a third of that on average, so that two of
+    them stay below it; those of the largest component come first and meet the later ones alone, which
+    meet each other too.
     """
-    count = F.when(F.col("size") <= BUCKET, 1).otherwise(F.ceil(3 * F.col("size") / BUCKET)).cast("int")
-    placed = buckets.withColumn("count", count).withColumn(
-        "block", F.pmod(F.xxhash64("band", "key"), "count").cast("int")
+    def blocks(rows: Column) -> Column:
+        return F.when(F.col("size") <= BUCKET, 0).otherwise(F.ceil(3 * rows / BUCKET)).cast("int")
+
+    placed = buckets.select(
+        "*", blocks(F.col("most")).alias("of_major"), blocks(F.col("size") - F.col("most")).alias("of_rest"),
+        (F.col("component") == F.col("major")).alias("is_major"), F.xxhash64("band", "key").alias("chance"),
+    ).withColumn(
+        "block", F.when(F.col("of_rest") == 0, 0).when(
+            F.col("is_major"), F.pmod("chance", "of_major")
+        ).otherwise(F.col("of_major") + F.pmod("chance", "of_rest")).cast("int")
     )
-    return placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("count") - 1))).select(
+    meets = F.when(F.col("of_rest") == 0, F.array(F.lit(0))).otherwise(F.sequence(
+        F.when(F.col("is_major"), F.col("of_major")).otherwise(0), F.col("of_major") + F.col("of_rest") - 1
+    ))
+    return placed.withColumn("other", F.explode(meets)).select(
         "band", "number", "key", "component", "block",
         F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
     )
@@ -302,13 +314,14 @@ def near_duplicates(
     joined = materialize(connected_components(links), "components")
 
     named = buckets.join(joined.withColumnRenamed("node", "key"), "key", "left").select(
-        "band", "number", "key", "size", F.coalesce("component", "key").alias("component")
+        "band", "number", "key", F.coalesce("component", "key").alias("component")
     )
-    mixed = named.groupBy("band").agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low <> high").select("band")
+    mixed = named.groupBy("band", "component").agg(F.count("*").alias("rows")).groupBy("band").agg(
+        F.sum("rows").alias("size"), F.max(F.struct(F.col("rows").alias("most"), "component")).alias("top"),
+        F.count("*").alias("components"),
+    ).where("components > 1").select("band", "size", "top.most", F.col("top.component").alias("major"))
     # of a repeated id's sets, those that are in the bucket
-    blocks = _in_blocks(named.join(mixed, "band", "left_semi")).join(
+    blocks = _in_blocks(named.join(mixed, "band")).join(
         leaders.select("key", "n", "whole", "bands"), "key"
     ).where(F.col("bands")[F.col("number")] == F.col("band"))
     second = materialize(

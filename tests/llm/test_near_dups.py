@@ -91,6 +91,27 @@ def test_pairs_at_the_threshold_meet_in_large_buckets(documents, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == want
 
 
+def test_blocks_are_bounded_and_a_joined_component_is_not_compared(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BUCKET", 200)
+    rows = [(9, 3, key, 1 if key < 900 else key, 1000, 900, 1) for key in range(1, 1001)]
+    rows += [(8, 3, key, key % 2, 50, 25, 0) for key in range(50)]
+    names = "band long, number int, key long, component long, size long, most long, major long"
+    groups = {}
+    for r in near_dups._in_blocks(spark.createDataFrame(rows, names)).collect():
+        groups.setdefault((r.band, r.x, r.y), []).append(r)
+    assert max(map(len, groups.values())) <= 200
+    met = {8: set(), 9: set()}
+    for (band, x, y), members in groups.items():
+        assert len({r.component for r in members}) > 1
+        met[band] |= {
+            (a.key, b.key) for a in members for b in members
+            if a.key < b.key and a.component != b.component and (x == y or a.block != b.block)
+        }
+    for band in met:
+        mine = {r[2]: r[3] for r in rows if r[0] == band}
+        assert met[band] == {(a, b) for a in mine for b in mine if a < b and mine[a] != mine[b]}
+
+
 def test_bayes_bound_keeps_pairs_at_the_threshold():
     rng = np.random.default_rng(1)
     least = near_dups.least_agreements(near_dups.SIGNATURE, 0.8, 1e-6)
