@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import (
-    attribution, compression, languages, metric_tree, near_dups, outliers, packing, passages, warc,
-    word_table,
+    attribution, compression, languages, metric_tree, near_dups, outliers, packing, passages, prefix_trie,
+    tree_forest, warc, whitening, word_table,
 )
 from pairloom.llm.common import read_table
 
@@ -143,3 +143,74 @@ def op5_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 def op6_token_attribution(spark: SparkSession, folder: str) -> DataFrame:
     docs = read_table(spark, folder, "documents")
     return attribution.attribute_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# Unsigned CRC-32 (reflected, polynomial 0xEDB88320) of a text of ASCII characters, bit by bit.
+_CRC = """xor(4294967295, list_reduce([ord(ch) FOR ch IN string_split({text}, '')],
+  lambda crc, byte: list_reduce([0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, bit: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(crc, byte)),
+  4294967295))"""
+
+SQL["op11_prefix_trie"] = f"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id
+           ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
+         {_CRC.format(text="CAST(conv_id AS VARCHAR)")} % 4 AS h FROM turns GROUP BY conv_id),
+shared AS (
+  SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+rebuilt AS (
+  SELECT s.conv_id, taken + place - h + 1 AS depth, role, text FROM shared s JOIN turns t ON t.conv_id = s.conv_id
+  WHERE place >= h
+  UNION ALL
+  SELECT s.conv_id, place + 1, role, text FROM shared s JOIN turns t ON t.conv_id = s.base WHERE place < h),
+paths AS (
+  SELECT conv_id, text, list({{'r': role, 't': text}}) OVER (PARTITION BY conv_id ORDER BY depth) AS path
+  FROM rebuilt),
+members AS (
+  SELECT conv_id, path, text FROM paths
+  UNION ALL SELECT conv_id, CAST([] AS STRUCT(r VARCHAR, t VARCHAR)[]), '' FROM shared),
+nodes AS (
+  SELECT path, CAST(len(path) AS BIGINT) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) AS saved
+  FROM members GROUP BY path),
+children AS (
+  SELECT path[:len(path) - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+known AS (
+  SELECT nodes.*, coalesce(children.n, 0) AS n_children, children.n IS NULL AS leaf
+  FROM nodes LEFT JOIN children USING (path)),
+totals AS (
+  SELECT path[:k] AS path, sum(CAST(leaf AS BIGINT)) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT path, leaf, saved, unnest(range(0, depth + 1)) AS k FROM known) GROUP BY 1),
+ends AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM (SELECT conv_id, arg_max(path, len(path)) AS path FROM members GROUP BY conv_id) GROUP BY path)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children,
+       CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens,
+       sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM known v JOIN totals t ON t.path = v.path
+LEFT JOIN nodes p ON p.path = v.path[:len(v.path) - 1] AND v.depth > 0
+LEFT JOIN ends e ON e.path = v.path
+"""
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns, convs = prefix_trie.in_order(read_table(spark, folder, "conversations"))
+    base = F.col("conv_id") - F.col("conv_id") % 20
+    shared = _remainder("conv_id", 4)
+    return prefix_trie.prefix_trie(*prefix_trie.share_openings(turns, convs, base, shared, most=3))
+
+
+@query
+def op12_tree_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return tree_forest.near_copies(read_table(spark, folder, "embeddings"))
+
+
+@query
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(read_table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))

@@ -1,0 +1,97 @@
+import math
+from fractions import Fraction
+
+import numpy as np
+
+from pairloom.llm import whitening
+from pairloom.llm.common import read_table
+from pairloom.llm.queries import op13_whitening
+
+
+def usable(rows):
+    kept = [(k, [math.floor(1024 * c) + 100000 for c in v]) for k, v in rows
+            if v and all(c is not None and math.isfinite(c) and abs(1024 * c) < 2**62 for c in v)]
+    widths = sorted((sum(len(x) == w for _, x in kept), w) for w in {len(x) for _, x in kept})
+    return [(k, x) for k, x in kept if len(x) == widths[-1][1]]
+
+
+def check(rows, found, components=8):
+    """The result against sums in fractions and a plain covariance."""
+    kept = usable(rows)
+    x = np.array([row for _, row in kept], np.float64)
+    n, sums = len(kept), [sum(row[d] for _, row in kept) for d in range(x.shape[1])]
+    centred = x - np.array([float(Fraction(s, n)) for s in sums])
+    covariance = centred.T @ centred / n
+    e, u = np.linalg.eigh(covariance)
+    e, u = e[::-1], u[:, ::-1]
+    width = min(components, int((e > 1e-10 * e[0]).sum()))
+    by_row = {}
+    for r in found:
+        by_row.setdefault((r["vec_id"], r["component"]), []).append(r)
+    assert len(found) == n * width
+    squares = {}
+    for k, row in kept:
+        squares.setdefault(k, []).append(sum((n * a - s) ** 2 for a, s in zip(row, sums)))
+    for component in range(1, width + 1):
+        plain = {}
+        for (k, _), line in zip(kept, centred):
+            plain.setdefault(k, []).append(float(line @ u[:, component - 1]) / math.sqrt(e[component - 1]))
+        signs = set()
+        for k, values in plain.items():
+            rows_ = by_row[k, component]
+            assert sorted(r["deviation"] for r in rows_) == sorted(squares[k])
+            for r in rows_:
+                assert r["n"] == n
+                assert math.isclose(r["explained"], e[component - 1] / e.sum(), rel_tol=1e-6)
+                assert r["identity_error"] < 1e-6
+            if len(values) == 1 and abs(values[0]) > 1e-6:
+                assert math.isclose(abs(rows_[0]["whitened"]), abs(values[0]), rel_tol=1e-6)
+                signs.add(rows_[0]["whitened"] * values[0] > 0)
+        assert len(signs) == 1
+
+
+def run(spark, rows, kind="double", **options):
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").selectExpr(
+        "*", "'own' AS key", "1 AS x", "2 AS weight"
+    )
+    return whitening.whiten(table, **options).collect()
+
+
+def test_equals_plain_covariance(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((400, 12)) * np.arange(1, 13))]
+    rows += [(1000 + i, rows[0][1]) for i in range(300)] + [(7, rows[3][1])]
+    check(rows, run(spark, rows))
+    check(rows, run(spark, rows, components=3), 3)
+
+
+def test_odd_rows_take_no_part(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((40, 3)))]
+    odd = [(100, None), (101, []), (102, [None, 1.0, 1.0]), (103, [float("nan")] * 3),
+           (104, [float("inf"), 0.0, 0.0]), (105, [1e300, 0.0, 0.0]), (106, [1.0, 2.0]), (None, [1.0, 2.0, 3.0])]
+    check(rows + odd, run(spark, rows + odd))
+
+
+def test_deviations_beyond_64_bits(spark):
+    rows = [(i, [float(i) * 1e12, float(i * i)]) for i in range(9)]
+    check(rows, run(spark, rows))
+
+
+def test_flat_directions_have_no_component(spark):
+    rows = [(i, [float(i), 2.0 * i, 5.0]) for i in range(20)]
+    found = run(spark, rows)
+    assert {r["component"] for r in found} == {1}
+    assert run(spark, []) == [] and run(spark, [(1, [1.0, 2.0]), (2, [1.0, 2.0])]) == []
+
+
+def test_query(spark):
+    folder = "/root/testdata/sf0.001"
+    table = read_table(spark, folder, "embeddings").toPandas()
+    rows = [(int(k), list(map(float, v))) for k, v in zip(table["vec_id"], table["embedding"])]
+    found = op13_whitening(spark, folder)
+    assert dict(found.dtypes) == {
+        "vec_id": "bigint", "component": "int", "n": "bigint", "deviation": "bigint", "whitened": "double",
+        "explained": "double", "identity_error": "double",
+    }
+    check(rows, found.collect())
