@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.checks import named, need_columns
-from pairloom.operators.rows import before, count_rows, find_cuts
+from pairloom.operators.rows import before, key_ranges
 from pairloom.operators.tokens import words
 
 
@@ -36,14 +36,13 @@ def training_view(
     for name, cap in caps.items():
         mine = named(split) == name
         if cap is not None:
-            rows = df.where(mine)
-            total = count_rows(rows, order_by)
-            if strict and total < cap:
-                raise ValueError(f"{cap} {name} rows wanted, there are {total}")
+            ranges = key_ranges(df.where(mine), order_by)
+            if strict and ranges.total < cap:
+                raise ValueError(f"{cap} {name} rows wanted, there are {ranges.total}")
             if cap == 0:
                 continue
-            if cap < total:
-                mine = mine & before(df, list(order_by), find_cuts(rows, order_by, [cap], total)[cap])
+            if cap < ranges.total:
+                mine = mine & before(df, list(order_by), ranges.cuts([cap])[cap])
         kept.append(mine)
     return df.where(reduce(or_, kept)) if kept else df.limit(0)
 

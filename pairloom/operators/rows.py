@@ -3,10 +3,11 @@
 A Spark table has no row order, so each takes ``order_by``: columns that together identify a row
 and are never null. Positions are counted from 0 along them.
 
-Ranges are not cut out by numbering the table. The keys are counted in ranges taken from a sample, then
-the one range that holds the wanted position is counted in narrower ones, until few enough rows are
-left to be put in order. The table is then filtered by the key found there: nothing else is sorted or
-shuffled, and the Parquet scan gets the filters.
+Ranges are not cut out by numbering the table. The keys are counted in ranges taken from a sample, by a
+balanced tree of comparisons, in the pass that counts the table. The ranges that hold wanted positions are
+counted in narrower ones, all of them in one pass, until few enough rows are left to be put in order. The
+table is then filtered by the keys found there: nothing else is sorted or shuffled, and the Parquet
+scan gets the filters.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pairloom.functions.hashing import below_fraction, key_hash
 from pairloom.storage import materialize
 
 #: Ranges that the keys are counted in when a position is looked for, and keys sampled per range.
-RANGES, SAMPLED = 64, 32
+RANGES, SAMPLED = 32, 64
 
-#: A range of at most so many rows is put in order on its own.
-FEW_ROWS = 5000
+#: Ranges of at most so many rows are put in order.
+FEW_ROWS = 32_768
 
 #: Up to so many rows per group, a task sends its first ones of a group to the task that picks them; Spark
 #: cuts groups before the shuffle for up to 1000 rows only.
@@ -147,65 +148,184 @@ def _collected(df: DataFrame, keys: Sequence[str]) -> list[tuple]:
     return [tuple(row) for row in df.select(*columns).collect()]
 
 
-def _in_order(df: DataFrame, keys: Sequence[str], limit: int) -> list[tuple]:
-    return _collected(df.orderBy(*map(named, keys)).limit(limit), keys)
-
+def _sql(value, dtype: T.DataType) -> str:
+    """A key as SQL text: many bounds at once are parsed far faster than put together call by call."""
+    if isinstance(dtype, T.TimestampType):
+        return f"timestamp_micros({value})"
+    if isinstance(dtype, T.StringType):
+        return f"decode(unhex('{value.encode().hex()}'), 'UTF-8')"
+    if isinstance(dtype, T.BinaryType):
+        return f"unhex('{bytes(value).hex()}')"
+    if isinstance(value, datetime):
+        value = value.isoformat(sep=" ")
+    return f"CAST('{value}' AS {dtype.simpleString()})"
+
+
+def _range_of(df: DataFrame, keys: Sequence[str], bounds: Sequence[tuple]) -> Column:
+    """How many of the ascending bounds a row's key has reached: about log2 of them are compared."""
+    names = ["`" + key.replace("`", "``") + "`" for key in keys]
+    dtypes = [df.schema[key].dataType for key in keys]
+
+    def below(bound: tuple) -> str:
+        values = [_sql(value, dtype) for value, dtype in zip(bound, dtypes)]
+        condition = f"{names[-1]} < {values[-1]}"
+        for name, value in reversed(list(zip(names[:-1], values[:-1]))):
+            condition = f"{name} < {value} OR ({name} = {value} AND ({condition}))"
+        return condition
+
+    def between(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return (
+            f"CASE WHEN {below(bounds[middle])} THEN {between(low, middle)} "
+            f"ELSE {between(middle + 1, high)} END"
+        )
 
-def count_rows(df: DataFrame, keys: Sequence[str]) -> int:
-    """The number of rows; a null key is an error."""
-    nulls = [F.count(F.when(named(key).isNull(), 1)) for key in keys]
-    total, *missing = df.agg(F.count("*"), *nulls).first()
-    for key, count in zip(keys, missing):
-        if count:
-            raise ValueError(f"null order key {key}")
-    return total
+    return F.expr(between(0, len(bounds)))
 
 
-def _keys_at(df: DataFrame, keys: Sequence[str], positions: Sequence[int], total: int) -> dict[int, tuple]:
-    """The keys at the given positions of a table of ``total`` rows."""
-    if total <= FEW_ROWS:
-        ordered = _in_order(df, keys, max(positions) + 1)
-        return {position: ordered[position] for position in positions}
-    every = -(-total // (RANGES * SAMPLED))
-    chosen = F.pmod(F.xxhash64(*map(named, keys)), F.lit(every)) == 0
-    sample = _in_order(df.where(chosen), keys, 4 * RANGES * SAMPLED)
-    step = max(1, len(sample) // RANGES)
-    bounds = list(dict.fromkeys(sample[step::step]))
-    reached = sum((at_or_after(df, keys, bound).cast("int") for bound in bounds), F.lit(0))
-    sizes = dict(df.groupBy(reached.alias("range")).count().collect())
-    found, start = {}, 0
-    for at in range(len(bounds) + 1):
-        size = sizes.get(at, 0)
-        inside = [position - start for position in positions if start <= position < start + size]
-        if inside:
-            part = df
-            if at > 0:
-                part = part.where(at_or_after(df, keys, bounds[at - 1]))
-            if at < len(bounds):
-                part = part.where(before(df, keys, bounds[at]))
-            if size == total:
-                raise ValueError(f"{list(keys)} do not identify a row: {size} rows cannot be told apart")
-            found |= {start + k: key for k, key in _keys_at(part, keys, inside, size).items()}
+@dataclass(frozen=True)
+class _Stretch:
+    """Rows from key ``low`` to before ``high`` (None: no bound): ``size`` of them, from position ``start``."""
+
+    low: tuple | None
+    high: tuple | None
+    start: int
+    size: int
+
+    def holds(self, df: DataFrame, keys: Sequence[str]) -> Column:
+        inside = F.lit(True)
+        if self.low is not None:
+            inside &= at_or_after(df, keys, self.low)
+        if self.high is not None:
+            inside &= before(df, keys, self.high)
+        return inside
+
+
+def _stretches(
+    bounds: Sequence[tuple], sizes: dict[int, int], within: _Stretch, first: int = 0
+) -> list[_Stretch]:
+    """The ranges that ``bounds`` cut a stretch into; ``first`` is the number of the first in ``sizes``."""
+    out, start, edges = [], within.start, [within.low, *bounds, within.high]
+    for at, (low, high) in enumerate(zip(edges, edges[1:])):
+        size = sizes.get(first + at, 0)
+        out.append(_Stretch(low, high, start, size))
         start += size
-    return found
+    return out
 
 
-def find_cuts(
-    df: DataFrame, order_by: Sequence[str], positions: Sequence[int], total: int | None = None
-) -> dict[int, tuple]:
-    """The keys at which ranges may be cut: each one's predecessor must differ.
+def _not_unique(keys: Sequence[str], size: int) -> ValueError:
+    return ValueError(f"{list(keys)} do not identify a row: {size} rows cannot be told apart")
 
-    ``total`` is the number of rows, if the caller has counted them (`count_rows`).
-    """
+
+@dataclass(frozen=True)
+class KeyRanges:
+    """A table's keys, counted in ranges."""
+
+    rows: DataFrame
+    keys: list[str]
+    total: int
+    ranges: list[_Stretch]
+
+    def _narrower(self, wide: list[_Stretch]) -> list[_Stretch]:
+        """The ranges of several stretches: one pass to sample them all, one to count them all."""
+        sampled, number = F.lit(False), F.lit(0)
+        for at, stretch in enumerate(wide):
+            every = -(-stretch.size // (RANGES * SAMPLED))
+            inside = stretch.holds(self.rows, self.keys)
+            chosen = F.pmod(F.xxhash64(*map(named, self.keys)), F.lit(every)) == 0
+            sampled, number = sampled | (inside & chosen), F.when(inside, at).otherwise(number)
+        most = 4 * RANGES * SAMPLED * len(wide)
+        mark = fresh(self.rows, "_stretch")
+        found = _collected(
+            self.rows.where(sampled).withColumn(mark, number).orderBy(*map(named, self.keys)).limit(most),
+            [mark, *self.keys],
+        )
+        cuts = []
+        for at in range(len(wide)):
+            own = [key for where, *key in found if where == at]
+            step = max(1, len(own) // RANGES)
+            cuts.append(list(dict.fromkeys(map(tuple, own[step::step]))))
+        edges: list[tuple] = []  # of all stretches, ascending; two neighbours share one
+        firsts = []
+        for stretch, bounds in zip(wide, cuts):
+            if stretch.low is not None and stretch.low not in edges:
+                edges.append(stretch.low)
+            firsts.append(len(edges))
+            edges += [*bounds, *([stretch.high] if stretch.high is not None else [])]
+        inside = F.lit(False)
+        for stretch in wide:
+            inside |= stretch.holds(self.rows, self.keys)
+        counted = self.rows.where(inside).groupBy(
+            _range_of(self.rows, self.keys, edges).alias("range")
+        ).count()
+        sizes = dict(counted.collect())
+        narrow = []
+        for stretch, bounds, first in zip(wide, cuts, firsts):
+            parts = _stretches(bounds, sizes, stretch, first)
+            if any(part.size == stretch.size for part in parts):
+                raise _not_unique(self.keys, stretch.size)
+            narrow += parts
+        return narrow
+
+    def keys_at(self, positions: Sequence[int]) -> dict[int, tuple]:
+        """The keys at the given positions."""
+        known = self.ranges
+        while True:
+            hit = [
+                part for part in known
+                if any(part.start <= position < part.start + part.size for position in positions)
+            ]
+            wide = [part for part in hit if part.size > FEW_ROWS]
+            if not wide:
+                break
+            narrow = self._narrower(wide)
+            known = sorted([part for part in hit if part not in wide] + narrow, key=lambda part: part.start)
+        if not hit:
+            return {}
+        inside = F.lit(False)
+        for part in hit:
+            inside |= part.holds(self.rows, self.keys)
+        few = _collected(self.rows.where(inside).orderBy(*map(named, self.keys)), self.keys)
+        found, offset = {}, 0
+        for part in hit:
+            found |= {
+                position: few[offset + position - part.start]
+                for position in positions if part.start <= position < part.start + part.size
+            }
+            offset += part.size
+        return found
+
+    def cuts(self, positions: Sequence[int]) -> dict[int, tuple]:
+        """The keys at which ranges may be cut: each one's predecessor must differ."""
+        found = self.keys_at(sorted({p for at in positions for p in (at - 1, at) if p >= 0}))
+        for position in positions:
+            if position and found[position - 1] == found[position]:
+                raise ValueError(f"{self.keys} do not identify a row: {found[position]} occurs twice")
+        return {position: found[position] for position in positions}
+
+
+def key_ranges(df: DataFrame, order_by: Sequence[str]) -> KeyRanges:
+    """Sample the keys of a table, then count them in ranges. A null key is an error."""
     keys = list(order_by)
     rows = df.select(*map(named, keys))
-    total = count_rows(rows, keys) if total is None else total
-    asked = sorted({p for at in positions for p in (at - 1, at) if p >= 0})
-    found = _keys_at(rows, keys, asked, total) if asked else {}
-    for position in positions:
-        if position and found[position - 1] == found[position]:
-            raise ValueError(f"{keys} do not identify a row: {found[position]} occurs twice")
-    return {position: found[position] for position in positions}
+    chance = fresh(rows, "_chance")
+    hashed = rows.withColumn(chance, F.xxhash64(*map(named, keys)))
+    drawn = hashed.orderBy(chance).limit(RANGES * SAMPLED).drop(chance)
+    sample = _collected(drawn.dropna().orderBy(*map(named, keys)), keys)
+    step = max(1, len(sample) // RANGES)
+    bounds = list(dict.fromkeys(sample[step::step]))
+    nulls = [F.count(F.when(named(key).isNull(), 1)).alias(f"_nulls{at}") for at, key in enumerate(keys)]
+    counted = rows.groupBy(_range_of(rows, keys, bounds).alias("_range")).agg(
+        F.count("*").alias("_size"), *nulls
+    ).collect()
+    for at, key in enumerate(keys):
+        if any(row[f"_nulls{at}"] for row in counted):
+            raise ValueError(f"null order key {key}")
+    sizes = {row["_range"]: row["_size"] for row in counted}
+    total = sum(sizes.values())
+    return KeyRanges(rows, keys, total, _stretches(bounds, sizes, _Stretch(None, None, 0, total)))
 
 
 def _earlier(keys: Sequence[str], bounds: Sequence[Column]) -> Column:
@@ -256,12 +376,12 @@ def slice_rows(
     if start == stop:
         return df.limit(0)
     keys = list(order_by)
-    total = count_rows(df, keys)
-    if strict and total < stop:
-        raise _too_short(total, stop)
-    if start >= total:
+    ranges = key_ranges(df, keys)
+    if strict and ranges.total < stop:
+        raise _too_short(ranges.total, stop)
+    if start >= ranges.total:
         return df.limit(0)
-    cuts = find_cuts(df, keys, [at for at in (start, stop) if 0 < at < total], total)
+    cuts = ranges.cuts([at for at in (start, stop) if 0 < at < ranges.total])
     if start in cuts:
         df = df.where(at_or_after(df, keys, cuts[start]))
     if stop in cuts:
@@ -353,13 +473,13 @@ def hash_split(
         return df.withColumn(column, F.when(chosen, names[1]).otherwise(names[0]))
     if not 0 < fraction < 1:
         raise ValueError(f"fraction must lie between 0 and 1, not {fraction}")
-    total = count_rows(df, [key])
-    wanted = ceil(fraction * total)
     extra = fresh(df, "_hash")
     hashed, keys = df.withColumn(extra, key_hash(there, seed)), [extra, key]
+    ranges = key_ranges(hashed, keys)
+    wanted = ceil(fraction * ranges.total)
     chosen = F.lit(True)
-    if wanted < total:
-        chosen = before(hashed, keys, find_cuts(hashed, keys, [wanted], total)[wanted])
+    if wanted < ranges.total:
+        chosen = before(hashed, keys, ranges.cuts([wanted])[wanted])
     return hashed.withColumn(column, F.when(chosen, names[1]).otherwise(names[0])).drop(extra)
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 from hashlib import md5
 from math import ceil
 
@@ -105,19 +106,25 @@ VALUES = [
     ("d double", [x / 7 for x in range(-5, 15)] + [float("nan")]),
     ("d string", ["", " ", "a", "A", "é", "z", "\U0001f600", "￿"]),
     ("d boolean", [True, False]),
+    ("d decimal(20,3)", [Decimal(x) / 8 for x in range(-9, 9)]),
+    ("d float", [x / 3 for x in range(-5, 15)] + [float("inf")]),
+    ("d binary", [b"", b"\x00", b"'", b"\xff\x01"]),
 ]
 
 
 @pytest.mark.parametrize("schema, values", VALUES)
 def test_key_bounds_of_every_type(spark, schema, values):
     table = spark.createDataFrame([(v,) for v in reversed(values)], schema)
-    keys = dict(enumerate(rows_module._in_order(table, ["d"], 100)))
+    keys = dict(enumerate(rows_module._collected(table.orderBy("d"), ["d"])))
     counts = table.agg(*(
         F.count(F.when(condition(table, ["d"], keys[at]), 1)).alias(f"{name}{at}")
         for name, condition in (("before", before), ("after", at_or_after)) for at in keys
     )).first()
     for at in keys:
         assert (counts[f"before{at}"], counts[f"after{at}"]) == (at, len(keys) - at)
+    bounds = list(keys.values())[1:]
+    ranges = table.orderBy("d").select(rows_module._range_of(table, ["d"], bounds).alias("range"))
+    assert [row.range for row in ranges.collect()] == list(range(len(keys)))
 
 
 def test_positions_outside_are_refused(spark):
@@ -231,6 +238,32 @@ def test_ranges_are_narrowed_until_few_rows_are_left(spark, monkeypatch):
         assert got == wanted[start:stop]
 
 
+def test_all_cuts_are_narrowed_together(spark, monkeypatch):
+    """Two passes a level, however many cuts are wanted."""
+    monkeypatch.setattr(rows_module, "FEW_ROWS", 30)
+    monkeypatch.setattr(rows_module, "RANGES", 6)
+    levels = []
+    narrower = rows_module.KeyRanges._narrower
+    monkeypatch.setattr(
+        rows_module.KeyRanges, "_narrower", lambda self, wide: levels.append(len(wide)) or narrower(self, wide)
+    )
+    table = numbers(spark, 4000)
+    wanted = sorted((r.s, r.k) for r in table.collect())
+    asked = [0, 1, 500, 501, 1999, 2600, 3333, 3999]
+    found = rows_module.key_ranges(table, ["s", "k"]).cuts(asked)
+    assert found == {at: wanted[at] for at in asked}
+    assert len(levels) <= 4 and levels[0] > 1
+
+
+def test_unlike_keys_beyond_a_range_of_equal_ones(spark, monkeypatch):
+    monkeypatch.setattr(rows_module, "FEW_ROWS", 10)
+    monkeypatch.setattr(rows_module, "RANGES", 4)
+    table = spark.range(600).select(F.when(F.col("id") < 300, -1).otherwise(F.col("id")).alias("k"))
+    assert op.slice_rows(table, 400, 450, ["k"]).count() == 50
+    with pytest.raises(ValueError, match="do not identify a row"):
+        op.slice_rows(table, 100, 450, ["k"])
+
+
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date"])
 def test_moments_of_a_repeated_hour(spark, kind, monkeypatch):
     """The driver's local time repeats an hour here; no row may be lost to it."""
