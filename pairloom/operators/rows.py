@@ -1,7 +1,9 @@
 """Operators that rest on row position.
 
 A Spark table has no row order, so each takes ``order_by``: columns that together identify a row
-and are never null. Positions are counted from 0 along them.
+and are never null. Positions are counted from 0 along them. A table read from Parquet files also has an
+order as stored: by file path, then by row within the file. ``order_by=None`` stands for it. It needs no
+key and no sort: Spark tells each row's file and place, and files are counted without reading a column.
 
 Ranges are not cut out by numbering the table. The keys are counted in ranges taken from a sample, by a
 balanced tree of comparisons, in the pass that counts the table. The ranges that hold wanted positions are
@@ -13,11 +15,12 @@ scan gets the filters.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from math import ceil
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,12 +118,15 @@ def row_order(df: DataFrame, order_by: Sequence[str], partitions: int | None = N
 
 
 def with_row_index(
-    df: DataFrame, order_by: Sequence[str], name: str = "row_index", partitions: int | None = None
+    df: DataFrame, order_by: Sequence[str] | None, name: str = "row_index", partitions: int | None = None
 ) -> DataFrame:
-    """Number the rows 0, 1, 2, … along ``order_by``, which must identify a row.
+    """Number the rows 0, 1, 2, … along ``order_by``, which must identify a row, or as they are stored (None).
 
-    The key columns alone are put in order; the table is joined with their places once.
+    The key columns alone are put in order; the table is joined with their places once. Whole files
+    in stored order need neither: a row's number is its place plus the rows in the files before.
     """
+    if order_by is None:
+        return _stored_index(df, name)[0]
     need_columns(df, *order_by)
     keys = list(order_by)
     order = row_order(df.select(*map(named, keys)), keys, partitions)
@@ -131,6 +137,72 @@ def with_row_index(
     )
 
 
+def in_stored_order(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with two more columns, the file and place that each row is stored at, and their names."""
+    names = [fresh(df, "_file"), fresh(df, "_place")]
+    try:
+        stored = df.metadataColumn("_metadata")
+        return df.select(
+            "*", stored["file_path"].alias(names[0]), stored["row_index"].alias(names[1])
+        ), names
+    except AnalysisException as error:
+        raise ValueError(
+            "only a table read from Parquet files, filtered or projected at most, has a stored order; "
+            "name the columns to order by"
+        ) from error
+
+
+@dataclass(frozen=True)
+class StoredFiles:
+    """Files in order of path with the rows that a table takes from each: as many as Spark has listed."""
+
+    paths: list[str]
+    starts: list[int]
+    total: int
+    whole: bool
+
+    def key_at(self, position: int) -> tuple[str, int]:
+        """File and place of a row; only for files taken as a whole."""
+        at = bisect_right(self.starts, position) - 1
+        return self.paths[at], position - self.starts[at]
+
+
+def stored_files(placed: DataFrame, names: Sequence[str]) -> StoredFiles:
+    """Count the rows of each file. A filter leaves some files with fewer rows than places."""
+    file, place = names
+    rows = placed.groupBy(named(file)).agg(
+        F.count("*").alias("n"), (F.max(named(place)) + 1).alias("places")
+    ).orderBy(named(file)).collect()
+    starts, total = [], 0
+    for row in rows:
+        starts.append(total)
+        total += row["n"]
+    return StoredFiles(
+        [row[0] for row in rows], starts, total, all(row["n"] == row["places"] for row in rows)
+    )
+
+
+def _stored_index(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` with the position of each row as stored, and the number of rows."""
+    placed, keys = in_stored_order(df)
+    files = stored_files(placed, keys)
+    if not files.whole:
+        order = row_order(placed.select(*map(named, keys)), keys)
+        numbered = placed.join(order.numbered(fresh(placed, "_at")), keys)
+        at = named(fresh(placed, "_at"))
+    else:
+        # One row per file; Spark broadcasts it if it is small enough.
+        first = fresh(placed, "_first")
+        starts = placed.sparkSession.createDataFrame(
+            list(zip(files.paths, files.starts)), T.StructType([
+                T.StructField(keys[0], T.StringType()), T.StructField(first, T.LongType())
+            ])
+        )
+        numbered, at = placed.join(starts, keys[0]), named(first) + named(keys[1])
+    kept = [named(column) for column in df.columns if column != name]
+    return numbered.select(*kept, at.alias(name)), files.total
+
+
 def _literal(value, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.TimestampType):
         return F.timestamp_micros(F.lit(value))
@@ -361,32 +433,45 @@ def _too_short(total: int, wanted: int) -> ValueError:
     return ValueError(f"{wanted} rows wanted, the table has {total}")
 
 
-def head_rows(df: DataFrame, n: int, order_by: Sequence[str], strict: bool = True) -> DataFrame:
+def head_rows(df: DataFrame, n: int, order_by: Sequence[str] | None, strict: bool = True) -> DataFrame:
     """The first ``n`` rows. A shorter table is an error, or with ``strict=False`` kept whole."""
     return slice_rows(df, 0, n, order_by, strict)
 
 
 def slice_rows(
-    df: DataFrame, start: int, stop: int, order_by: Sequence[str], strict: bool = True
+    df: DataFrame, start: int, stop: int, order_by: Sequence[str] | None, strict: bool = True
 ) -> DataFrame:
-    """The rows at positions ``start`` to ``stop - 1``."""
+    """The rows at positions ``start`` to ``stop - 1`` along ``order_by``, or as they are stored (None)."""
     if not 0 <= start <= stop:
         raise ValueError(f"not a row range: [{start}, {stop})")
-    need_columns(df, *order_by)
+    if order_by is not None:
+        need_columns(df, *order_by)
     if start == stop:
         return df.limit(0)
-    keys = list(order_by)
-    ranges = key_ranges(df, keys)
-    if strict and ranges.total < stop:
-        raise _too_short(ranges.total, stop)
-    if start >= ranges.total:
+    placed, keys = in_stored_order(df) if order_by is None else (df, list(order_by))
+    total, cuts_at = _positions(placed, keys, order_by is None)
+    if strict and total < stop:
+        raise _too_short(total, stop)
+    if start >= total:
         return df.limit(0)
-    cuts = ranges.cuts([at for at in (start, stop) if 0 < at < ranges.total])
+    cuts = cuts_at([at for at in (start, stop) if 0 < at < total])
     if start in cuts:
-        df = df.where(at_or_after(df, keys, cuts[start]))
+        placed = placed.where(at_or_after(placed, keys, cuts[start]))
     if stop in cuts:
-        df = df.where(before(df, keys, cuts[stop]))
-    return df
+        placed = placed.where(before(placed, keys, cuts[stop]))
+    return placed.select(*map(named, df.columns))
+
+
+def _positions(
+    df: DataFrame, keys: list[str], stored: bool
+) -> tuple[int, Callable[[Sequence[int]], dict[int, tuple]]]:
+    """The number of rows, and a function from positions to the keys at which ranges may be cut there."""
+    if stored:
+        files = stored_files(df, keys)
+        if files.whole:
+            return files.total, lambda positions: {at: files.key_at(at) for at in positions}
+    ranges = key_ranges(df, keys)
+    return ranges.total, ranges.cuts
 
 
 def _spread_edges(narrow: DataFrame, groups: list[str], keys: list[str], limit: Column) -> DataFrame:
@@ -484,7 +569,7 @@ def hash_split(
 
 
 def assign_batches(
-    df: DataFrame, order_by: Sequence[str], batch_size: int = 100, name: str = "batch_id"
+    df: DataFrame, order_by: Sequence[str] | None, batch_size: int = 100, name: str = "batch_id"
 ) -> DataFrame:
     """Number consecutive batches of ``batch_size`` rows; the last may be short."""
     if batch_size < 1:
@@ -495,12 +580,23 @@ def assign_batches(
 
 
 def attach_by_position(
-    df: DataFrame, order_by: Sequence[str], other: DataFrame, other_order_by: Sequence[str]
+    df: DataFrame, order_by: Sequence[str] | None, other: DataFrame, other_order_by: Sequence[str] | None
 ) -> DataFrame:
-    """Put two tables of equal length side by side, row by row. Their keys must identify a row."""
+    """Put two tables of equal length side by side, row by row. Their keys must identify a row.
+
+    Without keys (None) both are taken as they are stored, and meet in one join by position.
+    """
     shared = set(df.columns) & set(other.columns)
     if shared:
         raise ValueError(f"both tables have {sorted(shared)}")
+    if order_by is None and other_order_by is None:
+        at = fresh(other, fresh(df, "_at"))
+        (one, rows), (two, others) = _stored_index(df, at), _stored_index(other, at)
+        if rows != others:
+            raise ValueError(f"the tables have {rows} and {others} rows")
+        return one.join(two, at).drop(at)
+    if order_by is None or other_order_by is None:
+        raise ValueError("name the columns to order by for both tables, or for neither")
     need_columns(df, *order_by)
     need_columns(other, *other_order_by)
     left = row_order(df.select(*map(named, order_by)), order_by)

@@ -297,6 +297,39 @@ def head_rows_large(spark, folder):
     return op.head_rows(lines, 16722, LINE_KEY, strict=False)
 
 
+# DuckDB numbers rows in the order of the file where no order is named.
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER () - 1 AS row_index FROM orders")
+def row_index_stored(spark, folder):
+    orders = inputs.table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    return op.with_row_index(orders, None)
+
+
+@query("""SELECT * EXCLUDE (pos) FROM (SELECT *, row_number() OVER () - 1 AS pos FROM lineitem)
+          WHERE pos >= 16722 AND pos < 116722""")
+def slice_rows_stored(spark, folder):
+    return op.slice_rows(inputs.table(spark, folder, "lineitem"), 16722, 116722, None, strict=False)
+
+
+@query("""SELECT * EXCLUDE (pos) FROM (
+            SELECT *, row_number() OVER () - 1 AS pos FROM lineitem WHERE l_returnflag <> 'N')
+          WHERE pos >= 500 AND pos < 9000""")
+def slice_filtered_stored(spark, folder):
+    lines = inputs.table(spark, folder, "lineitem").where("l_returnflag <> 'N'")
+    return op.slice_rows(lines, 500, 9000, None, strict=False)
+
+
+@query("""SELECT a.* EXCLUDE (pos), b.* EXCLUDE (pos)
+          FROM (SELECT l_orderkey, l_linenumber, row_number() OVER () AS pos FROM lineitem) a
+          JOIN (SELECT l_quantity, l_shipdate, row_number() OVER () AS pos FROM lineitem) b USING (pos)""")
+def attach_stored(spark, folder):
+    lines = inputs.table(spark, folder, "lineitem")
+    return op.attach_by_position(
+        lines.select("l_orderkey", "l_linenumber"), None, lines.select("l_quantity", "l_shipdate"), None
+    )
+
+
 @query(f"SELECT * EXCLUDE (pos) FROM ({LINE_SQL}) WHERE pos >= 16722 AND pos < 116722")
 def slice_rows(spark, folder):
     lines = inputs.table(spark, folder, "lineitem")
