@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.checks import named, need_choice, need_columns, reject_nulls
+from pairloom.functions.chat_templates import CompiledTemplate
 from pairloom.functions.messages import ChatTemplate, render_messages, to_messages
 from pairloom.functions.text import TLDR_SUFFIX
 
@@ -65,7 +66,7 @@ def append_suffix(
 def apply_chat_template(
     df: DataFrame,
     columns: list[str],
-    template: ChatTemplate,
+    template: ChatTemplate | CompiledTemplate,
     fmt: str = "plain",
     add_generation_prompt: bool = False,
     new_columns: list[str] | None = None,
@@ -76,13 +77,18 @@ def apply_chat_template(
 
     ``plain`` columns hold text, which becomes the user message (after ``system_prompt`` if
     given). ``conversational`` columns hold message lists, taken as they are; ``system_prompt``
-    has no effect on them.
+    has no effect on them. ``template`` is one fixed shape of turn, or a model's own template, compiled
+    (`pairloom.functions.compile_template`): that may use any text field of the messages.
     """
     need_choice(fmt, MESSAGE_FORMATS, "fmt")
     for name, target in zip(columns, new_columns or columns):
         need_columns(df, name)
         messages = to_messages(name, system_prompt) if fmt == "plain" else named(name)
-        written = render_messages(messages, template, add_generation_prompt)
+        if isinstance(template, CompiledTemplate):
+            fields = ["role", "content"] if fmt == "plain" else df.schema[name].dataType.elementType.names
+            written = template.render(messages, add_generation_prompt, fields)
+        else:
+            written = render_messages(messages, template, add_generation_prompt)
         if on_null == "error":
             written = F.coalesce(
                 written, F.raise_error(F.lit(f"null message in {name}")).cast("string")

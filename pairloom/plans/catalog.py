@@ -973,17 +973,68 @@ def sft_feed(spark, folder):
     return fed.select("doc_id", "split", _id_text("ids"))
 
 
-@query("""SELECT conv_id, '<s>' || string_agg('<|' || role || '|>' || chr(10) || text || '</s>' || chr(10), ''
-                                               ORDER BY turn) AS chat
-          FROM conversations GROUP BY conv_id""")
-def dialogue_chats(spark, folder):
+def _dialogues(spark: SparkSession, folder: str) -> DataFrame:
+    """Each conversation as one message list: ``conv_id, chat``."""
     turns = inputs.table(spark, folder, "conversations").groupBy("conv_id").agg(
         F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("turns")
     )
-    chats = turns.select("conv_id", F.transform(
+    return turns.select("conv_id", F.transform(
         "turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
     ).alias("chat"))
-    return op.apply_chat_template(chats, ["chat"], CHAT, "conversational")
+
+
+@query("""SELECT conv_id, '<s>' || string_agg('<|' || role || '|>' || chr(10) || text || '</s>' || chr(10), ''
+                                               ORDER BY turn) AS chat
+          FROM conversations GROUP BY conv_id""")
+def dialogue_chats(spark, folder):
+    return op.apply_chat_template(_dialogues(spark, folder), ["chat"], CHAT, "conversational")
+
+
+# A template in the notation that models ship: a system turn is set apart or made up, questions and answers
+# are written differently, the last turn has a rule of its own.
+MODEL_TEMPLATE = """{{ bos_token }}
+{%- if messages[0]['role'] == 'system' %}
+    {%- set system = messages[0]['content'] | trim %}
+    {%- set turns = messages[1:] %}
+{%- else %}
+    {%- set system = false %}
+    {%- set turns = messages %}
+{%- endif %}
+{%- if tools is defined and tools %}{{ tools | tojson }}{% endif %}
+{{- '[' ~ (system if system else 'none given') ~ ']\n' }}
+{%- for message in turns %}
+    {%- if message.role == 'user' %}
+        {{- loop.index ~ '? ' + message['content'].strip() + '\n' }}
+    {%- elif message['role'] in ('assistant', 'tool') %}
+        {{- '! ' ~ message.content }}{% if not loop.last %}{{ eos_token }}{% endif %}
+    {%- endif %}
+{%- endfor %}
+{%- if add_generation_prompt and (messages | last).role != 'assistant' %}{{ '! ' }}{% endif %}"""
+
+
+@query(r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text, first_value(role) OVER w = 'system' AS opened,
+         row_number() OVER w - CASE WHEN first_value(role) OVER w = 'system' THEN 1 ELSE 0 END AS place,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 AS final
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+written AS (
+  SELECT *, CASE WHEN place = 0 THEN ''
+      WHEN role = 'user' THEN place || '? ' || regexp_replace(text, '^\s+|\s+$', '', 'g') || chr(10)
+      WHEN role = 'assistant' THEN '! ' || text || CASE WHEN final THEN '' ELSE '</s>' END
+      ELSE '' END AS line
+  FROM turns)
+SELECT conv_id, '<s>[' || coalesce(max(nullif(regexp_replace(text, '^\s+|\s+$', '', 'g'), ''))
+                                     FILTER (WHERE place = 0), 'none given') || ']' || chr(10)
+       || string_agg(line, '' ORDER BY turn)
+       || CASE WHEN max(role) FILTER (WHERE final) <> 'assistant' THEN '! ' ELSE '' END AS chat
+FROM written GROUP BY conv_id
+""")
+def model_template_chats(spark, folder):
+    template = fn.compile_template(MODEL_TEMPLATE, bos_token="<s>", eos_token="</s>")
+    return op.apply_chat_template(
+        _dialogues(spark, folder), ["chat"], template, "conversational", add_generation_prompt=True
+    )
 
 
 @query(_curve_sql(f"""SELECT CAST(CAST(kl AS DOUBLE) AS VARCHAR) AS method, avg(winrate) AS v
