@@ -1,5 +1,6 @@
 """Operators: functions from DataFrame to DataFrame."""
 
+from pairloom.operators.answers import AnswerStore
 from pairloom.operators.columns import (
     append_suffix,
     apply_chat_template,
@@ -60,6 +61,7 @@ from pairloom.operators.tokens import (
 )
 
 __all__ = [
+    "AnswerStore",
     "PairwiseReward", "PreferenceBuild", "append_suffix", "apply_chat_template", "assign_batches",
     "attach_by_position", "build_preference", "build_reward_pairs", "build_vocab",
     "bundle_splits", "candidate_pairs", "cat_columns", "choose_best", "comparison_table",

@@ -5,12 +5,14 @@ the task (so the model is loaded there) and returns a function from a list of pr
 answers. Only the prompt column crosses into Python; the other columns stay in the JVM.
 
 The column is marked non-deterministic: Spark then neither moves nor repeats the call within a
-plan. Two plans still mean two calls; :func:`pairloom.storage.materialize` the result between.
+plan. Two plans still mean two calls; :func:`pairloom.storage.materialize` the result between, or pass an
+:class:`~pairloom.operators.answers.AnswerStore`: with it no prompt is asked twice, in this run or a later one.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pairloom.checks import fresh, named, need_columns, reject_nulls
 from pairloom.functions.text import parse_verdict, render_template
+from pairloom.operators.answers import AnswerStore, answer_once
 
 TextFn = Callable[[list], list]
 MakeFn = Callable[[], TextFn]
@@ -72,12 +75,14 @@ def map_generate_many(
     system: str | None = None,
     on_null: str = "error",
     partitions: int | None = None,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """Add one column of answers per model, in a single pass over the prompts.
 
     ``make_fns`` has a loader per column, or is the columns' names and one loader that returns a function
     for each: several settings of a model that is loaded once. A Python worker loads once, however
-    many tasks it runs. ``partitions`` spreads the prompts over so many tasks by their hash.
+    many tasks it runs. ``partitions`` spreads the prompts over so many tasks by their hash. With a ``store``
+    only prompts are asked that it has no answer to, at once, not when the result is read.
     """
     text = named(prompt) if isinstance(prompt, str) else prompt
     if isinstance(make_fns, dict):
@@ -86,14 +91,23 @@ def map_generate_many(
     else:
         names, make_all = list(make_fns[0]), make_fns[1]
         load = lambda: dict(zip(names, make_all(), strict=True))
-    generate = _generator(df.sparkSession, names, load, batch_size, chat, system)
-    if partitions is not None:
-        df = df.repartition(partitions, F.xxhash64(text))
-    held = fresh(df, "_answers")
-    answered = df.withColumn(held, generate(reject_nulls(text, [text], on_null, "prompt")))
-    return answered.select(
-        *(named(name) for name in df.columns if name not in names),
-        *(F.col(held).getField(name).alias(name) for name in names),
+
+    def ask(rows: DataFrame, column: Column, own: Sequence[str]) -> DataFrame:
+        generate = _generator(df.sparkSession, list(own), load, batch_size, chat, system)
+        if partitions is not None:
+            rows = rows.repartition(partitions, F.xxhash64(column))
+        held = fresh(rows, "_answers")
+        answered = rows.withColumn(held, generate(column))
+        return answered.select(
+            *(named(name) for name in rows.columns if name not in own),
+            *(F.col(held).getField(name).alias(name) for name in own),
+        )
+
+    checked = reject_nulls(text, [text], on_null, "prompt")
+    if store is None:
+        return ask(df, checked, names)
+    return answer_once(
+        df, checked, names, lambda rows, own: ask(rows, F.col("prompt"), own), store, chat, system
     )
 
 
@@ -107,6 +121,7 @@ def map_generate(
     system: str | None = None,
     on_null: str = "error",
     partitions: int | None = None,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """Add a column of answers to the prompts.
 
@@ -115,7 +130,7 @@ def map_generate(
     goes from text to text, and by convention its answer starts with the prompt.
     """
     return map_generate_many(
-        df, prompt, {out: make_fn}, batch_size, chat, system, on_null, partitions
+        df, prompt, {out: make_fn}, batch_size, chat, system, on_null, partitions, store
     )
 
 
@@ -130,6 +145,7 @@ def candidate_pairs(
     system: str | None = None,
     make_both: Callable[[], Sequence[TextFn]] | None = None,
     partitions: int | None = None,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """Two answers to every text, under two settings of a model, in one pass.
 
@@ -140,7 +156,9 @@ def candidate_pairs(
     if (make_both is None) == (make_a is None or make_b is None):
         raise ValueError("give make_both, or make_a and make_b")
     loaders = (out, make_both) if make_both is not None else {out[0]: make_a, out[1]: make_b}
-    return map_generate_many(df, text, loaders, batch_size, chat, system, partitions=partitions)
+    return map_generate_many(
+        df, text, loaders, batch_size, chat, system, partitions=partitions, store=store
+    )
 
 
 def map_judge(
@@ -155,18 +173,21 @@ def map_judge(
     chat: bool = False,
     system: str | None = None,
     partitions: int | None = None,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """Ask a model which response is better: 0, 1, or -1 if its answer names neither.
 
     With ``chat`` the question is a user message. Without it the answer may start with the question,
-    which is cut off first: its own last character is no verdict.
+    which is cut off first: its own last character is no verdict. A ``store`` has the settings under ``out``.
     """
     need_columns(df, text, response0, response1)
     question = render_template(template, text=text, response0=response0, response1=response1)
     asked, verdict = fresh(df, "_question"), fresh(df, "_verdict")
+    if store is not None and out in store.settings:
+        store = replace(store, settings={verdict: store.settings[out]})
     answered = map_generate(
         df.withColumn(asked, question), asked, verdict, make_fn, batch_size, chat, system,
-        partitions=partitions,
+        partitions=partitions, store=store,
     )
     echoed = ~F.lit(chat) & F.startswith(verdict, asked)
     answer = F.when(echoed, F.substr(verdict, F.length(asked) + 1)).otherwise(F.col(verdict))
@@ -178,6 +199,7 @@ def comparison_table(
     prompt: str,
     answers: dict[str, MakeFn | Column],
     batch_size: int = 32,
+    store: AnswerStore | None = None,
 ) -> DataFrame:
     """The prompt beside one column per contender: a model, or a column already at hand."""
     need_columns(df, prompt)
@@ -185,5 +207,5 @@ def comparison_table(
     models = {name: answer for name, answer in answers.items() if name not in ready}
     table = df.select(F.col(prompt), *(answer.alias(name) for name, answer in ready.items()))
     if models:
-        table = map_generate_many(table, prompt, models, batch_size)
+        table = map_generate_many(table, prompt, models, batch_size, store=store)
     return table.select(F.col(prompt), *map(named, answers))

@@ -18,6 +18,7 @@ from pairloom import sources
 from pairloom.functions.messages import message
 from pairloom.plans import inputs, recipes, stand_ins
 from pairloom.storage import new_path
+from pairloom.streaming import run_in_batches, write_batches
 
 
 @dataclass(frozen=True)
@@ -810,6 +811,29 @@ def map_generate(spark, folder):
     return op.map_generate(turns, "text", "answer", model).drop("text")
 
 
+@query("SELECT conv_id, turn, md5('s:' || text) AS answer FROM conversations")
+def stored_answers(spark, folder):
+    turns = inputs.table(spark, folder, "conversations").drop("role")
+    store = op.AnswerStore(new_path(spark, "answers"), {"answer": {"model": "digest"}}, parts=4)
+    model = stand_ins.digest_model("s:")
+    op.map_generate(turns.where("turn = 0"), "text", "answer", model, store=store)  # an earlier run
+    return op.map_generate(turns, "text", "answer", model, store=store).drop("text")
+
+
+@query("""SELECT conv_id, turn, md5('p:' || text) AS answer,
+                 (row_number() OVER (ORDER BY conv_id, turn) - 1) // 1000 AS batch_id FROM conversations""")
+def paced_answers(spark, folder):
+    turns = inputs.table(spark, folder, "conversations").drop("role")
+    batches, out = new_path(spark, "batches"), new_path(spark, "paced")
+    schema = write_batches(turns, batches, ["conv_id", "turn"], 1000)
+    model = stand_ins.digest_model("p:")
+    run_in_batches(
+        spark, batches, schema, lambda rows: op.map_generate(rows, "text", "answer", model).drop("text"),
+        out, new_path(spark, "paced-checkpoint"),
+    ).awaitTermination()
+    return spark.read.parquet(out)
+
+
 @query("SELECT conv_id, turn, md5('c:' || text) AS answer FROM conversations")
 def map_generate_chat(spark, folder):
     turns = inputs.table(spark, folder, "conversations").drop("role")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,13 +62,15 @@ def fits_broadcast(df: DataFrame) -> bool:
     return int(str(size)) <= most
 
 
-def materialize(df: DataFrame, label: str = "table") -> DataFrame:
+def materialize(df: DataFrame, label: str = "table", by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once and read it back: lineage is cut, columns stay prunable.
 
+    ``by`` names columns to file the rows by: a filter on them then opens no other files.
+
     Use it before a result that must not be computed twice (a model's answers) feeds two plans,
     and for a join side that may be small: Spark knows the size of what was written and broadcasts
     it below ``spark.sql.autoBroadcastJoinThreshold`` only.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.hint("rebalance", *by).write.partitionBy(*by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
