@@ -1,11 +1,12 @@
 """Sources and sinks."""
 
 from pairloom.sources.datasets import (
-    list_configs, list_splits, publish, published_configs, published_splits, read_dataset,
+    contents,
+    list_configs, list_splits, prune, publish, published_configs, published_splits, read_dataset,
 )
 from pairloom.sources.sweep_files import clean_name, read_sweep
 
 __all__ = [
-    "clean_name", "list_configs", "list_splits", "publish", "published_configs", "published_splits",
+    "clean_name", "contents", "list_configs", "list_splits", "prune", "publish", "published_configs", "published_splits",
     "read_dataset", "read_sweep",
 ]
