@@ -10,7 +10,7 @@ from pairloom.operators.columns import (
     rename_columns,
     select_as,
 )
-from pairloom.operators.feeds import PairwiseReward, fit_pairwise_reward, training_view
+from pairloom.operators.feeds import training_view
 from pairloom.operators.filters import drop_values, keep_equal, keep_values, single_vs_rest
 from pairloom.operators.generation import (
     candidate_pairs,
@@ -31,6 +31,7 @@ from pairloom.operators.preference import (
     to_preference,
     unflip_rank,
 )
+from pairloom.operators.reward import PairwiseReward, fit_pairwise_reward, word_differences
 from pairloom.operators.rows import (
     assign_batches,
     attach_by_position,
@@ -71,6 +72,6 @@ __all__ = [
     "keep_values", "legend_names", "limit_length", "map_generate", "map_generate_many",
     "map_judge", "mean_by", "order_methods", "rename_columns", "rule_judge", "select_as",
     "single_vs_rest", "slice_rows", "sweep_curves", "to_preference", "tokenize_with",
-    "training_view", "trim_curve", "unflip_rank", "value_range", "win_rate", "with_band",
+    "training_view", "trim_curve", "unflip_rank", "value_range", "win_rate", "with_band", "word_differences",
     "keep_key", "rank_methods", "with_key", "with_row_index", "with_special_ids",
 ]

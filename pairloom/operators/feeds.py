@@ -1,22 +1,15 @@
-"""What a trainer is given, and a reward model that a cluster without GPUs can fit."""
+"""What a trainer is given."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pairloom.checks import named, need_columns
 from pairloom.operators.rows import before, in_stored_order, key_ranges
-from pairloom.operators.tokens import words
 
 
 def training_view(
@@ -50,64 +43,3 @@ def training_view(
         kept.append(mine)
     df = df.where(reduce(or_, kept)) if kept else df.limit(0)
     return df.select(*map(named, columns))
-
-
-@dataclass(frozen=True)
-class PairwiseReward:
-    """A fitted reward model: a score for every text, higher for the ones preferred."""
-
-    features: PipelineModel
-    model: LogisticRegressionModel
-
-    def score(self, df: DataFrame, text: str, out: str = "score") -> DataFrame:
-        """Add the score of a text column."""
-        need_columns(df, text)
-        # The margin of the text against an empty one.
-        seen = self.features.transform(
-            df.withColumns({"_first": words(text), "_second": F.array().cast("array<string>")})
-        )
-        scored = self.model.transform(seen)
-        return scored.select(
-            *map(named, df.columns), vector_to_array(self.model.getRawPredictionCol())[1].alias(out)
-        )
-
-    def pair_accuracy(
-        self, df: DataFrame, chosen: str = "chosen", rejected: str = "rejected"
-    ) -> DataFrame:
-        """One row: pairs, and the share in which the chosen text scores higher."""
-        both = self.score(self.score(df, chosen, "_up"), rejected, "_down")
-        return both.agg(
-            F.count("*").alias("pairs"),
-            F.avg((F.col("_up") > F.col("_down")).cast("double")).alias("accuracy"),
-        )
-
-
-def fit_pairwise_reward(
-    df: DataFrame,
-    chosen: str = "chosen",
-    rejected: str = "rejected",
-    features: int = 1 << 16,
-    reg: float = 0.01,
-    max_iter: int = 50,
-) -> PairwiseReward:
-    """Fit a score so that chosen texts beat rejected ones (Bradley-Terry on hashed word counts).
-
-    Every pair is shown in both orders. That makes the weights of the two sides mirror images, so
-    the margin of a pair is the difference of two scores. Only gradients of fixed length leave the
-    tasks.
-    """
-    need_columns(df, chosen, rejected)
-    up, down = words(chosen), words(rejected)
-    pairs = df.select(
-        F.inline(F.array(
-            F.struct(up.alias("_first"), down.alias("_second"), F.lit(1.0).alias("label")),
-            F.struct(down.alias("_first"), up.alias("_second"), F.lit(0.0).alias("label")),
-        ))
-    )
-    stages = PipelineModel([
-        HashingTF(inputCol="_first", outputCol="_tf_first", numFeatures=features),
-        HashingTF(inputCol="_second", outputCol="_tf_second", numFeatures=features),
-        VectorAssembler(inputCols=["_tf_first", "_tf_second"], outputCol="features"),
-    ])
-    fit = LogisticRegression(fitIntercept=False, regParam=reg, maxIter=max_iter)
-    return PairwiseReward(stages, fit.fit(stages.transform(pairs).select("features", "label")))

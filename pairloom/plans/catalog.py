@@ -925,6 +925,27 @@ def fit_pairwise_reward(spark, folder):
     return fitted.pair_accuracy(op.keep_equal(split, "split", "validation"))
 
 
+@query(f"""
+WITH terms AS (
+  SELECT pair, unnest(regexp_extract_all(coalesce(chosen, ''), '[^ \t\r\n]+')) AS word, 1 AS sign
+  FROM ({inputs.QUALITY_PAIRS_SQL})
+  UNION ALL
+  SELECT pair, unnest(regexp_extract_all(coalesce(rejected, ''), '[^ \t\r\n]+')), -1
+  FROM ({inputs.QUALITY_PAIRS_SQL}))
+SELECT pair, word, CAST(sum(sign) AS BIGINT) AS difference FROM terms GROUP BY pair, word HAVING sum(sign) <> 0
+""")
+def word_differences(spark, folder):
+    return op.word_differences(inputs.quality_pairs(spark, folder), "pair")
+
+
+@query(None)
+def reward_on_quality(spark, folder):
+    """Fitted on pairs of labelled texts; the loss on pairs that the fit has not seen."""
+    split = op.hash_split(inputs.quality_pairs(spark, folder), "pair", 0.2)
+    fitted = op.fit_pairwise_reward(op.keep_equal(split, "split", "train"), reg=0.1)
+    return fitted.evaluate(op.keep_equal(split, "split", "validation"))
+
+
 # ---------------------------------------------------------------- derived keys, moments, listings
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.functions.hashing import key_hash
+from pairloom.operators.rows import with_row_index
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -144,3 +145,26 @@ SELECT event_id, event_type AS method, user_id % 50 AS kl,
        CAST(hour(ts) AS INTEGER) AS update_every, value AS winrate
 FROM events
 """
+
+
+def quality_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """A text of good quality beside one of bad, in order of id: ``pair, chosen, rejected``."""
+    rated = table(spark, folder, "documents").select("doc_id", "text").join(
+        table(spark, folder, "labels").select("doc_id", "quality"), "doc_id"
+    )
+    good, bad = (
+        with_row_index(rated.where(F.col("quality") == quality).drop("quality"), ["doc_id"], "pair")
+        for quality in (1, 0)
+    )
+    return good.select("pair", F.col("text").alias("chosen")).join(
+        bad.select("pair", F.col("text").alias("rejected")), "pair"
+    )
+
+
+QUALITY_PAIRS_SQL = """
+SELECT good.pos - 1 AS pair, good.text AS chosen, bad.text AS rejected
+FROM (SELECT text, row_number() OVER (ORDER BY doc_id) AS pos
+      FROM documents JOIN labels USING (doc_id) WHERE quality = 1) good
+JOIN (SELECT text, row_number() OVER (ORDER BY doc_id) AS pos
+      FROM documents JOIN labels USING (doc_id) WHERE quality = 0) bad USING (pos)
+"""

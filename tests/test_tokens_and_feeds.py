@@ -153,33 +153,6 @@ def test_feeds_cap_rows_and_lengths(spark):
         recipes.multilingual_reward_feed(rows, ["id"])
 
 
-def planted(spark, n):
-    """Chosen texts hold more good words than bad ones, amid noise."""
-    noise = F.concat_ws(" ", *(
-        F.concat(F.lit("w"), F.pmod(F.hash("id", F.lit(i)), F.lit(40)).cast("string")) for i in range(6)
-    ))
-    return spark.range(n).select(
-        "id", F.concat(noise, F.lit(" good fine")).alias("chosen"),
-        F.concat(F.reverse(noise), F.lit(" bad")).alias("rejected"),
-    )
-
-
-def test_reward_model_finds_a_planted_signal_on_unseen_pairs(spark):
-    split = op.hash_split(planted(spark, 400), "id", 0.25)
-    fitted = op.fit_pairwise_reward(split.where("split = 'train'"), features=1 << 10)
-    held_out = split.where("split = 'validation'")
-    result = fitted.pair_accuracy(held_out).first()
-    assert result.pairs == held_out.count() > 50 and result.accuracy > 0.9
-    scored = fitted.score(held_out, "chosen")
-    assert scored.columns == [*held_out.columns, "score"]
-
-
-def test_reward_weights_of_the_two_sides_are_mirror_images(spark):
-    fitted = op.fit_pairwise_reward(planted(spark, 100), features=64)
-    weights = fitted.model.coefficients.toArray()
-    assert weights[:64] == pytest.approx(-weights[64:], abs=1e-6)
-
-
 @pytest.mark.parametrize("options", [
     {}, {"max_words": 5}, {"max_words": 40, "on_long": "drop"}, {"on_null": "propagate"},
 ])
