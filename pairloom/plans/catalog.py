@@ -143,6 +143,24 @@ def read_sweep(spark, folder):
     return sources.read_sweep(spark, path, schema).select("run_id", "self_preference", _six("global_winrate"))
 
 
+@query("""SELECT event_id, event_type AS method,
+                 CASE WHEN event_type IN ('click', 'view') THEN CAST(user_id % 50 AS INTEGER) END AS local_kl,
+                 CASE WHEN event_type NOT IN ('click', 'view') THEN user_id % 7 = 0 END AS early_stop,
+                 round(value, 6) AS winrate FROM events""")
+def read_sweeps(spark, folder):
+    """Exports of two shapes in one folder: the names of their columns differ, and so does the order."""
+    runs = inputs.table(spark, folder, "events").select(
+        "event_id", F.col("event_type").alias("method"), (F.col("user_id") % 50).alias("local.kl"),
+        (F.col("user_id") % 7 == 0).alias("early-stop"), F.col("value").alias("winrate"),
+    )
+    path = new_path(spark, "exports")
+    local = F.col("method").isin("click", "view")
+    runs.where(local).drop("early-stop").write.csv(path, header=True, mode="append")
+    runs.where(~local).select("winrate", "early-stop", "method", "event_id").write.csv(path, header=True, mode="append")
+    found = sources.read_sweeps(spark, path, label=None)
+    return found.select(F.col("event_id").cast("bigint"), "method", "local_kl", "early_stop", _six("winrate"))
+
+
 # ---------------------------------------------------------------- projections
 
 
