@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairloom.checks import fresh, named, need_choice, need_columns, reject_nulls
 from pairloom.operators.rows import row_order
-from pairloom.storage import fits_broadcast, materialize
+from pairloom.storage import materialize
 
 # Fixed ids, ahead of the vocabulary.
 UNKNOWN_ID, BOS_ID, EOS_ID = 0, 1, 2
@@ -20,6 +20,12 @@ FIRST_ID = 3
 
 LENGTH_MODES = ("truncate", "drop")
 
+#: Most words of a vocabulary that travels to the tasks, some 10 MB; a larger one is joined.
+SHIPPED = 200_000
+
+#: Most words that are ranked in one task, after every other task has sent as many; more are spread.
+RANKED = 100_000
+
 
 def words(column: Column | str) -> Column:
     """The words of a text, cut at blanks, tabs and line ends."""
@@ -30,8 +36,8 @@ def words(column: Column | str) -> Column:
 def build_vocab(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     """The ``size`` most frequent words of the columns with their ids: ``token, n, id``.
 
-    Frequent words are counted before the shuffle; ties are broken by the word. The ranking is
-    spread over range partitions: there may be far more words than one task can sort.
+    Frequent words are counted before the shuffle; ties are broken by the word. Up to `RANKED` words each
+    task picks its own top ones, which meet in one; the ranking of more is spread over range partitions.
     """
     if size < 1:
         raise ValueError("size must be positive")
@@ -40,6 +46,10 @@ def build_vocab(df: DataFrame, columns: list[str], size: int) -> DataFrame:
     every = F.concat(*(F.coalesce(words(column), none) for column in columns))
     found = df.select(F.explode(every).alias("token"))
     counts = found.groupBy("token").agg(F.count("*").alias("n"))
+    if size <= RANKED:
+        top = materialize(counts.orderBy(F.desc("n"), "token").limit(size), "top-words")
+        rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
+        return top.select("token", "n", (rank - 1 + FIRST_ID).cast("int").alias("id"))
     order = row_order(counts.withColumn("_rarity", -F.col("n")), ["_rarity", "token"])
     return order.numbered("_rank", size).select(
         "token", "n", (F.col("_rank") + FIRST_ID).cast("int").alias("id")
@@ -47,7 +57,7 @@ def build_vocab(df: DataFrame, columns: list[str], size: int) -> DataFrame:
 
 
 def _vocab_lookup(vocab: DataFrame) -> Callable[[Column], Column]:
-    """Ids of word lists by a vocabulary small enough to be broadcast."""
+    """Ids of word lists by a vocabulary of at most `SHIPPED` words."""
     rows = vocab.select("token", "id").collect()
     # A worker keeps the broadcast value from task to task, and with it the index built here.
     held = vocab.sparkSession.sparkContext.broadcast(
@@ -140,7 +150,7 @@ def encode_tokens(
 ) -> DataFrame:
     """Add ids and attention mask for each text column; unknown words get the unknown id.
 
-    A vocabulary below Spark's broadcast threshold is looked up where the row is: whole Arrow batches, no
+    A vocabulary of up to `SHIPPED` words is looked up where the row is: whole Arrow batches, no
     shuffle of words and none of rows. A larger one is joined on the word, with the same result. Filter
     the rows first: Spark moves no filter below the lookup.
 
@@ -159,7 +169,7 @@ def encode_tokens(
     elif max_words is not None:
         lists = {ids: F.slice(found, 1, max_words) for ids, found in lists.items()}
     vocab = materialize(vocab.select("token", "id"), "vocabulary")
-    if fits_broadcast(vocab):
+    if vocab.count() <= SHIPPED:
         lookup = _vocab_lookup(vocab)
         df = df.withColumns({ids: lookup(found) for ids, found in lists.items()})
     else:

@@ -122,6 +122,22 @@ def publish_roundtrip(spark, folder):
     return sources.read_dataset(spark, root, schema=rows.schema)
 
 
+@query(f"""SELECT 1 AS version, config, count(*) AS n FROM ({inputs.ARTICLES_SQL}) GROUP BY config
+           UNION ALL SELECT 2, config, count(*) FROM ({inputs.ARTICLES_SQL})
+           WHERE config <> 'en' OR split = 'train' GROUP BY config""")
+def dataset_versions(spark, folder):
+    """A dataset made anew from itself, and what it was before."""
+    root = new_path(spark, "published")
+    sources.publish(inputs.articles(spark, folder).select("doc_id", "config", "split"), root)
+    sources.publish(sources.read_dataset(spark, root).where("config <> 'en' OR split = 'train'"), root)
+    counts = [
+        sources.read_dataset(spark, root, version=version).groupBy("config").agg(F.count("*").alias("n"))
+        .select(F.lit(version).alias("version"), "config", "n")
+        for version in (1, 2)
+    ]
+    return counts[0].unionByName(counts[1])
+
+
 @query(f"SELECT doc_id, text FROM ({inputs.ARTICLES_SQL}) WHERE config = 'fr' AND split = 'train'")
 def read_part(spark, folder):
     rows = inputs.articles(spark, folder).select("doc_id", "text", "config", "split")

@@ -54,14 +54,6 @@ def work(spark: SparkSession) -> Iterator[None]:
         _written[:] = kept
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Whether Spark itself would broadcast this table: its size is known and below the threshold."""
-    spark = df.sparkSession
-    most = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= most
-
-
 def materialize(df: DataFrame, label: str = "table", by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once and read it back: lineage is cut, columns stay prunable.
 

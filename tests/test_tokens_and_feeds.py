@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairloom import operators as op
+from pairloom.operators import tokens
 from pairloom.operators.tokens import BOS_ID, EOS_ID, FIRST_ID, UNKNOWN_ID
 from pairloom.plans import recipes
 
@@ -156,7 +157,7 @@ def test_feeds_cap_rows_and_lengths(spark):
 @pytest.mark.parametrize("options", [
     {}, {"max_words": 5}, {"max_words": 40, "on_long": "drop"}, {"on_null": "propagate"},
 ])
-def test_a_vocabulary_too_large_to_ship_is_joined_with_the_same_result(spark, options):
+def test_a_vocabulary_too_large_to_ship_is_joined_with_the_same_result(spark, options, monkeypatch):
     from pyspark.sql import functions as F
 
     docs = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(
@@ -172,8 +173,12 @@ def test_a_vocabulary_too_large_to_ship_is_joined_with_the_same_result(spark, op
         return sorted(map(tuple, rows.select("item_id", "a", "am", "b", "bm").collect()), key=repr)
 
     shipped = encoded()
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert encoded() == shipped and shipped
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(tokens, "SHIPPED", 20)
+    assert encoded() == shipped and shipped
+
+
+def test_a_vocabulary_ranked_in_one_task_or_in_many(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    one = sorted(map(tuple, op.build_vocab(docs, ["text"], 80).collect()))
+    monkeypatch.setattr(tokens, "RANKED", 10)
+    assert sorted(map(tuple, op.build_vocab(docs, ["text"], 80).collect())) == one and len(one) == 80
