@@ -21,21 +21,30 @@ _WORDLESS = re.compile(r"[\x20\x09-\x0d]*")
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-#: The statistics and the least standard deviation of each, in transformed units. Clean text is often
-#: constant in a statistic; without a floor its first deviation would be infinitely far.
+#: The statistics and the least standard deviation of each, in transformed units: about what one more symbol,
+#: repeated line or repeated window changes in a text of usual length. Clean text is often constant in a
+#: statistic; without a floor its first deviation would be infinitely far. A floor takes the place of a smaller
+#: variance and adds nothing to a larger one.
 FEATURES = {
     "word_length": 0.1,  # log of characters per word
     "symbol_rate": 0.5,  # log(1 + symbols per 100 words)
-    "line_repeats": 0.4,  # log(1 + repeated lines per 10 lines)
-    "word_repeats": 1.0,  # log(1 + words in repeated windows per 100 words)
+    "line_repeats": 0.5,  # log(1 + repeated lines per 10 lines)
+    "word_repeats": 0.85,  # log(1 + words in repeated windows per 100 words)
 }
 SIZE = len(FEATURES)
 _X = [f"x{i}" for i in range(SIZE)]
 _PAIRS = [(i, j) for i in range(SIZE) for j in range(i, SIZE)]
 _GROUP = ["g_lang", "g_source"]
 
-#: Median of the chi-square distribution with SIZE = 4 degrees of freedom.
+# Fixed values of the chi-square distribution with SIZE = 4 degrees of freedom: its median, the quantile that rows
+# must not pass to count in the reweighted estimate, by how much that understates the variances (0.975 over the
+# distribution with 6 degrees at that quantile), and the quantiles that a stated share of clean rows passes.
 CHI2_MEDIAN = 3.3567
+CHI2_INSIDE, CHI2_FACTOR = 11.1433, 1.0645
+CHI2_CUTOFFS = {0.01: 13.2767, 0.001: 18.4668, 0.0001: 23.5127}
+
+#: Share of the correlations that is kept, so that a covariance can always be inverted.
+CORRELATED = 0.99
 
 #: Bins of a distance per factor of two, and of a statistic per unit.
 DISTANCE_BINS, VALUE_BINS = 32, 512
@@ -110,7 +119,16 @@ def _statistics() -> list[Column]:
     ]
 
 
-_FLOOR = np.diag(np.square(list(FEATURES.values())))
+_FLOOR = np.square(list(FEATURES.values()))
+
+
+def _sound(cov: np.ndarray) -> np.ndarray:
+    """A covariance with no variance below its floor, and an inverse."""
+    out = CORRELATED * cov
+    np.fill_diagonal(out, np.maximum(np.diag(cov), _FLOOR))
+    return out
+
+
 _ESTIMATE = [*(f"m{i}" for i in range(SIZE)), *(f"p{i}{j}" for i, j in _PAIRS), "n_group"]
 _ESTIMATE_SCHEMA = ", ".join(
     [*(f"{name} string" for name in _GROUP), *(f"{name} double" for name in _ESTIMATE)]
@@ -137,23 +155,28 @@ def _start(group: tuple, table: pd.DataFrame) -> pd.DataFrame:
         center[i] = _weighted_median(values, counts)
         spread[i] = 1.4826 * _weighted_median(np.abs(values - center[i]), counts)
         count = counts.sum()
-    return _row(group, center, np.diag(spread**2) + _FLOOR, count)
+    return _row(group, center, _sound(np.diag(spread**2)), count)
+
+
+def _moments(inside: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance from sums per distance bin."""
+    count = inside["n"].sum()
+    center = inside[[f"s{i}" for i in range(SIZE)]].sum().to_numpy() / count
+    cov = np.zeros((SIZE, SIZE))
+    for i, j in _PAIRS:
+        cov[i, j] = cov[j, i] = inside[f"s{i}{j}"].sum() / count - center[i] * center[j]
+    return center, cov
 
 
 def _concentrate(share: float, last: bool):
-    """Mean and covariance of the rows at the smallest distances, from sums per distance bin."""
+    """Mean and covariance of the rows at the smallest distances."""
 
     def estimate(group: tuple, table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("bin")
         running, total = table["n"].cumsum().to_numpy(), table["n"].sum()
         wanted = min(total, max(np.ceil(share * total), (total + SIZE + 1) // 2))
-        inside = table.iloc[: int(np.searchsorted(running, wanted)) + 1]
-        count = inside["n"].sum()
-        center = inside[[f"s{i}" for i in range(SIZE)]].sum().to_numpy() / count
-        cov = np.zeros((SIZE, SIZE))
-        for i, j in _PAIRS:
-            cov[i, j] = cov[j, i] = inside[f"s{i}{j}"].sum() / count - center[i] * center[j]
-        cov += _FLOOR
+        center, cov = _moments(table.iloc[: int(np.searchsorted(running, wanted)) + 1])
+        cov = _sound(cov)
         if last:  # the half with the smallest distances understates the spread of all
             at = int(np.searchsorted(running, total / 2))
             median = 2.0 ** (table["bin"].iloc[at] / DISTANCE_BINS)
@@ -163,6 +186,16 @@ def _concentrate(share: float, last: bool):
     return estimate
 
 
+def _reweigh(group: tuple, table: pd.DataFrame) -> pd.DataFrame:
+    """Mean and covariance of all rows that the first estimate does not find odd."""
+    table = table.sort_values("bin")
+    inside = table[table["bin"] <= np.floor(np.log2(CHI2_INSIDE) * DISTANCE_BINS)]
+    if inside.empty:  # none is near: what is nearest stands for the group
+        inside = table.iloc[:1]
+    center, cov = _moments(inside)
+    return _row(group, center, _sound(CHI2_FACTOR * cov), table["n"].sum())
+
+
 def _squared_distance() -> Column:
     total = F.lit(0.0)
     for i, j in _PAIRS:
@@ -176,7 +209,7 @@ def fit_mcd(vectors: DataFrame, share: float = 0.5, steps: int = 4) -> DataFrame
 
     The start is the medians and median absolute deviations; each concentration step takes the ``share``
     of a group's rows at the smallest Mahalanobis distances and estimates anew from them, which never
-    raises the determinant. A step reads the vectors once: it sums them per group and distance bin, and
+    raises the determinant. Last, all rows that this does not find odd are weighed in. A step reads the vectors once: it sums them per group and distance bin, and
     a group's bins, whose number is bounded, give subset, mean and covariance. No group's rows meet in
     one task. Rows in the last bin, ties included, all belong to the subset.
     """
@@ -185,7 +218,7 @@ def fit_mcd(vectors: DataFrame, share: float = 0.5, steps: int = 4) -> DataFrame
     estimate = stacked.groupBy(*_GROUP, "i", F.round(F.col("x") * VALUE_BINS).alias("value")).agg(
         F.count("*").alias("n")
     ).groupBy(*_GROUP).applyInPandas(_start, _ESTIMATE_SCHEMA)
-    for step in range(steps):
+    for step in range(steps + 1):
         estimate = materialize(estimate, "mcd")
         squared = F.greatest(F.col("d2"), F.lit(2.0**-20))
         binned = vectors.join(estimate, _GROUP).withColumn("d2", _squared_distance()).groupBy(
@@ -195,25 +228,26 @@ def fit_mcd(vectors: DataFrame, share: float = 0.5, steps: int = 4) -> DataFrame
             *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in _PAIRS),
         )
         estimate = binned.groupBy(*_GROUP).applyInPandas(
-            _concentrate(share, step == steps - 1), _ESTIMATE_SCHEMA
+            _reweigh if step == steps else _concentrate(share, step == steps - 1), _ESTIMATE_SCHEMA
         )
     return materialize(estimate, "mcd")
 
 
 def quality_rules(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
-    source: str = "source", cutoff: float = 6.0, min_words: int = 50, repeat_percent: int = 50,
+    source: str = "source", rate: float = 0.001, min_words: int = 50, repeat_percent: int = 50,
 ) -> DataFrame:
     """One row per document: its counts, ``base_failed``, ``kept`` and the Mahalanobis ``distance``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``repeat_percent`` percent of them in
     repeated windows. The others of each language and source are fitted (`fit_mcd`); those
-    further than ``cutoff`` from their group's centre are not kept. The distance is null where the base
-    rules fail.
+    further from their group's centre than all but a share ``rate`` of normally distributed rows would be
+    (a key of `CHI2_CUTOFFS`) are not kept. The distance is null where the base rules fail.
 
     Null texts have no words and fail; a null language or source is a group of its own; a group of one
     row keeps it; repeated rows each count; an empty table gives no rows.
     """
+    cutoff = CHI2_CUTOFFS[rate] ** 0.5
     counts = materialize(count_texts(docs, key, text, lang, source), "counts")
     failed = (F.col("n_words") < min_words) | (
         100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")
