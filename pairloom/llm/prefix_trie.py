@@ -34,7 +34,7 @@ from pairloom.operators.rows import row_order
 from pairloom.storage import materialize
 
 #: Conversations in a shard of the lowest level; each level above has so many times more.
-MEMBERS = 1000
+MEMBERS = 100
 
 #: Turns of a conversation whose running sums one task forms.
 CHUNK = 1000
