@@ -6,7 +6,6 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -28,6 +27,8 @@ MISS = 1e-6
 #: Rows of a bucket that are compared in one task, beyond which blocks of it are compared two by two;
 #: members of one verification group.
 BUCKET, GROUP = 4096, 256
+#: Pairs whose signatures are compared at a time.
+PAIRS = 20_000
 
 _ROUND = 128  # shingles hashed at a time, so that they stay in the processor's cache
 
@@ -192,39 +193,93 @@ def verify(pairs: DataFrame, docs: DataFrame, shingle_words: int, percent: int)
     return rows.mapInArrow(compare, "a long, b long")
 
 
+def _unlike(rows: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int, miss: float) -> np.ndarray:
+    """Which of the pairs of rows are left after batch upon batch of hashes."""
+    alive, agree = np.arange(len(i)), np.zeros(len(i), np.int64)
+    for k, least in enumerate(least_agreements(rows.shape[1], percent / 100, miss)):
+        part = rows[:, k * BATCH : (k + 1) * BATCH]
+        agree[alive] += (part[i[alive]] == part[j[alive]]).sum(axis=1)
+        alive = alive[agree[alive] >= least]
+        if not len(alive):
+            break
+    return alive
+
+
+def _compare_groups(table: pa.Table, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the groups ``band, x, y`` of a table that is sorted by them, of all groups at once."""
+    place = [table.column(name).to_numpy() for name in ("band", "x", "y")]
+    change = np.logical_or.reduce([values[1:] != values[:-1] for values in place])
+    group = np.concatenate([[0], change.cumsum()])
+    keys, components, sizes, own, number = (
+        table.column(name).to_numpy() for name in ("key", "component", "n", "block", "number")
+    )
+    across = place[1] != place[2]
+    rows = np.frombuffer(b"".join(table.column("whole").to_pylist()), "<u2").reshape(len(keys), -1)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
+    found, waiting, count = [], [], 0
+
+    def flush() -> None:
+        i, j = (np.concatenate(side) for side in zip(*waiting))
+        alive = _unlike(rows, i, j, percent, miss)
+        i, j = i[alive], j[alive]
+        # a pair leaves from the first of the buckets that both members are in
+        first = (bands[i] == bands[j]).argmax(axis=1) == number[i]
+        found.append((keys[i[first]], keys[j[first]]))
+
+    for apart in range(1, len(keys)):
+        i = np.flatnonzero(group[apart:] == group[:-apart])
+        if not len(i):
+            break
+        j = i + apart
+        # sets of too different sizes cannot overlap enough
+        low, high = np.minimum(sizes[i], sizes[j]), np.maximum(sizes[i], sizes[j])
+        fit = (components[i] != components[j]) & (100 * low >= percent * high)
+        fit &= ~across[i] | (own[i] != own[j])
+        if fit.any():
+            waiting.append((i[fit], j[fit]))
+            count += int(fit.sum())
+        if count >= PAIRS:
+            flush()
+            waiting, count = [], 0
+    if waiting:
+        flush()
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    one, two = (np.concatenate(side) for side in zip(*found))
+    return np.minimum(one, two), np.maximum(one, two)
+
+
 def _across(blocks: DataFrame, percent: int, miss: float) -> DataFrame:
     """Pairs of different components in each bucket (``band, key, n, component, whole, bands``) not pruned.
 
     Two blocks ``x, y`` of a bucket are compared inside one task, a block with itself where they are the
-    same. Only survivors leave it, each from the first of the buckets that both members are in.
+    same; many small groups are compared together. Only survivors leave a task.
     """
+    build = arrow_batches({"a": pa.int64(), "b": pa.int64()})
 
-    def compare(table: pd.DataFrame) -> pd.DataFrame:
-        # a repeated id has a row for each of its sets
-        table = table.drop_duplicates(["key", "whole"]).sort_values("key")
-        keys, components = table["key"].to_numpy(), table["component"].to_numpy()
-        sizes, own = table["n"].to_numpy(), table["block"].to_numpy()
-        rows = np.frombuffer(b"".join(table["whole"]), "<u2").reshape(-1, WHOLE)
-        bands = np.stack(table["bands"].to_list())
-        number, across = table["number"].iloc[0], table["x"].iloc[0] != table["y"].iloc[0]
-        found = []
-        for i in range(len(keys) - 1):
-            # sets of too different sizes cannot overlap enough
-            low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-            other = (components[i + 1 :] != components[i]) & (100 * low >= percent * high)
-            if across:
-                other &= own[i + 1 :] != own[i]
-            other = np.flatnonzero(other) + i + 1
-            if not len(other):
+    def compare(batches):
+        held, count = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            count += batch.num_rows
+            if count < BUCKET:
                 continue
-            other = other[(bands[other] == bands[i]).argmax(axis=1) == number]
-            mask = survives(
-                np.broadcast_to(rows[i], (len(other), WHOLE)), rows[other], percent / 100, miss
-            )
-            found += [(keys[i], key) for key in keys[other[mask]]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return blocks.groupBy("band", "x", "y").applyInPandas(compare, "a long, b long")
+            table = pa.Table.from_batches(held)
+            places = [table.column(name).to_numpy() for name in ("band", "x", "y")]
+            last = np.logical_and.reduce([values == values[-1] for values in places])
+            whole = int(last.argmax())  # the rows of all groups but the one under way
+            if whole:
+                yield build(*_compare_groups(table.slice(0, whole), percent, miss))
+            held, count = table.slice(whole).to_batches(), table.num_rows - whole
+        if held:
+            yield build(*_compare_groups(pa.Table.from_batches(held), percent, miss))
+
+    place = ["band", "x", "y"]
+    return blocks.select(
+        *place, "number", "key", "component", "block", "n", "whole", "bands"
+    ).repartition(*place).sortWithinPartitions(*place).mapInArrow(compare, "a long, b long")
 
 
 def _in_blocks(buckets: DataFrame) -> DataFrame:
