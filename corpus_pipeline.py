@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairloom.checks import named
 from pairloom.llm import compression, near_dups, outliers, packing, passages
 from pairloom.llm.common import read_table
 from pairloom.llm.queries import quality_model
@@ -15,7 +16,7 @@ from pairloom.storage import materialize
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """``docs`` but for the ids in ``rejected (doc_id)``; rows with a null id stay."""
     return docs.join(materialize(rejected.select("doc_id"), "rejected"), "doc_id", "left_anti").select(
-        docs.columns
+        *map(named, docs.columns)
     )
 
 
@@ -35,10 +36,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = materialize(near_dups.near_duplicates(docs), "groups").where("doc_id IS NOT NULL")
     repeated = found.where("kept AND n_rows > 1").select("doc_id")
     once = _without(docs, found.where("NOT kept").select("doc_id").unionByName(repeated))
-    rest = [name for name in docs.columns if name != "doc_id"]
+    rest = [named(name) for name in docs.columns if name != "doc_id"]
     least = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(
         F.min(F.struct(*rest)).alias("row")
-    ).select("doc_id", "row.*").select(docs.columns)
+    ).select("doc_id", "row.*").select(*map(named, docs.columns))
     return once.unionByName(least)
 
 
