@@ -81,3 +81,16 @@ def test_an_empty_table(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_further_columns_of_any_name(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows, _, _ = corpus()
+    folder = str(tmp_path)
+    table = [(i, rows[i], "en", "web", len(rows[i])) for i in (5, 7, 200, 206, 10, 20)]
+    docs = spark.createDataFrame(table + table[:1], SCHEMA).withColumn("a.b", F.lit(1)).withColumn("spans", F.lit("s"))
+    once = corpus_pipeline.drop_near_duplicates(spark, docs, folder)
+    left = corpus_pipeline.cut_passages(spark, once, folder)
+    assert once.columns == left.columns == docs.columns
+    assert {(r["doc_id"], r["a.b"], r["spans"]) for r in left.collect()} == {(i, 1, "s") for i in (5, 7, 10, 20)}
