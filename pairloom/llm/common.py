@@ -6,12 +6,12 @@ a null text as an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.checks import named, need_columns
@@ -101,6 +101,55 @@ def rows_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
         yield from zip(*(batch.column(name).to_pylist() for name in names))
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: Sequence[str], least: int) -> Iterator[pa.Table]:
+    """Batches sorted by ``names`` as tables of about ``least`` rows; all rows of a group are in one table."""
+    held, count = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        count += batch.num_rows
+        if count < least:
+            continue
+        table = pa.Table.from_batches(held)
+        places = [table.column(name).to_numpy() for name in names]
+        last = np.logical_and.reduce([values == values[-1] for values in places])
+        whole = int(last.argmax())  # the rows of all groups but the one under way
+        if whole:
+            yield table.slice(0, whole)
+        held, count = table.slice(whole).to_batches(), table.num_rows - whole
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def in_blocks(buckets: DataFrame, limit: int) -> DataFrame:
+    """Each row of a bucket with its ``block``, once for each pair ``x, y`` of blocks that it takes part in.
+
+    ``size`` rows of a bucket, of which ``most`` are in its largest component, ``major``. A bucket of up to
+    ``limit`` rows is one block. The blocks of a larger one have a third of that on average, so that two of
+    them stay below it; those of the largest component come first and meet the later ones alone, which
+    meet each other too.
+    """
+    def blocks(rows: Column) -> Column:
+        return F.when(F.col("size") <= limit, 0).otherwise(F.ceil(3 * rows / limit)).cast("int")
+
+    placed = buckets.select(
+        "*", blocks(F.col("most")).alias("of_major"), blocks(F.col("size") - F.col("most")).alias("of_rest"),
+        (F.col("component") == F.col("major")).alias("is_major"), F.xxhash64("band", "key").alias("chance"),
+    ).withColumn(
+        "block", F.when(F.col("of_rest") == 0, 0).when(
+            F.col("is_major"), F.pmod("chance", "of_major")
+        ).otherwise(F.col("of_major") + F.pmod("chance", "of_rest")).cast("int")
+    )
+    meets = F.when(F.col("of_rest") == 0, F.array(F.lit(0))).otherwise(F.sequence(
+        F.when(F.col("is_major"), F.col("of_major")).otherwise(0), F.col("of_major") + F.col("of_rest") - 1
+    ))
+    return placed.withColumn("other", F.explode(meets)).select(
+        "band", "number", "key", "component", "block",
+        F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+    )
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, component``: the smallest node that each node of ``edges (a, b)`` reaches.
 

@@ -8,11 +8,12 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairloom.llm.common import (
-    arrow_batches, connected_components, id_and_text, mix, partitions, shingle_hashes, word_hashes,
+    arrow_batches, connected_components, id_and_text, in_blocks, mix, partitions, shingle_hashes,
+    whole_groups, word_hashes,
 )
 from pairloom.storage import materialize
 
@@ -258,23 +259,8 @@ def _across(blocks: DataFrame, percent: int, miss: float) -> DataFrame:
     build = arrow_batches({"a": pa.int64(), "b": pa.int64()})
 
     def compare(batches):
-        held, count = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            count += batch.num_rows
-            if count < BUCKET:
-                continue
-            table = pa.Table.from_batches(held)
-            places = [table.column(name).to_numpy() for name in ("band", "x", "y")]
-            last = np.logical_and.reduce([values == values[-1] for values in places])
-            whole = int(last.argmax())  # the rows of all groups but the one under way
-            if whole:
-                yield build(*_compare_groups(table.slice(0, whole), percent, miss))
-            held, count = table.slice(whole).to_batches(), table.num_rows - whole
-        if held:
-            yield build(*_compare_groups(pa.Table.from_batches(held), percent, miss))
+        for table in whole_groups(batches, ("band", "x", "y"), BUCKET):
+            yield build(*_compare_groups(table, percent, miss))
 
     place = ["band", "x", "y"]
     return blocks.select(
@@ -283,31 +269,7 @@ def _across(blocks: DataFrame, percent: int, miss: float) -> DataFrame:
 
 
 def _in_blocks(buckets: DataFrame) -> DataFrame:
-    """Each row of a bucket with its ``block``, once for each pair ``x, y`` of blocks that it takes part in.
-
-    ``size`` rows of a bucket, of which ``most`` are in its largest component, ``major``. A bucket of up to
-    ``BUCKET`` rows is one block. The blocks of a larger one have a third of that on average, so that two of
-    them stay below it; those of the largest component come first and meet the later ones alone, which
-    meet each other too.
-    """
-    def blocks(rows: Column) -> Column:
-        return F.when(F.col("size") <= BUCKET, 0).otherwise(F.ceil(3 * rows / BUCKET)).cast("int")
-
-    placed = buckets.select(
-        "*", blocks(F.col("most")).alias("of_major"), blocks(F.col("size") - F.col("most")).alias("of_rest"),
-        (F.col("component") == F.col("major")).alias("is_major"), F.xxhash64("band", "key").alias("chance"),
-    ).withColumn(
-        "block", F.when(F.col("of_rest") == 0, 0).when(
-            F.col("is_major"), F.pmod("chance", "of_major")
-        ).otherwise(F.col("of_major") + F.pmod("chance", "of_rest")).cast("int")
-    )
-    meets = F.when(F.col("of_rest") == 0, F.array(F.lit(0))).otherwise(F.sequence(
-        F.when(F.col("is_major"), F.col("of_major")).otherwise(0), F.col("of_major") + F.col("of_rest") - 1
-    ))
-    return placed.withColumn("other", F.explode(meets)).select(
-        "band", "number", "key", "component", "block",
-        F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
-    )
+    return in_blocks(buckets, BUCKET)
 
 
 def near_duplicates(

@@ -12,7 +12,8 @@ from pyspark.sql.types import StructField, StructType
 
 from pairloom.checks import named
 from pairloom.llm.common import (
-    arrow_batches, connected_components, id_and_text, mix, shingle_hashes, word_hashes,
+    arrow_batches, connected_components, id_and_text, in_blocks, mix, shingle_hashes, whole_groups,
+    word_hashes,
 )
 from pairloom.storage import materialize
 
@@ -21,9 +22,10 @@ REACH = 6
 #: Words after which a paragraph without such a place is cut.
 LONGEST = 64
 SHINGLE = 5
-#: Bands of one MinHash value: paragraphs of similarity 0.8 collide in one but for 4 in 100, equal ones
-#: always. A passage has several paragraphs.
-BANDS = 2
+#: Rows of a band that are compared in one task, beyond which blocks of it are compared two by two.
+BAND = 4096
+#: Pairs of paragraphs whose sets are compared at a time.
+PAIRS = 20_000
 #: Words beyond a matched paragraph that are compared with those beyond its first occurrence.
 CONTEXT = 64
 #: Words in a row that may differ there, and the equal ones that must follow for each: a similarity of 0.8.
@@ -33,7 +35,6 @@ PASSAGE_WORDS = 32
 
 _FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_SEEDS = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
@@ -55,8 +56,29 @@ def paragraph_starts(hashes: np.ndarray) -> np.ndarray:
     return edges[:-1]
 
 
-def paragraphs(hashes: np.ndarray):
-    """``starts, sizes, contents, bands`` of the paragraphs with at least ``SHINGLE`` words."""
+def least_values(shingles: np.ndarray, starts: np.ndarray, counts: np.ndarray, percent: int):
+    """``values, of``: the least MinHash values of each range of ``counts`` shingles from ``starts`` on.
+
+    Of n distinct values, as many as it takes that two sets which overlap by ``percent`` percent of their
+    union always have one in common: their least common value is preceded by what the other set lacks, which
+    is at most a ``100 - percent`` percent share of n.
+    """
+    of = np.repeat(np.arange(len(starts)), counts)
+    values = shingles[np.arange(len(of)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)]
+    order = np.lexsort((values, of))
+    values = values[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+    values, of = values[new], of[new]
+    sizes = np.bincount(of, minlength=len(starts))
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    taken = rank <= np.repeat(sizes - (percent * sizes + 99) // 100, sizes)
+    return values[taken], of[taken]
+
+
+def paragraphs(hashes: np.ndarray, percent: int):
+    """``starts, sizes, contents`` of the paragraphs with at least ``SHINGLE`` words; ``bands, of``: their
+    MinHash values, and the paragraph that each is of."""
     starts = paragraph_starts(hashes)
     sizes = np.diff(np.append(starts, len(hashes)))
     within = np.arange(len(hashes)) - np.repeat(starts, sizes)
@@ -64,23 +86,15 @@ def paragraphs(hashes: np.ndarray):
     contents = mix(np.add.reduceat(placed, starts))
     kept = sizes >= SHINGLE
     starts, sizes, contents = starts[kept], sizes[kept], contents[kept]
-    if not len(starts):
-        return starts, sizes, contents, np.zeros((0, BANDS), np.uint64)
-    shingles = shingle_hashes(hashes, SHINGLE)
-    # each paragraph's shingles, and the gap after them that reduceat takes as a range of its own
-    cuts = np.stack([starts, starts + sizes - SHINGLE + 1], axis=1).reshape(-1)
-    padded = np.append(shingles, _FAR)
-    bands = np.stack([
-        mix(np.minimum.reduceat(mix(padded ^ seed), cuts)[::2] + seed) for seed in _SEEDS
-    ], axis=1)
-    return starts, sizes, contents, bands
-
-
-def _cut(source: DataFrame) -> DataFrame:
-    """``doc_id, paragraphs (array of at, start, size, content), bands (array of band, content)``."""
+    bands, of = least_values(shingle_hashes(hashes, SHINGLE), starts, sizes - SHINGLE + 1, percent)
+    return starts, sizes, contents, bands, of
+
+
+def _cut(source: DataFrame, percent: int) -> DataFrame:
+    """``doc_id``, arrays ``start, size, content`` of its paragraphs, and ``band, of`` of their bands."""
     build = arrow_batches({
         "doc_id": pa.int64(), "start": pa.list_(pa.int32()), "size": pa.list_(pa.int32()),
-        "content": pa.list_(pa.int64()), "band": pa.list_(pa.int64()),
+        "content": pa.list_(pa.int64()), "band": pa.list_(pa.int64()), "of": pa.list_(pa.int32()),
     })
 
     def cut(batches):
@@ -90,21 +104,21 @@ def _cut(source: DataFrame) -> DataFrame:
                 words = text.encode().lower().split()
                 if key is None or len(words) < SHINGLE:
                     continue
-                starts, sizes, contents, bands = paragraphs(word_hashes(words))
+                starts, sizes, contents, bands, of = paragraphs(word_hashes(words), percent)
                 rows.append((
                     key, starts.astype(np.int32), sizes.astype(np.int32), contents.view(np.int64),
-                    bands.reshape(-1).view(np.int64),
+                    bands.view(np.int64), of.astype(np.int32),
                 ))
-            yield build(*(list(zip(*rows)) or [[]] * 5))
+            yield build(*(list(zip(*rows)) or [[]] * 6))
 
     return source.mapInArrow(
         cut,
-        "doc_id long, start array<int>, size array<int>, content array<long>, band array<long>",
+        "doc_id long, start array<int>, size array<int>, content array<long>, band array<long>, of array<int>",
     )
 
 
-def _similar(pairs: DataFrame, places: DataFrame, source: DataFrame, percent: int) -> DataFrame:
-    """The ``pairs (a, b)`` of contents whose shingle sets overlap enough; ``places`` has one for each."""
+def _sets(places: DataFrame, source: DataFrame) -> DataFrame:
+    """``content, shingles`` of paragraphs at ``places (content, doc_id, start, size)``, one place for each."""
     spans = places.groupBy(F.col("doc_id").alias("key")).agg(
         F.collect_list(F.struct("content", "start", "size")).alias("spans")
     )
@@ -120,12 +134,13 @@ def _similar(pairs: DataFrame, places: DataFrame, source: DataFrame, percent: in
                     rows.append((span["content"], np.unique(shingle_hashes(part, SHINGLE)).view(np.int64)))
             yield build(*(list(zip(*rows)) or [[]] * 2))
 
-    sets = materialize(
-        source.join(spans, "key").select("text", "spans").mapInArrow(
-            shingle, "content long, shingles array<long>"
-        ).dropDuplicates(["content"]),
-        "sets",
-    )
+    return source.join(spans, "key").select("text", "spans").mapInArrow(
+        shingle, "content long, shingles array<long>"
+    ).dropDuplicates(["content"])
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs (a, b)`` of contents whose shingle sets overlap enough."""
     common = F.size(F.array_intersect("left", "right"))
     union = F.size("left") + F.size("right") - common
     return pairs.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("left")), "a").join(
@@ -133,6 +148,123 @@ def _similar(pairs: DataFrame, places: DataFrame, source: DataFrame, percent: in
     ).where(100 * common >= percent * union).select("a", "b")
 
 
+def _common(values: np.ndarray, ends: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many values the sets ``i`` and ``j`` have in common, pair by pair; ``values`` are below 2**31."""
+    starts = np.concatenate([[0], ends[:-1]])
+
+    def listed(side: np.ndarray) -> np.ndarray:
+        sizes = ends[side] - starts[side]
+        pair = np.repeat(np.arange(len(side)), sizes)
+        at = np.arange(len(pair)) + np.repeat(starts[side] - (np.cumsum(sizes) - sizes), sizes)
+        return (pair << 31) + values[at]
+
+    both = np.sort(np.concatenate([listed(i), listed(j)]))
+    return np.bincount(both[1:][both[1:] == both[:-1]] >> 31, minlength=len(i))
+
+
+def _joins(table: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of components to join: those of similar sets within the groups ``band, x, y`` of a table sorted by
+    them. Components that are joined already are not compared, so that pairs are fewer than rows."""
+    place = [table.column(name).to_numpy() for name in ("band", "x", "y")]
+    change = np.logical_or.reduce([values[1:] != values[:-1] for values in place])
+    group = np.concatenate([[0], change.cumsum()])
+    names, part = np.unique(table.column("component").to_numpy(), return_inverse=True)
+    own, across = table.column("block").to_numpy(), place[1] != place[2]
+    sets = table.column("shingles").combine_chunks()
+    sizes = sets.value_lengths().to_numpy().astype(np.int64)
+    shingles = sets.flatten().to_numpy().view(np.uint64)
+    ends = np.cumsum(sizes)
+    # a bit that one set has and the other lacks stands for at least one shingle that the other lacks
+    bits = np.bitwise_or.reduceat(np.uint64(1) << (shingles & np.uint64(63)), ends - sizes)
+    values = np.unique(shingles, return_inverse=True)[1].astype(np.int64)
+    parent, found = list(range(len(names))), []
+
+    def root(at: int) -> int:
+        while parent[at] != at:
+            parent[at] = at = parent[parent[at]]
+        return at
+
+    def join(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        common = _common(values, ends, i, j)
+        alike = 100 * common >= percent * (sizes[i] + sizes[j] - common)
+        for one, two in set(zip(part[i[alike]].tolist(), part[j[alike]].tolist())):
+            one, two = root(one), root(two)
+            if one != two:
+                parent[max(one, two)] = min(one, two)
+                found.append((min(one, two), max(one, two)))
+        return np.array([root(at) for at in range(len(names))])[part] if alike.any() else part
+
+    waiting, count = [], 0
+    for apart in range(1, len(own)):
+        i = np.flatnonzero(group[apart:] == group[:-apart])
+        if not len(i):
+            break
+        j = i + apart
+        fit = (part[i] != part[j]) & (~across[i] | (own[i] != own[j]))
+        i, j = i[fit], j[fit]
+        most = np.minimum(
+            sizes[i] - np.bitwise_count(bits[i] & ~bits[j]), sizes[j] - np.bitwise_count(bits[j] & ~bits[i])
+        )
+        fit = (100 + percent) * most >= percent * (sizes[i] + sizes[j])
+        waiting.append((i[fit], j[fit]))
+        count += int(fit.sum())
+        if count >= PAIRS:
+            part, waiting, count = join(*(np.concatenate(side) for side in zip(*waiting))), [], 0
+    if count:
+        join(*(np.concatenate(side) for side in zip(*waiting)))
+    one, two = np.array(found, np.int64).reshape(-1, 2).T
+    return names[one], names[two]
+
+
+def _across(blocks: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: components to join, in each band (``band, x, y, block, component, shingles``).
+
+    Two blocks ``x, y`` of a band are compared inside one task, a block with itself where they are the same;
+    many small groups are compared together.
+    """
+    build = arrow_batches({"a": pa.int64(), "b": pa.int64()})
+
+    def compare(batches):
+        for table in whole_groups(batches, ("band", "x", "y"), BAND):
+            yield build(*_joins(table, percent))
+
+    place = ["band", "x", "y"]
+    return blocks.select(*place, "block", "component", "shingles").repartition(
+        *place
+    ).sortWithinPartitions(*place).mapInArrow(compare, "a long, b long")
+
+
+def linked_paragraphs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node, component`` of the contents in ``members (band, a, content)``, ``a`` the band's least, that are
+    linked: every two in a band whose ``sets (content, shingles)`` overlap enough, directly or not.
+
+    All are compared with the band's least member first. What then is in different components of a band is
+    compared with each other, a large band in blocks.
+    """
+    pairs = materialize(
+        members.where("a <> content").select("a", F.col("content").alias("b")).distinct(), "pairs"
+    )
+    first = materialize(connected_components(materialize(_similar(pairs, sets, percent), "links")), "components")
+    rest = members.where("a <> content").join(
+        first.withColumnRenamed("node", "content"), "content", "left"
+    ).select(
+        "band", F.lit(0).alias("number"), F.col("content").alias("key"),
+        F.coalesce("component", "content").alias("component"),
+    )
+    mixed = rest.groupBy("band", "component").agg(F.count("*").alias("rows")).groupBy("band").agg(
+        F.sum("rows").alias("size"), F.max(F.struct(F.col("rows").alias("most"), "component")).alias("top"),
+        F.count("*").alias("components"),
+    ).where("components > 1").select("band", "size", "top.most", F.col("top.component").alias("major"))
+    blocks = in_blocks(rest.join(materialize(mixed, "mixed"), "band"), BAND).join(
+        sets.withColumnRenamed("content", "key"), "key"
+    )
+    joined = materialize(connected_components(_across(blocks, percent)), "components")
+    known = first.withColumnRenamed("component", "part").join(
+        joined.select(F.col("node").alias("part"), "component"), "part", "left"
+    ).select("node", F.coalesce("component", "part").alias("component"))
+    return known.unionByName(joined.join(first.select("node"), "node", "left_anti"))
+
+
 def reach(mine: list, theirs: list) -> tuple[int, int]:
     """How far two sequences go on alike from their beginnings: the words of each that belong together.
 
@@ -250,6 +382,41 @@ def _extended(flagged: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
+def _occurrences(source: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, start, size, content`` of the paragraphs that are like another one, or might be, and
+    ``node, component`` of the contents that are."""
+    cut = materialize(_cut(source, percent), "paragraphs")
+    placed = cut.select(
+        "doc_id", F.inline(F.arrays_zip("start", "size", "content"))
+    )
+    banded = cut.select(F.explode(F.expr(
+        "transform(band, (x, i) -> struct(x AS band, content[of[i]] AS content))"
+    )).alias("b")).select("b.band", "b.content")
+    twice = placed.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
+    shared = materialize(
+        banded.groupBy("band").agg(F.min("content").alias("a"), F.max("content").alias("high")).where(
+            "a <> high"
+        ).select("band", "a"),
+        "bands",
+    )
+    members = materialize(banded.join(shared, "band").distinct(), "members")
+    compared = members.select("content").distinct()
+    wanted = materialize(twice.unionByName(compared).distinct(), "contents")
+    occurs = materialize(placed.join(wanted, "content").distinct(), "occurrences")
+    places = occurs.join(compared, "content").groupBy("content").agg(
+        F.min(F.struct("doc_id", "start", "size")).alias("p")
+    ).select("content", "p.doc_id", "p.start", "p.size")
+    sets = materialize(_sets(places, source), "sets")
+    return occurs, linked_paragraphs(members, sets, percent)
+
+
+def paragraph_components(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80
+) -> DataFrame:
+    """``node, component``: the contents of paragraphs that are linked to others, and the least one reached."""
+    return _occurrences(id_and_text(docs, key, text), percent)[1]
+
+
 def repeated_passages(
     docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80,
     passage_words: int = PASSAGE_WORDS,
@@ -258,7 +425,8 @@ def repeated_passages(
 
     Texts are cut into paragraphs of about 13 words at places that their words decide. Paragraphs with a
     MinHash value in common are compared by their sets of five-word runs; those that overlap by ``percent``
-    percent of the union, and equal ones, are one component. A component counts if it lies in
+    percent of the union, and equal ones, are one component: all of them, since two such paragraphs always
+    have a value in common (see ``least_values``). A component counts if it lies in
     several documents; its first paragraph, by document and place, stays, the others go. Up to ``CONTEXT``
     words to either side are compared, word by word, with those around the first paragraph, and belong to
     the passage as far as they go on alike (see ``reach``). What touches and shares this fate makes a
@@ -267,45 +435,14 @@ def repeated_passages(
     equal a-z.
 
     Equal paragraphs are one node of the graph, however often they occur, and are counted per task before
-    they are shuffled. Candidates of a band are compared with its least member.
+    they are shuffled. Candidates of a band are compared with its least member, then with those of it that
+    are still apart from them.
 
     Null and empty texts and null ids have no passages; documents without any give no row; rows that repeat a
     document are the same document, not a repetition; an empty table gives no rows.
     """
     source = id_and_text(docs, key, text)
-    cut = materialize(_cut(source), "paragraphs")
-    placed = cut.select(
-        "doc_id", F.inline(F.arrays_zip("start", "size", "content"))
-    )
-    banded = cut.select(F.explode(F.expr(
-        f"transform(band, (x, i) -> struct(x AS band, content[int(i / {BANDS})] AS content))"
-    )).alias("b")).select("b.band", "b.content")
-    twice = placed.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
-    shared = materialize(
-        banded.groupBy("band").agg(F.min("content").alias("a"), F.max("content").alias("high")).where(
-            "a <> high"
-        ).select("band", "a"),
-        "bands",
-    )
-    pairs = materialize(
-        banded.join(shared, "band").where("a <> content").select("a", F.col("content").alias("b")).distinct(),
-        "pairs",
-    )
-    wanted = materialize(
-        twice.unionByName(pairs.select(F.col("a").alias("content"))).unionByName(
-            pairs.select(F.col("b").alias("content"))
-        ).distinct(),
-        "contents",
-    )
-    occurs = materialize(placed.join(wanted, "content").distinct(), "occurrences")
-    compared = pairs.select(F.col("a").alias("content")).unionByName(
-        pairs.select(F.col("b").alias("content"))
-    ).distinct()
-    places = occurs.join(compared, "content").groupBy("content").agg(
-        F.min(F.struct("doc_id", "start", "size")).alias("p")
-    ).select("content", "p.doc_id", "p.start", "p.size")
-    links = materialize(_similar(pairs, places, source, percent), "links")
-    components = connected_components(links)
+    occurs, components = _occurrences(source, percent)
     clustered = materialize(
         occurs.join(components.withColumnRenamed("node", "content"), "content", "left").select(
             "doc_id", "start", "size", F.coalesce("component", "content").alias("component")

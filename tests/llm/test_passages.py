@@ -1,9 +1,14 @@
 import random
 
+import numpy as np
+import pytest
+
+from pairloom.llm import passages
 from pairloom.llm.passages import (
-    paragraph_starts, reach, remove_passages, repeated_passages, without_words,
+    SHINGLE, least_values, paragraph_starts, paragraphs, reach, remove_passages, repeated_passages,
+    without_words,
 )
-from pairloom.llm.common import word_hashes
+from pairloom.llm.common import shingle_hashes, word_hashes
 
 
 def prose(rng, size):
@@ -156,3 +161,65 @@ def test_very_long_texts_and_any_names(documents):
     left = remove_passages(docs, found)
     assert left.columns == docs.columns
     assert {r.doc_id: len((r.text or "").split()) for r in left.collect()} == {1: 150_060, 2: 50, 3: 0, 4: 0}
+
+
+def linked_by_brute_force(texts, percent):
+    """The component of each paragraph that is similar to another one."""
+    sets = {}
+    for text in texts:
+        hashes = word_hashes(text.encode().lower().split())
+        starts, sizes, contents, *_ = paragraphs(hashes, percent)
+        for start, size, content in zip(starts, sizes, contents.view(np.int64).tolist()):
+            sets[content] = set(shingle_hashes(hashes[start : start + size], SHINGLE).tolist())
+    near = {content: {content} for content in sets}
+    names = list(sets)
+    for at, one in enumerate(names):
+        for two in names[:at]:
+            common = len(sets[one] & sets[two])
+            if 100 * common >= percent * (len(sets[one]) + len(sets[two]) - common):
+                near[one].add(two)
+                near[two].add(one)
+    least, waiting = {}, sorted(names)
+    for first in waiting:
+        queue = [first] if first not in least else []
+        while queue:
+            at = queue.pop()
+            if least.setdefault(at, first) == first:
+                queue += [other for other in near[at] if other not in least]
+    return {content: least[content] for content in names if len(near[content]) > 1}
+
+
+@pytest.mark.parametrize("percent, limit", [(80, 4096), (60, 4096), (80, 12)])
+def test_all_similar_paragraphs_are_linked(documents, monkeypatch, percent, limit):
+    """Also where a band's least member is unlike two others, and where no two MinHash values agree."""
+    monkeypatch.setattr(passages, "BAND", limit)
+    rng = random.Random(21)
+    originals = [prose(rng, rng.randint(20, 60)) for _ in range(12)]
+    common = prose(rng, 5)  # paragraphs that have one run in common, and little else
+    texts = [" ".join(common + prose(rng, 9)) for _ in range(60)]
+    for original in originals:
+        for _ in range(20):
+            words = list(original)
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"new{rng.randint(0, 10**9)}"
+            texts.append(" ".join(words))
+    docs = documents(list(enumerate(texts)))
+    found = passages.paragraph_components(docs, "doc_id", "text", percent).collect()
+    want = linked_by_brute_force(texts, percent)
+    assert len(set(want.values())) > 10
+    assert {r.node: r.component for r in found} == want
+
+
+def test_least_values_meet_at_the_threshold():
+    rng = np.random.default_rng(3)
+    for size in range(1, 61):
+        for percent in (50, 80, 100):
+            one = rng.integers(0, 2**63, size, dtype=np.uint64)
+            for kept in range(size + 1):
+                for more in range(3):
+                    if 100 * kept < percent * (size + more):
+                        continue
+                    two = np.concatenate([one[:kept], rng.integers(0, 2**63, more, dtype=np.uint64)])
+                    both = np.concatenate([one, two, two[:1]])
+                    values, of = least_values(both, np.array([0, size]), np.array([size, len(two) + 1]), percent)
+                    assert set(values[of == 0]) & set(values[of == 1])
