@@ -30,6 +30,8 @@ MISS = 1e-6
 BUCKET, GROUP = 4096, 256
 #: Pairs whose signatures are compared at a time.
 PAIRS = 20_000
+#: Shingles of the sets of one side that a task holds when it confirms a bucket's candidates, one set more at most.
+HELD = 2_000_000
 
 _ROUND = 128  # shingles hashed at a time, so that they stay in the processor's cache
 
@@ -206,8 +208,19 @@ def _unlike(rows: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int, miss:
     return alive
 
 
-def _compare_groups(table: pa.Table, percent: int, miss: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the groups ``band, x, y`` of a table that is sorted by them, of all groups at once."""
+def _parts(group: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The part of its group that each row is in: rows in order, cut where ``sizes`` add up to ``HELD``."""
+    total = np.cumsum(sizes) - sizes
+    first = np.searchsorted(group, group)
+    return (total - total[first]) // HELD
+
+
+def _candidates(table: pa.Table, percent: int, miss: float) -> pa.RecordBatch:
+    """Candidates within the groups ``band, x, y`` of a table that is sorted by them, of all groups at once.
+
+    A row is a key in a group ``band, x, y, u, v`` with those of its ``partners`` there that are larger; a key
+    that is only a partner has none. ``u`` and ``v`` are parts of the group: see ``_parts``.
+    """
     place = [table.column(name).to_numpy() for name in ("band", "x", "y")]
     change = np.logical_or.reduce([values[1:] != values[:-1] for values in place])
     group = np.concatenate([[0], change.cumsum()])
@@ -225,7 +238,7 @@ def _compare_groups(table: pa.Table, percent: int, miss: float) -> tuple[np.ndar
         i, j = i[alive], j[alive]
         # a pair leaves from the first of the buckets that both members are in
         first = (bands[i] == bands[j]).argmax(axis=1) == number[i]
-        found.append((keys[i[first]], keys[j[first]]))
+        found.append((i[first], j[first]))
 
     for apart in range(1, len(keys)):
         i = np.flatnonzero(group[apart:] == group[:-apart])
@@ -244,28 +257,116 @@ def _compare_groups(table: pa.Table, percent: int, miss: float) -> tuple[np.ndar
             waiting, count = [], 0
     if waiting:
         flush()
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    one, two = (np.concatenate(side) for side in zip(*found))
-    return np.minimum(one, two), np.maximum(one, two)
+    i, j = (np.concatenate(side) for side in zip(*found)) if found else np.zeros((2, 0), np.int64)
+    part = _parts(group, sizes)
+    u, v = np.minimum(part[i], part[j]), np.maximum(part[i], part[j])
+    a, b = np.minimum(keys[i], keys[j]), np.maximum(keys[i], keys[j])
+    columns = _distinct(group[i], u, v, a, b)
+    head = _changes(*columns[:4])
+    starts = np.flatnonzero(head)
+    alone = _missing(tuple(column[starts] for column in columns[:4]), (*columns[:3], columns[4]))
+    partners = pa.ListArray.from_arrays(
+        pa.array(np.concatenate([starts, np.full(len(alone[0]) + 1, len(head))]), pa.int32()),
+        pa.array(columns[4], pa.int64()),
+    )
+    of, u, v, key = (np.concatenate([one[starts], two]) for one, two in zip(columns[:4], alone))
+    first = np.searchsorted(group, of)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(values[first]) for values in place] + [
+            pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(key, pa.int64()), partners,
+        ], names=["band", "x", "y", "u", "v", "key", "partners"],
+    )
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Which rows of sorted columns differ from the row before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([values[1:] != values[:-1] for values in columns])
+    return out
+
+
+def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct rows, sorted."""
+    order = np.lexsort(columns[::-1])
+    columns = tuple(values[order] for values in columns)
+    new = _changes(*columns)
+    return tuple(values[new] for values in columns)
+
+
+def _missing(there: tuple[np.ndarray, ...], wanted: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """The distinct rows of ``wanted`` that are not in ``there``."""
+    both = [np.concatenate(side) for side in zip(there, wanted)]
+    late = np.repeat([0, 1], [len(there[0]), len(wanted[0])])
+    *columns, late = _distinct(*both, late)
+    chosen = _changes(*columns) & (late == 1)
+    return tuple(values[chosen] for values in columns)
 
 
 def _across(blocks: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs of different components in each bucket (``band, key, n, component, whole, bands``) not pruned.
+    """``band, x, y, u, v, key, partners`` of what is not pruned of the pairs of different components in each
+    bucket (``band, key, n, component, whole, bands``); see ``_candidates``.
 
     Two blocks ``x, y`` of a bucket are compared inside one task, a block with itself where they are the
-    same; many small groups are compared together. Only survivors leave a task.
+    same; many small groups are compared together. Only survivors leave a task, one row for each member
+    of a group and not for each pair.
     """
-    build = arrow_batches({"a": pa.int64(), "b": pa.int64()})
-
     def compare(batches):
         for table in whole_groups(batches, ("band", "x", "y"), BUCKET):
-            yield build(*_compare_groups(table, percent, miss))
+            yield _candidates(table, percent, miss)
 
     place = ["band", "x", "y"]
     return blocks.select(
         *place, "number", "key", "component", "block", "n", "whole", "bands"
-    ).repartition(*place).sortWithinPartitions(*place).mapInArrow(compare, "a long, b long")
+    ).repartition(*place).sortWithinPartitions(*place).mapInArrow(
+        compare, "band long, x int, y int, u long, v long, key long, partners array<long>"
+    )
+
+
+def _confirm(candidates: DataFrame, docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """``a, b``: links of the candidates (see ``_candidates``) whose full sets overlap enough.
+
+    A group's sets are made once, in one task. A pair that links of its group have joined already is
+    not compared, so that links are fewer than members.
+    """
+    place = ["band", "x", "y", "u", "v"]
+    rows = candidates.join(docs, "key").select(*place, "key", "partners", "text").repartition(
+        partitions(docs.sparkSession), *place
+    ).sortWithinPartitions(*place)
+    build = arrow_batches({"a": pa.int64(), "b": pa.int64()})
+
+    def links(sets: dict, partners: dict) -> list:
+        parent, found = {key: key for key in sets}, []
+
+        def root(key):
+            while parent[key] != key:
+                parent[key] = key = parent[parent[key]]
+            return key
+
+        for a, others in partners.items():
+            for b in others:
+                one, two = root(a), root(b)
+                # a repeated id has several sets
+                if one != two and any(similar(left, right, percent) for left in sets[a] for right in sets[b]):
+                    parent[max(one, two)] = min(one, two)
+                    found.append((a, b))
+        return found
+
+    def compare(batches):
+        group, sets, partners = None, {}, {}
+        for batch in batches:
+            found = []
+            columns = (batch.column(name).to_pylist() for name in (*place, "key", "partners", "text"))
+            for *at, key, others, text in zip(*columns):
+                if at != group:
+                    found += links(sets, partners)
+                    group, sets, partners = at, {}, {}
+                sets.setdefault(key, []).append(shingle_set(text, shingle_words))
+                if others:
+                    partners[key] = others
+            yield build(*(list(zip(*found)) or [[]] * 2))
+        yield build(*(list(zip(*links(sets, partners))) or [[]] * 2))
+
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def _in_blocks(buckets: DataFrame) -> DataFrame:
@@ -341,11 +442,9 @@ def near_duplicates(
     blocks = _in_blocks(named.join(mixed, "band")).join(
         leaders.select("key", "n", "whole", "bands"), "key"
     ).where(F.col("bands")[F.col("number")] == F.col("band"))
-    second = materialize(
-        _across(blocks, percent, miss).distinct().join(first, ["a", "b"], "left_anti"),
-        "pairs",
+    more = _confirm(
+        materialize(_across(blocks, percent, miss), "candidates"), texts, shingle_words, percent
     )
-    more = verify(second, texts, shingle_words, percent)
     links = links.unionByName(more).unionByName(
         classes.where("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b"))
     )

@@ -91,6 +91,30 @@ def test_pairs_at_the_threshold_meet_in_large_buckets(documents, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == want
 
 
+@pytest.mark.parametrize("held", [near_dups.HELD, 900])
+def test_candidates_below_the_threshold_are_rows_by_member_not_by_pair(documents, monkeypatch, held):
+    """Many texts of similarity 0.77 to each other, none linked, and two at 0.9 to one of them."""
+    written, write = {}, near_dups.materialize
+
+    def count(df, label="table", by=()):
+        table = write(df, label, by)
+        written[label] = max(written.get(label, 0), table.count())
+        return table
+
+    monkeypatch.setattr(near_dups, "materialize", count)
+    monkeypatch.setattr(near_dups, "HELD", held)
+    rng = random.Random(9)
+    shared = [f"s{i}" for i in range(200)]
+    rows = [(i, " ".join([*shared, *(f"p{i}x{rng.randint(0, 10**6)}" for _ in range(26))])) for i in range(80)]
+    rows += [(80 + i, " ".join([*rows[7][1].split()[:-4], f"e{i}"])) for i in range(2)]
+    found = near_dups.near_duplicates(documents(rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == brute(rows, 5, 80)
+    pairs = len(rows) * (len(rows) - 1) // 2
+    assert written["candidates"] > 80 and max(written["pairs"], written["links"]) < pairs // 4
+    if held == near_dups.HELD:
+        assert written["candidates"] < pairs // 4
+
+
 def test_blocks_are_bounded_and_a_joined_component_is_not_compared(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "BUCKET", 200)
     rows = [(9, 3, key, 1 if key < 900 else key, 1000, 900, 1) for key in range(1, 1001)]
