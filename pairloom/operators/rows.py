@@ -191,14 +191,14 @@ def _stored_index(df: DataFrame, name: str) -> tuple[DataFrame, int]:
         numbered = placed.join(order.numbered(fresh(placed, "_at")), keys)
         at = named(fresh(placed, "_at"))
     else:
-        # One row per file; Spark broadcasts it if it is small enough.
+        # One row per file, as many as the driver has listed. Shuffled by file, a file's rows would meet in one task.
         first = fresh(placed, "_first")
         starts = placed.sparkSession.createDataFrame(
             list(zip(files.paths, files.starts)), T.StructType([
                 T.StructField(keys[0], T.StringType()), T.StructField(first, T.LongType())
             ])
         )
-        numbered, at = placed.join(starts, keys[0]), named(first) + named(keys[1])
+        numbered, at = placed.join(F.broadcast(starts), keys[0]), named(first) + named(keys[1])
     kept = [named(column) for column in df.columns if column != name]
     return numbered.select(*kept, at.alias(name)), files.total
 

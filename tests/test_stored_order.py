@@ -58,6 +58,12 @@ def test_lengths_are_checked(stored):
     assert op.slice_rows(stored[0], 5000, 6000, None, strict=False).count() == 0
 
 
+def test_numbers_need_no_shuffle_by_file(stored, plan_of):
+    plan = plan_of(op.with_row_index(stored[0], None))
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 @pytest.mark.parametrize("condition", ["true", "k % 7 <> 2"])
 def test_numbers(stored, condition):
     table, order = stored
