@@ -66,6 +66,11 @@ def _generator(
     return F.pandas_udf(generate, schema).asNondeterministic()
 
 
+def _tasks(spark: SparkSession, least: int) -> int:
+    """Tasks to spread prompts over: a set number alone would let each one's share grow with the table."""
+    return least if least == 1 else max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def map_generate_many(
     df: DataFrame,
     prompt: Column | str,
@@ -81,8 +86,9 @@ def map_generate_many(
 
     ``make_fns`` has a loader per column, or is the columns' names and one loader that returns a function
     for each: several settings of a model that is loaded once. A Python worker loads once, however
-    many tasks it runs. ``partitions`` spreads the prompts over so many tasks by their hash. With a ``store``
-    only prompts are asked that it has no answer to, at once, not when the result is read.
+    many tasks it runs. ``partitions`` spreads the prompts over at least so many tasks by their hash, as many as
+    other shuffles have if that is more; 1 leaves them in one. With a ``store`` only prompts are asked that
+    it has no answer to, at once, not when the result is read.
     """
     text = named(prompt) if isinstance(prompt, str) else prompt
     if isinstance(make_fns, dict):
@@ -95,7 +101,7 @@ def map_generate_many(
     def ask(rows: DataFrame, column: Column, own: Sequence[str]) -> DataFrame:
         generate = _generator(df.sparkSession, list(own), load, batch_size, chat, system)
         if partitions is not None:
-            rows = rows.repartition(partitions, F.xxhash64(column))
+            rows = rows.repartition(_tasks(rows.sparkSession, partitions), F.xxhash64(column))
         held = fresh(rows, "_answers")
         answered = rows.withColumn(held, generate(column))
         return answered.select(

@@ -141,3 +141,12 @@ def test_an_empty_answer_is_no_verdict(spark):
 
     assert [r.rank for r in op.map_judge(rows, template, chat_judge, chat=True, system="s").collect()] == [1]
     assert [r.rank for r in op.map_judge(rows, template, chat_judge, chat=True).collect()] == [0]
+
+
+def test_prompts_are_spread_as_wide_as_other_shuffles(spark):
+    prompts = spark.range(4000).select(F.md5(F.col("id").cast("string")).alias("prompt"))
+    at = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for partitions, tasks in ((1, 1), (2, at), (at + 5, at + 5)):
+        got = op.map_generate(prompts, "prompt", "answer", lambda: list, partitions=partitions)
+        assert got.select(F.spark_partition_id()).distinct().count() == tasks
+        assert got.where("answer = prompt").count() == 4000
