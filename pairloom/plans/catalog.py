@@ -863,7 +863,7 @@ def paced_answers(spark, folder):
     model = stand_ins.digest_model("p:")
     run_in_batches(
         spark, batches, schema, lambda rows: op.map_generate(rows, "text", "answer", model).drop("text"),
-        out, new_path(spark, "paced-checkpoint"),
+        out, new_path(spark, "paced-checkpoint"), per_trigger=16,
     ).awaitTermination()
     return spark.read.parquet(out)
 

@@ -1,7 +1,7 @@
 """Batches worked off at a set pace, as a service with a limit per minute wants it.
 
-The rows are numbered and written once, a file per batch. A stream then takes one file per trigger: at most one
-batch per interval, and a checkpoint says which are done. A run that is stopped, or dies, goes on at the
+The rows are numbered and written once, a file per batch. A stream then takes one file per trigger, or a set number
+of them: at most so many batches per interval, and a checkpoint says which are done. A run that is stopped, or dies, goes on at the
 next batch when it is started again with the same folders. A batch that was under way is worked off again, and its
 rows are in the result once: the stream's sink lists the files of finished batches only.
 """
@@ -37,15 +37,19 @@ def run_in_batches(
     out: str,
     checkpoint: str,
     every: str | None = None,
+    per_trigger: int = 1,
 ) -> StreamingQuery:
-    """Start working off the batches in ``folder``, one per trigger, and return the running query.
+    """Start working off the batches in ``folder``, ``per_trigger`` at a time, and return the running query.
 
     ``work`` takes a batch's rows and returns the rows to write, as Parquet under ``out``; it may call a model.
     ``every`` is the time between batches, such as ``"60 seconds"``; None works off what is there without
     waiting and stops. With an interval the query runs until it is stopped, and takes up batches that are
-    written to ``folder`` later.
+    written to ``folder`` later. A trigger has a cost of its own, whatever its rows; where no limit asks for one
+    batch at a time, more of them share it, and as many are worked off again after a failure.
     """
-    batches = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    if per_trigger < 1:
+        raise ValueError("per_trigger must be positive")
+    batches = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
     writer = work(batches).writeStream.format("parquet").option("path", out).option(
         "checkpointLocation", checkpoint
     ).outputMode("append")

@@ -87,3 +87,14 @@ def test_batches_keep_their_distance(spark, batches):
         query.stop()
     assert took >= 5
     assert spark.read.parquet(batches["out"]).count() <= 40
+
+
+def test_triggers_take_several_batches(spark, batches):
+    query = run_in_batches(spark, work=lambda rows: rows, per_trigger=2, **batches)
+    query.awaitTermination(120)
+    rows = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert len(rows) == 3 and max(rows) == 20 and sum(rows) == 57
+    done = spark.read.parquet(batches["out"])
+    assert done.count() == 57 and done.select("id").distinct().count() == 57
+    with pytest.raises(ValueError, match="per_trigger"):
+        run_in_batches(spark, work=lambda rows: rows, per_trigger=0, **batches)
