@@ -24,6 +24,9 @@ from pairloom.checks import fresh, named, need_columns
 from pairloom.operators.tokens import words
 from pairloom.storage import materialize
 
+#: Texts of a batch whose weights are looked up at a time: a bound on a worker's memory.
+SCORED = 500
+
 
 def _signed(chosen: str, rejected: str, as_term) -> Column:
     """Each word of both texts with +1 or -1, as an array of ``(term, sign)``. A null text has no words."""
@@ -62,30 +65,42 @@ class PairwiseReward:
     def score(self, df: DataFrame, text: str, out: str = "score") -> DataFrame:
         """Add the score of a text column: the sum of its words' weights, 0 without words, null for null."""
         need_columns(df, text)
+        return df.withColumn(out, self._scores(df, [text])["score0"])
+
+    def _scores(self, df: DataFrame, texts: list[str]) -> Column:
+        """A struct ``score0, score1, ...`` of the scores of text columns, all by one Python worker a task."""
         # As many weights as the fit had features.
         held = df.sparkSession.sparkContext.broadcast(self.weights)
-
-        def total(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = [f"score{at}" for at in range(len(texts))]
+
+        def sums(column: pa.Array) -> pa.Array:
+            out = np.zeros(len(column))
+            for at in range(0, len(column), SCORED):
+                part = column.slice(at, SCORED)
+                lengths = pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)
+                found = held.value[part.flatten().to_numpy(zero_copy_only=False)]
+                out[at : at + len(part)] = np.bincount(np.repeat(np.arange(len(part)), lengths), found, len(part))
+            return pa.array(out, pa.float64(), mask=column.is_null().to_numpy(zero_copy_only=False))
+
+        def totals(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
             for batch in batches:
-                lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
-                found = held.value[batch.flatten().to_numpy(zero_copy_only=False)]
-                sums = np.bincount(np.repeat(np.arange(len(batch)), lengths), found, len(batch))
-                yield pa.array(sums, pa.float64(), mask=batch.is_null().to_numpy(zero_copy_only=False))
+                columns = batch if isinstance(batch, tuple) else (batch,)  # Spark hands a single one over as it is
+                yield pa.StructArray.from_arrays([sums(column) for column in columns], names=names)
 
         features = len(self.weights)
-        buckets = F.transform(words(named(text)), lambda word: _bucket(word, features))
-        scored = F.arrow_udf(total, "double").asNondeterministic()
-        return df.withColumn(out, scored(buckets))
+        buckets = [F.transform(words(named(text)), lambda word: _bucket(word, features)) for text in texts]
+        scored = F.arrow_udf(totals, ", ".join(f"{name} double" for name in names)).asNondeterministic()
+        return scored(*buckets)
 
     def evaluate(self, df: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
         """One row: pairs, the share in which the chosen text scores higher, and the mean log loss.
 
         The loss of a model that knows nothing is log 2.
         """
-        up = fresh(df, "_up")
-        down = "_" + up
-        both = self.score(self.score(df, chosen, up), rejected, down)
-        margin = F.col(up) - F.col(down)
+        need_columns(df, chosen, rejected)
+        held = fresh(df, "_scores")
+        both = df.select(self._scores(df, [chosen, rejected]).alias(held))
+        margin = F.col(held)["score0"] - F.col(held)["score1"]
         loss = F.greatest(-margin, F.lit(0.0)) + F.log1p(F.exp(-F.abs(margin)))
         return both.agg(
             F.count("*").alias("pairs"), F.avg((margin > 0).cast("double")).alias("accuracy"),

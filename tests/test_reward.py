@@ -101,3 +101,22 @@ def test_word_differences(spark):
 def test_quality_is_learnt_from_the_given_pairs(spark):
     result = QUERIES["reward_on_quality"].run(spark, "/root/testdata/sf0.1").first()
     assert result.pairs >= 50 and result.accuracy > 0.85 and result.log_loss < 0.4
+
+
+def test_evaluation_scores_both_texts_in_one_worker(spark, plan_of, monkeypatch):
+    from pairloom.operators import reward
+
+    monkeypatch.setattr(reward, "SCORED", 3)
+    model = reward.PairwiseReward(np.arange(16, dtype=float) - 7)
+    texts = ["", None, "a", "a b c a", "d e", "f g h", "i", "j k", "l m n", "o p"]
+    table = spark.createDataFrame([(a, b) for a in texts for b in texts], "chosen string, rejected string")
+    assert plan_of(model.evaluate(table)).count("ArrowEvalPython") == 1
+    of = dict(map(tuple, model.score(table, "chosen").select("chosen", "score").distinct().collect()))
+    whole = model.score(spark.createDataFrame([("a",), ("b",), ("c",)], "t string"), "t").collect()
+    alone = {r.t: r.score for r in whole}
+    assert of["a b c a"] == 2 * alone["a"] + alone["b"] + alone["c"] and of[""] == 0 and of[None] is None
+    margins = [of[a] - of[b] for a in texts for b in texts if a is not None and b is not None]
+    row = model.evaluate(table).first()
+    assert row.pairs == 100
+    assert row.accuracy == pytest.approx(np.mean(np.array(margins) > 0))
+    assert row.log_loss == pytest.approx(np.mean(np.logaddexp(0, -np.array(margins))))
