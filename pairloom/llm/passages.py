@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -13,7 +14,6 @@ from pyspark.sql.types import StructField, StructType
 from pairloom.checks import named
 from pairloom.llm.common import (
     arrow_batches, connected_components, id_and_text, in_blocks, mix, shingle_hashes, whole_groups,
-    word_hashes,
 )
 from pairloom.storage import materialize
 
@@ -24,6 +24,8 @@ LONGEST = 64
 SHINGLE = 5
 #: Rows of a band that are compared in one task, beyond which blocks of it are compared two by two.
 BAND = 4096
+#: Words that are cut into paragraphs at a time, beyond which a text is the last one.
+WORDS = 50_000
 #: Pairs of paragraphs whose sets are compared at a time.
 PAIRS = 20_000
 #: Words beyond a matched paragraph that are compared with those beyond its first occurrence.
@@ -38,83 +40,123 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
-def paragraph_starts(hashes: np.ndarray) -> np.ndarray:
+def paragraph_starts(hashes: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
     """Where paragraphs begin: places that the words around them alone decide, so that a passage is cut
-    alike in every document, whatever stands before it."""
-    count = len(hashes)
-    if count <= REACH:
-        return np.zeros(min(count, 1), np.int64)
-    pair = mix(hashes[:-1] ^ mix(hashes[1:] + _ODD))
-    padded = np.concatenate([np.full(REACH, _FAR), pair, np.full(REACH, _FAR)])
-    windows = np.lib.stride_tricks.sliding_window_view(padded, REACH).min(axis=1)
-    least = (pair < windows[: len(pair)]) & (pair <= windows[REACH + 1 : REACH + 1 + len(pair)])
-    edges = np.unique(np.concatenate([[0], np.flatnonzero(least), [count]]))
-    lengths = np.diff(edges)
-    if lengths.max() > LONGEST:
-        pieces = [np.arange(a, a + n, LONGEST) for a, n in zip(edges[:-1], lengths)]
-        return np.concatenate(pieces)
-    return edges[:-1]
+    alike in every document, whatever stands before it.
+
+    ``hashes`` may be those of several texts, one after the other, which end at ``ends``.
+    """
+    ends = np.array([len(hashes)]) if ends is None else np.asarray(ends)
+    counts = np.diff(ends, prepend=0)
+    ends, counts = ends[counts > 0], counts[counts > 0]
+    if not len(ends):
+        return np.zeros(0, np.int64)
+    first = np.zeros(len(hashes), bool)
+    first[ends - counts] = True
+    # texts stand apart, so that no word is compared with one of another text
+    at = np.arange(len(hashes)) + REACH * first.cumsum()
+    pair = np.full(len(hashes), _FAR)
+    pair[:-1] = mix(hashes[:-1] ^ mix(hashes[1:] + _ODD))
+    pair[ends - 1] = _FAR
+    padded = np.full(len(hashes) + REACH * (len(ends) + 1), _FAR)
+    padded[at] = pair
+    windows = padded[: len(padded) - REACH + 1].copy()
+    for k in range(1, REACH):
+        np.minimum(windows, padded[k : k + len(windows)], out=windows)
+    least = (pair < windows[at - REACH]) & (pair <= windows[at + 1])
+    edges = np.flatnonzero(first | least & np.repeat(counts > REACH, counts))
+    pieces = -(-np.diff(edges, append=len(hashes)) // LONGEST)
+    piece = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.repeat(edges, pieces) + piece * LONGEST
 
 
 def least_values(shingles: np.ndarray, starts: np.ndarray, counts: np.ndarray, percent: int):
-    """``values, of``: the least MinHash values of each range of ``counts`` shingles from ``starts`` on.
+    """``values, of``: the least MinHash values of each range of ``counts`` shingles from ``starts`` on, rising.
 
     Of n distinct values, as many as it takes that two sets which overlap by ``percent`` percent of their
     union always have one in common: their least common value is preceded by what the other set lacks, which
-    is at most a ``100 - percent`` percent share of n.
+    is at most a ``100 - percent`` percent share of n. All of them where ``percent`` is 0.
     """
-    of = np.repeat(np.arange(len(starts)), counts)
-    values = shingles[np.arange(len(of)) + np.repeat(starts - (np.cumsum(counts) - counts), counts)]
-    order = np.lexsort((values, of))
-    values = values[order]
-    new = np.ones(len(of), bool)
-    new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
-    values, of = values[new], of[new]
-    sizes = np.bincount(of, minlength=len(starts))
-    rank = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    taken = rank <= np.repeat(sizes - (percent * sizes + 99) // 100, sizes)
-    return values[taken], of[taken]
-
-
-def paragraphs(hashes: np.ndarray, percent: int):
-    """``starts, sizes, contents`` of the paragraphs with at least ``SHINGLE`` words; ``bands, of``: their
-    MinHash values, and the paragraph that each is of."""
-    starts = paragraph_starts(hashes)
-    sizes = np.diff(np.append(starts, len(hashes)))
+    values, of = [shingles[:0]], [np.zeros(0, np.int64)]
+    for count in np.unique(counts):
+        ranges = np.flatnonzero(counts == count)
+        rows = np.sort(shingles[starts[ranges, None] + np.arange(count)], axis=1)
+        new = np.ones(rows.shape, bool)
+        new[:, 1:] = rows[:, 1:] != rows[:, :-1]
+        sizes = new.sum(axis=1)
+        taken = new & (new.cumsum(axis=1) <= (sizes - (percent * sizes + 99) // 100 + 1)[:, None])
+        values.append(rows[taken])
+        of.append(np.repeat(ranges, taken.sum(axis=1)))
+    values, of = np.concatenate(values), np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return values[order], of[order]
+
+
+def _contents(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of the words of each paragraph; paragraphs follow one another without a gap."""
     within = np.arange(len(hashes)) - np.repeat(starts, sizes)
     placed = mix(hashes + (within.astype(np.uint64) + np.uint64(1)) * _ODD)
-    contents = mix(np.add.reduceat(placed, starts))
+    return mix(np.add.reduceat(placed, starts))
+
+
+def paragraphs(hashes: np.ndarray, percent: int, ends: np.ndarray | None = None):
+    """``starts, sizes, contents`` of the paragraphs with at least ``SHINGLE`` words; ``bands, of``: their
+    MinHash values, and the paragraph that each is of. ``hashes`` may be those of several texts, which end at
+    ``ends``."""
+    starts = paragraph_starts(hashes, ends)
+    sizes = np.diff(starts, append=len(hashes))
+    contents = _contents(hashes, starts, sizes)
     kept = sizes >= SHINGLE
     starts, sizes, contents = starts[kept], sizes[kept], contents[kept]
     bands, of = least_values(shingle_hashes(hashes, SHINGLE), starts, sizes - SHINGLE + 1, percent)
     return starts, sizes, contents, bands, of
 
 
+def _hashed(words: list[bytes]) -> np.ndarray:
+    """``word_hashes`` without its cache: looking up words of a wide vocabulary takes longer than hashing them."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _lists(values: np.ndarray, of: np.ndarray, count: int) -> pa.Array:
+    """``count`` lists of the values, of which ``of`` tells the list."""
+    offsets = np.concatenate([[0], np.bincount(of, minlength=count).cumsum()]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))
+
+
 def _cut(source: DataFrame, percent: int) -> DataFrame:
-    """``doc_id``, arrays ``start, size, content`` of its paragraphs, and ``band, of`` of their bands."""
+    """``doc_id, start, size, content`` of paragraphs, and the array ``bands`` of their bands."""
     build = arrow_batches({
-        "doc_id": pa.int64(), "start": pa.list_(pa.int32()), "size": pa.list_(pa.int32()),
-        "content": pa.list_(pa.int64()), "band": pa.list_(pa.int64()), "of": pa.list_(pa.int32()),
+        "doc_id": pa.int64(), "start": pa.int32(), "size": pa.int32(), "content": pa.int64(),
+        "bands": pa.list_(pa.int64()),
     })
 
+    def rows(keys: list, counts: list, words: list) -> pa.RecordBatch:
+        ends = np.cumsum(counts)
+        starts, sizes, contents, bands, of = paragraphs(_hashed(words), percent, ends)
+        text = np.searchsorted(ends, starts, side="right")
+        return build(
+            np.array(keys)[text], (starts - (ends - counts)[text]).astype(np.int32), sizes.astype(np.int32),
+            contents.view(np.int64), _lists(bands, of, len(starts)),
+        )
+
     def cut(batches):
         for batch in batches:
-            rows = []
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                words = text.encode().lower().split()
-                if key is None or len(words) < SHINGLE:
+            keys, counts, words = [], [], []
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for key, text in zip(batch.column("key").to_pylist(), texts):
+                split = text.lower().split()
+                if key is None or len(split) < SHINGLE:
                     continue
-                starts, sizes, contents, bands, of = paragraphs(word_hashes(words), percent)
-                rows.append((
-                    key, starts.astype(np.int32), sizes.astype(np.int32), contents.view(np.int64),
-                    bands.view(np.int64), of.astype(np.int32),
-                ))
-            yield build(*(list(zip(*rows)) or [[]] * 6))
+                keys.append(key)
+                counts.append(len(split))
+                words += split
+                if len(words) >= WORDS:
+                    yield rows(keys, counts, words)
+                    keys, counts, words = [], [], []
+            if words:
+                yield rows(keys, counts, words)
 
-    return source.mapInArrow(
-        cut,
-        "doc_id long, start array<int>, size array<int>, content array<long>, band array<long>, of array<int>",
-    )
+    return source.mapInArrow(cut, "doc_id long, start int, size int, content long, bands array<long>")
 
 
 def _sets(places: DataFrame, source: DataFrame) -> DataFrame:
@@ -124,15 +166,35 @@ def _sets(places: DataFrame, source: DataFrame) -> DataFrame:
     )
     build = arrow_batches({"content": pa.int64(), "shingles": pa.list_(pa.int64())})
 
+    def rows(contents: list, sizes: list, words: list) -> pa.RecordBatch:
+        contents, sizes, hashes = np.array(contents), np.array(sizes), _hashed(words)
+        starts = np.cumsum(sizes) - sizes
+        # of rows with one id only those that have these words there
+        there = _contents(hashes, starts, sizes).view(np.int64) == contents
+        starts, sizes, contents = starts[there], sizes[there], contents[there]
+        values, of = least_values(shingle_hashes(hashes, SHINGLE), starts, sizes - SHINGLE + 1, 0)
+        return build(contents, _lists(values, of, len(contents)))
+
     def shingle(batches):
         for batch in batches:
-            rows = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                hashes = word_hashes(text.encode().lower().split())
-                for span in spans:
-                    part = hashes[span["start"] : span["start"] + span["size"]]
-                    rows.append((span["content"], np.unique(shingle_hashes(part, SHINGLE)).view(np.int64)))
-            yield build(*(list(zip(*rows)) or [[]] * 2))
+            contents, sizes, words = [], [], []
+            spans = batch.column("spans")
+            each = [spans.flatten().field(name).to_pylist() for name in ("content", "start", "size")]
+            at = 0
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            for text, count in zip(texts, spans.value_lengths().to_pylist()):
+                split = text.lower().split()
+                for content, start, size in zip(*(values[at : at + count] for values in each)):
+                    if start + size <= len(split):
+                        contents.append(content)
+                        sizes.append(size)
+                        words += split[start : start + size]
+                at += count
+                if len(words) >= WORDS:
+                    yield rows(contents, sizes, words)
+                    contents, sizes, words = [], [], []
+            if words:
+                yield rows(contents, sizes, words)
 
     return source.join(spans, "key").select("text", "spans").mapInArrow(
         shingle, "content long, shingles array<long>"
@@ -303,18 +365,18 @@ def _contexts(places: DataFrame, source: DataFrame) -> DataFrame:
 
     def words(batches):
         for batch in batches:
-            kept, rows = [], []
-            for text, spots in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
-                split = text.encode().lower().split()
-                for spot in spots:
-                    start, end = spot["start"], spot["end"]
-                    low = max(0, start - spot["left"] - _BEYOND) if spot["left"] else start
-                    high = end + spot["right"] + _BEYOND if spot["right"] else end
-                    rows.append((b" ".join(split[low:start]).decode(), b" ".join(split[end:high]).decode()))
-                kept.append(len(spots))
-            doc_ids = np.repeat(np.arange(len(kept)), np.array(kept, np.int64))
-            spots = batch.column("places").flatten()
-            before, after = zip(*rows) if rows else ((), ())
+            before, after, at = [], [], 0
+            kept, spots = batch.column("places").value_lengths().to_numpy(), batch.column("places").flatten()
+            each = [spots.field(name).to_pylist() for name in ("start", "end", "left", "right")]
+            for text, count in zip(batch.column("text").cast(pa.binary()).to_pylist(), kept.tolist()):
+                split = text.lower().split()
+                for start, end, left, right in zip(*(values[at : at + count] for values in each)):
+                    low = max(0, start - left - _BEYOND) if left else start
+                    high = end + right + _BEYOND if right else end
+                    before.append(b" ".join(split[low:start]).decode())
+                    after.append(b" ".join(split[end:high]).decode())
+                at += count
+            doc_ids = np.repeat(np.arange(len(kept)), kept)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key").take(pa.array(doc_ids)), *spots.flatten(),
                  pa.array(before, pa.string()), pa.array(after, pa.string())],
@@ -386,12 +448,8 @@ def _occurrences(source: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     """``doc_id, start, size, content`` of the paragraphs that are like another one, or might be, and
     ``node, component`` of the contents that are."""
     cut = materialize(_cut(source, percent), "paragraphs")
-    placed = cut.select(
-        "doc_id", F.inline(F.arrays_zip("start", "size", "content"))
-    )
-    banded = cut.select(F.explode(F.expr(
-        "transform(band, (x, i) -> struct(x AS band, content[of[i]] AS content))"
-    )).alias("b")).select("b.band", "b.content")
+    placed = cut.select("doc_id", "start", "size", "content")
+    banded = cut.select(F.explode("bands").alias("band"), "content")
     twice = placed.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
     shared = materialize(
         banded.groupBy("band").agg(F.min("content").alias("a"), F.max("content").alias("high")).where(

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pairloom.llm import passages
@@ -223,3 +224,52 @@ def test_least_values_meet_at_the_threshold():
                     both = np.concatenate([one, two, two[:1]])
                     values, of = least_values(both, np.array([0, size]), np.array([size, len(two) + 1]), percent)
                     assert set(values[of == 0]) & set(values[of == 1])
+
+
+def test_texts_are_cut_alike_together_and_alone():
+    rng = random.Random(23)
+    texts = [word_hashes([rng.choice((b"a", b"b", b"c")) for _ in range(n)]) for n in range(SHINGLE, 40)]
+    texts += [word_hashes([w.encode() for w in prose(rng, n)]) for n in (5, 6, 7, 63, 64, 65, 300)]
+    texts += [word_hashes([b"same"] * n) for n in (6, 7, 64, 65, 128, 129, 200)]
+    rng.shuffle(texts)
+    ends = np.cumsum([len(text) for text in texts])
+    starts, sizes, contents, bands, of = paragraphs(np.concatenate(texts), 80, ends)
+    at = np.searchsorted(ends, starts, side="right")
+    for i, text in enumerate(texts):
+        alone, mine = paragraphs(text, 80), np.flatnonzero(at == i)
+        assert (starts[mine] - (ends[i] - len(text))).tolist() == alone[0].tolist()
+        assert sizes[mine].tolist() == alone[1].tolist() and contents[mine].tolist() == alone[2].tolist()
+        held = np.isin(of, mine)
+        assert bands[held].tolist() == alone[3].tolist()
+        assert (of[held] - mine[0]).tolist() == alone[4].tolist()
+
+
+def test_short_texts_are_cut_many_at_a_time(monkeypatch):
+    """A call for each text is most of the CPU time of the whole job."""
+    rng, calls = random.Random(24), []
+
+    def counted(hashes, *more):
+        calls.append(len(hashes))
+        return paragraphs(hashes, *more)
+
+    class Source:
+        def mapInArrow(self, cut, schema):
+            texts = [" ".join(prose(rng, 30)) for _ in range(1000)]
+            return list(cut([pa.RecordBatch.from_pydict({"key": list(range(1000)), "text": texts})]))
+
+    monkeypatch.setattr(passages, "paragraphs", counted)
+    monkeypatch.setattr(passages, "WORDS", 10_000, raising=False)
+    assert sum(batch.num_rows for batch in passages._cut(Source(), 80)) >= 1000
+    assert len(calls) <= 3 and sum(calls) == 30_000 and max(calls) < 10_030
+
+
+def test_rows_with_one_id_and_unlike_texts(documents):
+    rng = random.Random(25)
+    rows = []
+    for i in range(40):
+        words = prose(rng, 60)
+        rows += [(i, " ".join(words)), (i, " ".join(prose(rng, 60))), (i, "a short text of six words")]
+        words[30] = f"new{i}"
+        rows.append((100 + i, " ".join(words)))
+    found = passages.paragraph_components(documents(rows)).collect()
+    assert {r.node: r.component for r in found} == linked_by_brute_force([text for _, text in rows], 80)
